@@ -9,25 +9,42 @@ neighbours of the places touched are looked up again. Results of pieces are kept
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 import re
-from collections.abc import Iterator
-from itertools import chain
+import struct
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bound_batches, text_or_empty
 
 #: White space as the tokenizer's pattern has it (the Unicode property), for Python's engines, which differ at 1C-1F.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Runs that a pattern of this kind never crosses: other characters with one space before them, or white space.
 COARSE = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Runs that a Python worker keeps between blocks.
-KEEP = 400_000
+KEEP = 1_200_000
+#: Rows of a batch that is handed back.
+ROWS = 1_000
 #: Characters of the texts that are encoded together.
-BLOCK = 4_000_000
+BLOCK = 16_000_000
+
+
+pack = struct.Struct("=i").pack
+
+
+class Numbers(dict):
+    """Numbers its keys as they come."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
 
 
 class MergeReplay:
@@ -53,11 +70,11 @@ class MergeReplay:
         keys = sorted(pairs)
         self.pair_keys = np.array([*keys, np.iinfo(np.int64).max], dtype=np.int64)
         self.pair_ranks = np.array([*map(pairs.__getitem__, keys), -1], dtype=np.int64)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known, self.ids_of = Numbers(), list[bytes]()
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that each pair forms, -1 if none."""
-        key = left * self.size + right
+        key = left.astype(np.int64) * self.size + right
         at = np.searchsorted(self.pair_keys, key)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
 
@@ -71,17 +88,17 @@ class MergeReplay:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[x] for x in parts]
 
-    def replay(self, pieces: list[bytes]) -> list[list[int]]:
-        """Token ids of every piece."""
-        out = [[rank] if (rank := self.ranks.get(piece)) is not None else [] for piece in pieces]
+    def replay(self, pieces: list[bytes]) -> list[bytes]:
+        """Token ids of every piece, as int32 in bytes."""
+        out = [pack(rank) if (rank := self.ranks.get(piece)) is not None else b"" for piece in pieces]
         todo = [i for i, ids in enumerate(out) if not ids and pieces[i]]
         if not todo:
             return out
         length = np.array([len(pieces[i]) for i in todo], dtype=np.int64)
         end = np.cumsum(length)
-        token = self.byte_rank[np.frombuffer(b"".join(pieces[i] for i in todo), dtype=np.uint8)]
-        owner = np.repeat(np.arange(len(todo)), length)
-        following, before = np.arange(1, len(token) + 1), np.arange(-1, len(token) - 1)
+        token = self.byte_rank[np.frombuffer(b"".join(pieces[i] for i in todo), dtype=np.uint8)].astype(np.int32)
+        owner = np.repeat(np.arange(len(todo), dtype=np.int32), length)
+        following, before = np.arange(1, len(token) + 1, dtype=np.int32), np.arange(-1, len(token) - 1, dtype=np.int32)
         following[end - 1], before[end - length] = -1, -1
         lower = np.zeros(len(todo), dtype=bool)
 
@@ -92,13 +109,13 @@ class MergeReplay:
         order = np.argsort(rank, kind="stable")
         ranks, cuts = np.unique(rank[order], return_index=True)
         start = dict(zip(ranks.tolist(), np.split(place[order], cuts[1:]), strict=True)) if len(ranks) else {}
-        added: dict[int, list[int]] = {}
+        added: dict[int, list[np.ndarray]] = {}
         queue = sorted(start)
         while queue:
             now = heapq.heappop(queue)
             at = start.pop(now, None)
             if (more := added.pop(now, None)) is not None:
-                at = np.unique(more if at is None else np.concatenate((at, more)))
+                at = np.unique(np.concatenate(more if at is None else [at, *more]))
             if at is None:
                 continue
             at = at[(token[at] >= 0) & (following[at] >= 0)]
@@ -119,36 +136,50 @@ class MergeReplay:
             formed = rank >= 0
             touched, rank = touched[formed], rank[formed]
             lower[owner[touched[rank < now]]] = True  # a lower rank than the one at work: such a piece is done by itself
-            for r, x in zip(rank.tolist(), touched.tolist(), strict=True):
+            if not len(rank):
+                continue
+            order = np.argsort(rank)
+            touched, rank = touched[order], rank[order]
+            cuts = [0, *(np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist()]
+            for r, a, b in zip(rank[cuts].tolist(), cuts, [*cuts[1:], len(rank)], strict=True):
                 if r in added:
-                    added[r].append(x)
+                    added[r].append(touched[a:b])
                 else:
-                    added[r] = [x]
+                    added[r] = [touched[a:b]]
                     if r not in start:
                         heapq.heappush(queue, r)
         alive = token >= 0
-        ids = token[alive].tolist()
-        ends = np.cumsum(np.bincount(owner[alive], minlength=len(todo))).tolist()
+        ids = token[alive].tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner[alive], minlength=len(todo)))).tolist()
         a = 0
         for k, (i, b) in enumerate(zip(todo, ends, strict=True)):
-            out[i] = self.one(pieces[i]) if lower[k] else ids[a:b]
+            out[i] = b"".join(map(pack, self.one(pieces[i]))) if lower[k] else ids[a:b]
             a = b
         return out
 
+    def number(self, texts: Iterable[str]) -> list[array]:
+        """The numbers of every text's runs; runs not met before are encoded, all together."""
+        if len(self.known) > KEEP:
+            self.known, self.ids_of = Numbers(), []
+        collecting = gc.isenabled()
+        gc.disable()  # millions of small objects, none in cycles
+        try:
+            out = [array("i", map(self.known.__getitem__, COARSE.findall(text))) for text in texts]
+            piece_no = Numbers()
+            cut = [[piece_no[piece] for piece in self.pattern.findall(run)] for run in islice(self.known, len(self.ids_of), None)]
+            ids = self.replay([piece.encode() for piece in piece_no])
+            self.ids_of += [ids[at[0]] if len(at) == 1 else b"".join([ids[k] for k in at]) for at in cut]
+        finally:
+            if collecting:
+                gc.enable()
+        return out
+
+    def ids(self, runs: array) -> np.ndarray:
+        """The ids that numbered runs stand for, int32; before the next call of ``number``."""
+        return np.frombuffer(b"".join(map(self.ids_of.__getitem__, runs)), dtype=np.int32)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of every text, int32."""
-        runs = [COARSE.findall(text) for text in texts]
-        new = set(chain.from_iterable(runs)) - self.known.keys()
-        if new and len(new) + len(self.known) > KEEP:
-            self.known = {}
-            new = set(chain.from_iterable(runs))
-        cut = {run: self.pattern.findall(run) for run in new}
-        pieces = list({piece for x in cut.values() for piece in x})
-        ids = dict(zip(pieces, self.replay([x.encode() for x in pieces]), strict=True))
-        for run, x in cut.items():
-            self.known[run] = tuple(chain.from_iterable(ids[piece] for piece in x))
-        get = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, x)), dtype=np.int32) for x in runs]
+        return [self.ids(runs) for runs in self.number(texts)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -164,16 +195,17 @@ def encoder(path: str, pattern: str) -> MergeReplay:
     return _ENCODERS[path, pattern]
 
 
-def blocks(texts: pd.Series) -> Iterator[tuple[int, int]]:
-    """Row ranges of about BLOCK characters each."""
-    a, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
+def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[list[pd.DataFrame]]:
+    """Batches of about BLOCK characters together."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch["text"].str.len().sum()
         if size >= BLOCK:
-            yield a, i + 1
-            a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def bpe_encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", lengths_only: bool = False) -> DataFrame:
@@ -181,26 +213,31 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
 
     ``path``: a rank file that every executor has. Special tokens are ordinary text. A null or empty text has no ids; a
     null id stays null; repeated rows are encoded each; no other column is read. There is no shuffle, and a lost task is
-    simply run again. Blocks are of BLOCK characters, or of one text where that is longer.
+    simply run again. Blocks are of about BLOCK characters, or of one text where that is longer.
     """
+    bound_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(path, pattern)
-        for batch in batches:
-            for a, b in blocks(batch["text"]):
-                ids = own.encode(batch["text"].iloc[a:b].tolist())
-                out = pd.DataFrame({id_col: batch[id_col].iloc[a:b].to_numpy(), "n_tokens": np.array([len(x) for x in ids], dtype=np.int64)})
+        for held in blocks(batches):
+            numbered = own.number(text for batch in held for text in batch["text"])
+            keys = pd.concat([batch[id_col] for batch in held])
+            del held
+            for a in range(0, len(numbered), ROWS):
+                ids = [own.ids(runs) for runs in numbered[a : a + ROWS]]
+                out = pd.DataFrame({id_col: keys.iloc[a : a + ROWS].to_numpy(), "n_tokens": np.array([len(x) for x in ids], dtype=np.int64)})
                 if not lengths_only:
                     out["ids"] = ids
                 yield out
 
-    schema = f"`{id_col}` {kind}, n_tokens long" + ("" if lengths_only else ", ids array<int>")
-    return df.select(id_col, text_or_empty(text_col).alias("text")).mapInPandas(encode, schema)
+    schema = f"`{id_col}` string, n_tokens long" + ("" if lengths_only else ", ids array<int>")
+    return df.select(F.col(id_col).cast("string").alias(id_col), text_or_empty(text_col).alias("text")).mapInPandas(encode, schema).withColumn(id_col, F.col(id_col).cast(kind))
 
 
 def bpe_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id_col``, ``ids_col`` and ``decoded`` binary: the bytes that the ids of every row stand for (null ids: none)."""
+    bound_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,4 +246,4 @@ def bpe_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
             ids = [np.empty(0, dtype=np.int32) if x is None else x for x in batch["ids"]]
             yield pd.DataFrame({id_col: batch[id_col].to_numpy(), ids_col: ids, "decoded": [own.decode(x) for x in ids]})
 
-    return df.select(id_col, df[ids_col].alias("ids")).mapInPandas(decode, f"`{id_col}` {kind}, `{ids_col}` array<int>, decoded binary")
+    return df.select(F.col(id_col).cast("string").alias(id_col), F.col(ids_col).alias("ids")).mapInPandas(decode, f"`{id_col}` string, `{ids_col}` array<int>, decoded binary").withColumn(id_col, F.col(id_col).cast(kind))

@@ -1,48 +1,40 @@
-"""What the operators share: the shared folder, tables written between steps, column preparation."""
+"""What the operators share: column preparation, batches for Python."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
+from ..plans.tables import hint, materialise
+
+__all__ = ["bound_batches", "documents", "hint", "let", "materialise", "text_or_empty", "with_row_number", "word_list"]
 
+#: Bytes of a batch for Python.
+BATCH_BYTES = 8 << 20
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset, a local master gets a folder of its own; on a cluster the warehouse, which is shared, serves.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="framelake-"))
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_framelake_work"
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end by size, so that long rows do not fill a Python worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/framelake/{name}-{uuid.uuid4().hex}"
+def with_row_number(df: DataFrame, name: str, *columns: Column | str) -> DataFrame:
+    """``columns`` and ``rid``, a number that is another for every row, written so that it stays the same."""
+    return materialise(df.select(F.monotonically_increasing_id().alias("rid"), *columns), name)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at files that outlive any executor."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def text_or_empty(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a table of :func:`new_path` that no later step reads."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def text_or_empty(column: str):
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+def word_list(text: Column) -> Column:
+    """The runs of characters other than the six white-space characters of ASCII."""
+    return F.array_remove(F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " "), "")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

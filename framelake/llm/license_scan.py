@@ -12,8 +12,9 @@ from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bound_batches, text_or_empty
 
 
 class Notice(NamedTuple):
@@ -139,6 +140,7 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     give repeated results. Long texts are scanned whole, in time linear in the text and its candidate windows. Other
     columns of ``df``, whatever their names, are not read. An empty table gives an empty result.
     """
+    bound_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,4 +152,4 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.insert(0, id_col, batch[id_col].to_numpy())
             yield out
 
-    return df.select(id_col, text_or_empty(text_col).alias("text")).mapInPandas(scan, f"`{id_col}` {kind}, {SCHEMA_TAIL}")
+    return df.select(F.col(id_col).cast("string").alias(id_col), text_or_empty(text_col).alias("text")).mapInPandas(scan, f"`{id_col}` string, {SCHEMA_TAIL}").withColumn(id_col, F.col(id_col).cast(kind))
