@@ -29,11 +29,11 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 #: Runs that a pattern of this kind never crosses: other characters with one space before them, or white space.
 COARSE = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Runs that a Python worker keeps between blocks.
-KEEP = 1_200_000
+KEEP = 500_000
 #: Rows of a batch that is handed back.
-ROWS = 1_000
+ROWS = 500
 #: Characters of the texts that are encoded together.
-BLOCK = 16_000_000
+BLOCK = 8_000_000
 
 
 pack = struct.Struct("=i").pack
@@ -70,7 +70,7 @@ class MergeReplay:
         keys = sorted(pairs)
         self.pair_keys = np.array([*keys, np.iinfo(np.int64).max], dtype=np.int64)
         self.pair_ranks = np.array([*map(pairs.__getitem__, keys), -1], dtype=np.int64)
-        self.known, self.ids_of = Numbers(), list[bytes]()
+        self.known, self.ids_of, self.uses = Numbers(), list[bytes](), np.zeros(0, dtype=np.int64)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that each pair forms, -1 if none."""
@@ -159,12 +159,20 @@ class MergeReplay:
 
     def number(self, texts: Iterable[str]) -> list[array]:
         """The numbers of every text's runs; runs not met before are encoded, all together."""
-        if len(self.known) > KEEP:
-            self.known, self.ids_of = Numbers(), []
+        if len(self.known) > KEEP:  # runs met once are the most and the least use
+            often = np.flatnonzero(self.uses > 1).tolist() if (self.uses > 1).sum() <= KEEP // 2 else []
+            order = list(self.known)
+            self.known, self.ids_of = Numbers((order[i], n) for n, i in enumerate(often)), [self.ids_of[i] for i in often]
+            self.uses = np.zeros(len(often), dtype=np.int64)
         collecting = gc.isenabled()
         gc.disable()  # millions of small objects, none in cycles
         try:
             out = [array("i", map(self.known.__getitem__, COARSE.findall(text))) for text in texts]
+            uses = np.zeros(len(self.known), dtype=np.int64)
+            uses[: len(self.uses)] = self.uses
+            for runs in out:
+                np.add.at(uses, np.frombuffer(runs, dtype=np.int32), 1)
+            self.uses = uses
             piece_no = Numbers()
             cut = [[piece_no[piece] for piece in self.pattern.findall(run)] for run in islice(self.known, len(self.ids_of), None)]
             ids = self.replay([piece.encode() for piece in piece_no])
@@ -208,9 +216,11 @@ def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[list[pd.DataFrame]]:
         yield held
 
 
-def bpe_encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", lengths_only: bool = False) -> DataFrame:
+def bpe_encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", lengths_only: bool = False, decoded: bool = False) -> DataFrame:
     """``id_col``, ``n_tokens`` long and, unless ``lengths_only``, ``ids`` array<int> of every row's whole text.
 
+    ``decoded``: also ``decoded`` binary, the bytes that the ids stand for.
+
     ``path``: a rank file that every executor has. Special tokens are ordinary text. A null or empty text has no ids; a
     null id stays null; repeated rows are encoded each; no other column is read. There is no shuffle, and a lost task is
     simply run again. Blocks are of about BLOCK characters, or of one text where that is longer.
@@ -229,9 +239,11 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
                 out = pd.DataFrame({id_col: keys.iloc[a : a + ROWS].to_numpy(), "n_tokens": np.array([len(x) for x in ids], dtype=np.int64)})
                 if not lengths_only:
                     out["ids"] = ids
+                if decoded:
+                    out["decoded"] = [own.decode(x) for x in ids]
                 yield out
 
-    schema = f"`{id_col}` string, n_tokens long" + ("" if lengths_only else ", ids array<int>")
+    schema = f"`{id_col}` string, n_tokens long" + ("" if lengths_only else ", ids array<int>") + (", decoded binary" if decoded else "")
     return df.select(F.col(id_col).cast("string").alias(id_col), text_or_empty(text_col).alias("text")).mapInPandas(encode, schema).withColumn(id_col, F.col(id_col).cast(kind))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import new_path
-from .bpe import bpe_decode, bpe_encode
+from .bpe import bpe_encode
 from .common import documents
 from .exact_dedup import duplicate_groups
 from .html_extract import extract_main
@@ -54,9 +54,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe_encode(documents(spark, sf_dir), *byte_bpe()).select("doc_id", "ids")
-    decoded = bpe_decode(encoded, *byte_bpe())
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = bpe_encode(documents(spark, sf_dir), *byte_bpe(), decoded=True)
+    return both.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
