@@ -1,11 +1,17 @@
-"""All queries of the library by name, with their SQL."""
+"""All queries of the library by name, with their SQL for DuckDB where there is one."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from .plans import box_queries, event_queries, haar_queries, job_queries, pixel_queries, stream_queries
 
+MODULES = (box_queries, pixel_queries, haar_queries, job_queries, event_queries, stream_queries)
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable]:
+    return {name: run for module in MODULES for name, (run, _) in module.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for module in MODULES for name, (_, sql) in module.QUERIES.items() if sql}
