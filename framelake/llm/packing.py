@@ -21,7 +21,7 @@ from .common import bound_batches, hint, text_or_empty
 #: Tokens of a block, if no document alone has more.
 BLOCK = 1 << 17
 #: Words that a Python worker keeps.
-KEEP = 700_000
+KEEP = 500_000
 
 FILE_SCHEMA = "shard int, block int, start long, bits int, keys array<string>, lengths array<int>, payload binary"
 
@@ -62,30 +62,45 @@ class WordTokenizer:
         self.cut = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-/:-@\[-`{-~]+")
         self.runs = re.compile(r"[^\t-\r ]+")
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
 
+    def learn(self, pieces: list[str]) -> None:
+        """Encode pieces of the plain kind, many to a text: a run of letters or signs is one word of it, digits are one each."""
+        for a in range(0, len(pieces), 10_000):
+            some = [pieces[i : i + 250] for i in range(a, min(a + 10_000, len(pieces)), 250)]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(x) for x in some], add_special_tokens=False), strict=True):
+                words = np.cumsum([len(p) if "0" <= p[0] <= "9" else 1 for p in group])
+                found = np.array(e.ids, dtype=np.uint32)
+                ids, ends = found.tobytes(), (4 * (np.flatnonzero(self.ends_word[found])[words - 1] + 1)).tolist()
+                for p, x, y in zip(group, [0, *ends], ends, strict=False):
+                    self.known[p] = ids[x:y]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = []
+        plain, other, pieces = [], [], []
         for text in texts:
             if any(s in text for s in self.special):
                 pieces.append([text])
+                other.append(pieces[-1])
             elif self.plain.fullmatch(text):
                 pieces.append(self.cut.findall(text.lower()))
+                plain.append(pieces[-1])
             else:
                 pieces.append(self.runs.findall(text))
-        new = {p for x in pieces for p in x if p not in self.known}
-        if len(self.known) + len(new) > KEEP:
+                other.append(pieces[-1])
+        if len(self.known) > KEEP:
             self.known = {}
-            new = {p for x in pieces for p in x}
-        order = list(new)
-        for a in range(0, len(order), 20_000):
-            some = order[a : a + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, dtype=np.uint32).tobytes()
+        self.learn(list(set().union(*plain) - self.known.keys()))
+        rest = list(set().union(*other) - self.known.keys())
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[p] = np.array(e.ids, dtype=np.uint32).tobytes()
         get = self.known.__getitem__
         out = [np.frombuffer(b"".join(map(get, x)), dtype=np.uint32) for x in pieces]
-        for text in (x[0] for x in pieces if len(x) == 1 and len(x[0]) > 1000):
-            self.known.pop(text, None)
+        for p in rest:
+            if len(p) > 1000:
+                del self.known[p]
         return out
 
 
