@@ -146,18 +146,17 @@ def parts(page: str) -> list[Part]:
 
 
 def blocks_of(found: list[Part], template: set[int]) -> str:
-    """The text of the slots in the main part, a block a paragraph."""
+    """The text of the blocks in the main part that hold a slot, a block a paragraph."""
     main = any(x.main and not x.aside and x.text and x.text.strip() for x in found)
     chosen = [x for x in found if x.text is not None and not x.aside and (x.main or not main)]
-    slots = [x for x in chosen if x.token not in template or not x.text.strip()]
-    if not any(x.text.strip() for x in slots):
-        slots = chosen  # a host that repeats a whole page
-    out, block = [], None
-    for x in slots:
-        if x.block != block:
-            out.append([])
-            block = x.block
-        out[-1].append(x.text)
+    blocks: list[list[Part]] = []
+    for x in chosen:
+        if not blocks or x.block != blocks[-1][0].block:
+            blocks.append([])
+        blocks[-1].append(x)
+    blocks = [x for x in blocks if any(y.text.strip() for y in x)]
+    slots = [x for x in blocks if any(y.text.strip() and y.token not in template for y in x)]
+    out = [[y.text for y in x] for x in slots or blocks]  # else a host that repeats a whole page
     paragraphs = (SPACES.sub(" ", html.unescape("".join(x))).strip() for x in out)
     return "\n\n".join(p for p in paragraphs if p)
 
@@ -209,8 +208,8 @@ def extract_main(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """``id_col``, ``url_col``, ``text`` and ``n_chars`` (code points) of every row of ``df``.
 
     The text is that of the page's article or main element, else of its body, without what tags, classes, ids and roles
-    show to be menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts or styles, and without runs of
-    text that belong to the template of the page's host. Hosts of fewer than PAGES pages have no template. Character
+    show to be menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts or styles, and without blocks
+    whose text belongs wholly to the template of the page's host. Hosts of fewer than PAGES pages have no template. Character
     references are decoded, white space within a block becomes one space, blocks are joined by two newlines; nothing else
     is dropped. A null page counts as empty; a null url is a host of its own; a null id stays null; repeated rows are pages
     like others. Long pages are read whole. An empty table gives an empty result; other columns are not read.
