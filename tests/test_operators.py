@@ -1,6 +1,7 @@
 """Fixed cases and comparisons of two ways to the same result."""
 
 import numpy as np
+import pandas as pd
 
 from framelake.operators import haar
 from framelake.operators.boxes import greedy_nms
@@ -24,17 +25,15 @@ def test_levels_of_known_sizes():
 def test_packed_detector_agrees_with_joins(spark):
     frames = haar.bright_centres(spark, 2)
     cascade = haar.demo_cascade()
-    joined = {(r.frame, r.wx, r.wy) for r in haar.accepted(haar.stage_sums(haar.responses(frames, 120, 120, 4)), 8).collect()}
-    first = {(r.frame, r.x, r.y) for r in haar.pack(frames, 120, 120).mapInPandas(lambda it: _level_zero(it, cascade), haar.BOXES).collect()}
-    assert len(joined) > 20 and joined == first
-
 
-def _level_zero(batches, cascade):
-    import pandas as pd
+    def level_zero(batches):
+        for b in batches:
+            rows = [(r.frame, *x) for r in b.itertuples() for x in haar.detect_frame(np.frombuffer(r.gray, dtype=np.uint8).reshape(120, 120), cascade, scale=100.0, threshold=2.0)]
+            yield pd.DataFrame(rows, columns=["frame", "x", "y", "w", "h", "score"])
 
-    for b in batches:
-        rows = [(r.frame, *x) for r in b.itertuples() for x in haar.detect_frame(np.frombuffer(r.gray, dtype=np.uint8).reshape(120, 120), cascade, scale=100.0, threshold=2.0)]
-        yield pd.DataFrame(rows, columns=["frame", "x", "y", "w", "h", "score"])
+    joined = {(r.frame, r.wx, r.wy) for r in haar.accepted(haar.stage_sums(haar.responses(frames, 120, 120, 4)), 8).collect()}
+    first = {(r.frame, r.x, r.y) for r in haar.pack(frames, 120, 120).mapInPandas(level_zero, haar.BOXES).collect()}
+    assert len(joined) > 20 and joined == first
 
 
 def test_cascade_round_trip():
