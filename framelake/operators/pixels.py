@@ -64,6 +64,19 @@ def rect_sums(table: DataFrame, rects: DataFrame) -> DataFrame:
     return found.agg(total("ii").alias("s"), total("ii2").alias("s2"))
 
 
+def tilted_sums(table: DataFrame, rects: DataFrame) -> DataFrame:
+    """``s`` of rectangles turned by 45 degrees (``frame``, ``rect``, ``x1``, ``y1``, ``x2``, ``y2``): seven places of :func:`diagonal`.
+
+    The middle counts for the upper and the lower triangle; a place on the frame's upper or left edge has no sum.
+    """
+    xm, ym = F.expr("(x1 + x2) div 2"), F.expr("(y1 + y2) div 2")
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    spots = ((xm, y1, 1), (x1, y1, -1), (xm, ym, -2), (x1, ym, 1), (x2, ym, 1), (x2, y2, -1), (xm, y2, 1))
+    asked = F.array(*(F.struct((x - 1).cast("int").alias("x"), (y - 1).cast("int").alias("y"), F.lit(k).alias("k")) for x, y, k in spots))
+    places = rects.select("frame", "rect", F.explode(asked).alias("c")).select("frame", "rect", "c.*")
+    return places.join(table, ["frame", "x", "y"], "left").groupBy("frame", "rect").agg(F.coalesce(F.sum(F.col("k") * F.col("d")), F.lit(0)).cast("bigint").alias("s"))
+
+
 def passes_variance(s: Column, s2: Column, n: int, threshold: int) -> Column:
     return s2 * n >= s * s + threshold * n * n
 

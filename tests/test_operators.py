@@ -2,12 +2,14 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 
-from framelake.operators import haar
+from framelake.operators import haar, networks
 from framelake.operators.boxes import greedy_nms
 from framelake.operators.components import connected_components
 from framelake.operators.jobs import algo_stats
 from framelake.operators.pixels import hamming_pairs, resize_area
+from framelake.sources import images
 
 
 def test_nms_merges_two_of_three(spark):
@@ -67,3 +69,40 @@ def test_algo_stats_of_five_jobs(spark):
     got = {r.algo: r for r in algo_stats(spark.createDataFrame(jobs, "algo string, status string, elapsed_ms long, detections long")).collect()}
     assert (got["haar"].total, got["haar"].done, got["haar"].error, got["haar"].elapsed_ms, got["haar"].detections) == (3, 2, 1, 450, 8)
     assert (got["cnn"].total, got["cnn"].active, got["cnn"].elapsed_ms, got["pending"].active) == (1, 1, 200, 1)
+
+
+def test_convolution_by_joins_and_by_windows(spark):
+    rng = np.random.default_rng(5)
+    image, kernel = rng.integers(0, 256, (10, 12)), rng.normal(size=(3, 3))
+    px = spark.createDataFrame([(0, x, y, int(image[y, x])) for y in range(10) for x in range(12)], "frame long, x int, y int, v int")
+    got = {(r.x, r.y): r.v for r in networks.convolve(px, kernel.tolist(), 12, 10).collect()}
+    want = np.maximum(np.einsum("yxkl,kl->yx", networks.windows_of(image[None, ..., None], 3)[0, :, :, 0], kernel), 0)
+    assert len(got) == 80 and all(abs(got[x, y] - want[y, x]) < 1e-9 for x, y in got)
+    assert networks.forward(np.zeros((2, 24, 24)), networks.even_weights()).tolist() == [0.5, 0.5]
+
+
+def test_plain_images_round_trip(spark, tmp_path):
+    frames = haar.pack(haar.bright_centres(spark, 2), 120, 120)
+    for r in images.to_pgm(frames).collect():
+        (tmp_path / f"f{r.frame}.pgm").write_bytes(r.content)
+    (tmp_path / "f2.ppm").write_bytes(b"P6 # two pixels\n2 1\n255\n" + bytes(range(6)))
+    (tmp_path / "f3.pgm").write_bytes(b"P5 9 9 255\nshort")
+    (tmp_path / "f4.pgm").write_bytes(b"P5")
+    (tmp_path / "f5.pgm").write_bytes(b"")
+    got = {r.frame: r for r in images.sequence(spark, str(tmp_path)).collect()}
+    assert len(got) == 5 and [got[i].problem for i in range(5)] == [None, None, None, "pixels end early", "header ends early"]
+    assert (got[2].width, got[2].height, got[2].channels, bytes(got[2].pixels)) == (2, 1, 3, bytes(range(6)))
+    assert {i: bytes(got[i].pixels) for i in (0, 1)} == {r.frame: bytes(r.gray) for r in frames.collect()}
+    assert [got[i].timestamp_ms for i in range(5)] == [0, 33, 66, 100, 133]
+
+
+def test_crops_stay_within_their_frame(spark):
+    frames = haar.pack(haar.bright_centres(spark, 1), 120, 120)
+    boxes = spark.createDataFrame([(0, 1, -5, -5, 15, 10), (0, 2, 115, 0, 50, 3), (0, 3, 200, 0, 5, 5)], "frame long, rank int, x int, y int, w int, h int")
+    assert sorted((r["rank"], r.width, r.height, len(r.gray)) for r in images.crop(frames, boxes).collect()) == [(1, 10, 5, 50), (2, 5, 3, 15)]
+
+
+def test_broken_headers():
+    for bad in (b"P4 1 1 255\n\0", b"P5 1 1 15\n\0", b"P5 a 1 255\n\0"):
+        with pytest.raises(ValueError):
+            images.decode_pnm(bad)
