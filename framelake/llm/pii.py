@@ -1,8 +1,10 @@
 """Personal data: exact kinds by pattern, more by contextual bootstrapping.
 
 The exact kinds seed a graph. Its instances are tokens with a digit or an at sign, its patterns the word that stands before
-them. Patterns are scored by their known instances, unknown instances by their patterns, in turns; patterns of a high score
-with enough known instances then mark the tokens that follow them elsewhere. Only DataFrame functions.
+them. Patterns are scored by their known instances, unknown instances by their patterns, in turns. Patterns of a high score
+with enough known instances are trusted: their unknown instances become known, at a discount, and patterns that share them
+are scored in the next turn, until a turn adds no pattern. Trusted patterns mark the tokens that follow them. Only DataFrame
+functions.
 """
 
 from __future__ import annotations
@@ -25,8 +27,11 @@ KINDS = tuple(PATTERNS)
 #: Kind of the spans that the method adds.
 FOUND = "id"
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: Scoring: rounds, weight of doubt, least score and known instances of a pattern that marks tokens, digits of such a token.
+#: Scoring: rounds of a turn, weight of doubt, least score and known instances of a trusted pattern, digits of a token that it
+#: marks (if that has no at sign).
 ROUNDS, DOUBT, LEAST, SUPPORT, DIGITS = 2, 1.0, 0.8, 5, 5
+#: What an instance that a trusted pattern has made known is worth, of the pattern's score.
+DISCOUNT = 0.95
 #: Sums that are carried on together.
 CHUNK = 256
 
@@ -115,25 +120,51 @@ def tokens(text: Column, spans: Column) -> Column:
     return F.coalesce(F.transform(places(text, TOKEN, context), labelled), F.array().cast(TOKENS))
 
 
-def pattern_scores(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def markable(value: Column) -> Column:
+    """Whether a token can be an identifier: DIGITS digits or more, or an at sign beside a letter or digit."""
+    return (F.length(F.regexp_replace(value, "[^0-9]", "")) >= DIGITS) | value.rlike(r"[\p{L}\p{N}]@|@[\p{L}\p{N}]")
+
+
+def pattern_scores(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``context``, ``score``, ``known`` of every pattern that has known instances.
 
-    ``occurrences``: ``context``, ``value``, ``kind`` (null: unknown). A pattern's score is the mean of its instances'
-    scores, with DOUBT unknown ones added; an unknown instance's score is that at least one of its patterns is right.
-    Instances are distinct values. Edges are counted before they are shuffled; Spark splits a pattern that has many.
+    ``edges``: ``context``, ``value``, ``worth`` (0: unknown; 1: a seed; between: made known), written. A pattern's score is
+    the mean of its instances' worth, with DOUBT unknown ones added; an unknown instance is worth the chance that at least
+    one of its patterns is right.
     """
-    edges = materialise(occurrences.where("context != ''").groupBy("context", "value").agg(F.max(F.col("kind").isNotNull().cast("int")).alias("seed")), "edges")
-    seeds = edges.groupBy("context").agg(F.count("*").alias("n"), F.sum("seed").alias("known")).where("known > 0")
-    scores = materialise(seeds.withColumn("score", F.col("known") / (F.col("n") + DOUBT)), "patterns")
+    known = edges.groupBy("context").agg(F.count("*").alias("n"), F.sum("worth").alias("worth"), F.count_if(F.col("worth") > 0).alias("known")).where("known > 0")
+    scores = materialise(known.withColumn("score", F.col("worth") / (F.col("n") + DOUBT)), "patterns")
     for _ in range(rounds):
-        doubt = edges.where("seed = 0").join(scores, "context").groupBy("value").agg(F.sum(F.log(1 - F.col("score"))).alias("doubt"))
+        doubt = edges.where("worth = 0").join(scores.select("context", "score"), "context").groupBy("value").agg(F.sum(F.log(1 - F.col("score"))).alias("doubt"))
         judged = doubt.select("value", (1 - F.exp("doubt")).alias("right"))
-        gained = edges.where("seed = 0").join(judged, "value").groupBy("context").agg(F.sum("right").alias("gained"))
-        scores = scores.select("context", "n", "known").join(gained, "context", "left")
-        scores = materialise(scores.select("context", "n", "known", ((F.col("known") + F.coalesce("gained", F.lit(0.0))) / (F.col("n") + DOUBT)).alias("score")), "patterns")
+        gained = edges.where("worth = 0").join(judged, "value").groupBy("context").agg(F.sum("right").alias("gained"))
+        scores = scores.select("context", "n", "worth", "known").join(gained, "context", "left")
+        scores = materialise(scores.select("context", "n", "worth", "known", ((F.col("worth") + F.coalesce("gained", F.lit(0.0))) / (F.col("n") + DOUBT)).alias("score")), "patterns")
     return scores.select("context", "score", "known")
 
 
+def trusted_patterns(occurrences: DataFrame, least: float = LEAST, support: int = SUPPORT) -> DataFrame:
+    """``context`` and ``score`` of the patterns of score ``least`` and ``support`` known instances, by turns.
+
+    ``occurrences``: ``context``, ``value``, ``kind`` (null: unknown). Instances are distinct values. After each turn the
+    markable unknown instances of all trusted patterns are known: worth DISCOUNT times the chance that one of these is
+    right. Every pattern that has such an instance is scored in the next turn. A pattern stays trusted, with its first
+    score; the turn that adds none is the last. Edges are counted before they are shuffled; Spark splits a pattern that has
+    many.
+    """
+    found = occurrences.where("context != ''").groupBy("context", "value").agg(F.max(F.col("kind").isNotNull().cast("double")).alias("worth"))
+    edges = now = materialise(found, "edges")
+    passed = lambda df: df.where((F.col("score") >= least) & (F.col("known") >= support)).select("context", "score")
+    trusted = added = materialise(passed(pattern_scores(now)), "trusted")
+    while not added.isEmpty():
+        behind = edges.where((F.col("worth") == 0) & markable(F.col("value"))).join(trusted, "context")
+        gained = behind.groupBy("value").agg((DISCOUNT * (1 - F.exp(F.sum(F.log(1 - F.col("score")))))).alias("gained"))
+        now = materialise(edges.join(gained, "value", "left").select("context", "value", F.greatest("worth", F.coalesce("gained", F.lit(0.0))).alias("worth")), "edges")
+        added = materialise(passed(pattern_scores(now)).join(trusted, "context", "left_anti"), "added")
+        trusted = materialise(trusted.union(added), "trusted")
+    return trusted
+
+
 def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     spanned = texts.select("rid", "id", let(F.col("text"), lambda t: let(F.concat(*(base_spans(t, kind) for kind in KINDS)), lambda s: F.struct(s.alias("spans"), tokens(t, s).alias("tokens")))).alias("x"))
@@ -144,15 +175,14 @@ def pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: fl
     """``id_col``, ``spans`` array<struct<kind, start, end>> by kind and start, and ``found`` of every row of ``df``.
 
     ``spans``: email, ip, card and phone in this order, as PATTERNS and :func:`valid` have them, code points, end
-    exclusive. ``found``: further spans of kind "id", by start: tokens of DIGITS digits or more that no such span touches
-    and that stand behind a pattern of score ``least`` and ``support`` known instances. A null or empty text has none; a
+    exclusive. ``found``: further spans of kind "id", by start: markable tokens that no such span touches and that stand
+    behind a trusted pattern (:func:`trusted_patterns`). A null or empty text has none; a
     null id stays null; repeated rows are alike; texts are searched whole. An empty table gives an empty result; other
     columns are not read.
     """
     rows = scanned(df, id_col, text_col)
     occurrences = rows.select("rid", F.explode("tokens").alias("t")).select("rid", "t.*")
-    good = pattern_scores(occurrences).where((F.col("score") >= least) & (F.col("known") >= support)).select("context")
-    likely = occurrences.where(F.col("kind").isNull() & (F.length(F.regexp_replace("value", "[^0-9]", "")) >= DIGITS)).join(materialise(good, "good"), "context", "left_semi")
+    likely = occurrences.where(F.col("kind").isNull() & markable(F.col("value"))).join(trusted_patterns(occurrences, least, support), "context", "left_semi")
     more = likely.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(F.lit(FOUND).alias("kind"), "start", "end"))).alias("found"))
     out = rows.select("rid", "id", "spans").join(more, "rid", "left")
     return out.select(F.col("id").alias(id_col), "spans", F.coalesce("found", F.array().cast(SPANS)).alias("found"))

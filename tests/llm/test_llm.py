@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from framelake.llm import exact_dedup, html_extract, license_scan, mixing, near_dedup, packing, pii, quality, queries, token_counts
 
@@ -191,6 +192,15 @@ def test_pii(spark, docs, empty):
     assert pii.pii(empty).count() == 0
 
 
+def test_pii_bootstraps_over_two_hops(spark):
+    texts = [f"call reach user{i}@mail.example.org now" for i in range(80)] + [f"call reach 100000{i:02} now" for i in range(30)]
+    texts += [f"his account 100000{i:02} is open" for i in range(30)] + [f"on page {20000 + i} of it" for i in range(30)] + ["on page 10000003 of it"]
+    asked = {"my account 98765432 too": [("id", 11, 19)], "or reach @some_name there": [("id", 9, 19)], "or reach @ noon": [], "see page 31234567 next": []}
+    rows = spark.createDataFrame([(t,) for t in texts + list(asked)], "text string").withColumn("doc_id", F.col("text"))
+    found = {r.doc_id: [tuple(s) for s in r.found] for r in pii.pii(rows).collect()}
+    assert {t: found[t] for t in asked} == asked
+
+
 def test_packing(spark, docs, empty, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
