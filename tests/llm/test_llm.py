@@ -154,6 +154,33 @@ def test_near(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_recall_at_its_threshold(spark):
+    """Of pairs whose edit similarity is 0.8 or more, by brute force, nearly all are joined, at every share of edits."""
+    rng, rows, kinds = random.Random(9), [], []
+    word = lambda: f"w{rng.randrange(5000)}"
+    for n in (5, 7, 9, 16, 22, 24, 27, 60, 140):
+        for share in (0.1, 0.15, 0.2):
+            for even in (True, False):
+                for _ in range(15):
+                    x = [word() for _ in range(n)]
+                    y, edits = list(x), int(n * share + 1e-9)
+                    for k in range(2, n, round(1 / share)) if even else sorted(rng.sample(range(n), edits), reverse=True):
+                        change = 0 if even else rng.randrange(3)
+                        y[k : k + 1] = ([word()], [], [y[k], word()])[change]
+                    if x != y and near_dedup.similar(x, y):
+                        rows += [(2 * len(kinds), " ".join(x)), (2 * len(kinds) + 1, " ".join(y))]
+                        kinds.append((n, share, even))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    joined = [got[2 * i] == got[2 * i + 1] for i in range(len(kinds))]
+    assert len(joined) > 500 and np.mean(joined) >= 0.98
+    for part in (lambda k: k[0], lambda k: k[1:]):
+        by = collections.defaultdict(list)
+        for k, ok in zip(kinds, joined, strict=True):
+            by[part(k)].append(ok)
+        assert min(map(np.mean, by.values())) >= 0.93, {k: round(float(np.mean(v)), 3) for k, v in by.items()}
+    assert all(got[2 * i] != got[2 * j] for i in range(0, len(kinds), 40) for j in range(20, len(kinds), 40))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("abc", max_size=12), st.text("abc", max_size=12), st.integers(0, 8))
 def test_banded_distance(x, y, most):
