@@ -16,6 +16,8 @@ from .haar import BOXES, overlap
 SIDE, KERNEL, CHANNELS, HIDDEN = 24, 3, (8, 16, 32), 32
 #: Rows and columns left for the dense layer: 24 - 22 - 20, halved to 10 - 8, halved to 4.
 LAST = 4
+#: Pixels from a window to the next, as the reference's configuration has it.
+STRIDE = 4
 
 
 class Weights(NamedTuple):
@@ -72,7 +74,7 @@ def classify_frame(image: np.ndarray, weights: Weights, stride: int, least: floa
     return kept
 
 
-def classify(frames: DataFrame, weights: Weights | None = None, stride: int = 8, least: float = 0.5) -> DataFrame:
+def classify(frames: DataFrame, weights: Weights | None = None, stride: int = STRIDE, least: float = 0.5) -> DataFrame:
     """Boxes of packed frames (``frame``, ``width``, ``height``, ``gray``); a frame at a time, no shuffle."""
     weights = weights or even_weights()
 

@@ -106,3 +106,29 @@ def test_broken_headers():
     for bad in (b"P4 1 1 255\n\0", b"P5 1 1 15\n\0", b"P5 a 1 255\n\0"):
         with pytest.raises(ValueError):
             images.decode_pnm(bad)
+
+
+def plain_confidence(window, weights):
+    x = window[..., None] / 255.0
+    for layer, kernel in enumerate(weights.kernels):
+        side = len(x) - networks.KERNEL + 1
+        x = np.array([[[max(0.0, (x[r : r + networks.KERNEL, c : c + networks.KERNEL] * kernel[..., o]).sum()) for o in range(kernel.shape[3])] for c in range(side)] for r in range(side)])
+        if layer:
+            x = np.maximum.reduce([x[i::2, j::2] for i in (0, 1) for j in (0, 1)])
+    hidden = np.maximum(x.ravel() @ weights.dense[0] + weights.dense[1], 0)
+    return 1 / (1 + np.exp(-(hidden @ weights.head[0] + weights.head[1])))
+
+
+def test_classifier_scores_every_fourth_place(spark):
+    image, weights = np.random.default_rng(4).integers(0, 256, (33, 37), dtype=np.uint8), networks.even_weights()
+    scored = [(x, y, 24, 24, plain_confidence(image[y : y + 24, x : x + 24], weights)) for y in range(0, 10, 4) for x in range(0, 14, 4)]
+    want = []
+    for b in sorted(scored, key=lambda b: -b[4]):
+        if all(haar.overlap(b, k) <= 0.3 for k in want):
+            want.append(b)
+    frames = spark.createDataFrame([(0, 37, 33, image.tobytes())], "frame long, width int, height int, gray binary")
+    got = networks.classify(frames, least=0.0).collect()
+    assert sorted((r.x, r.y, r.w, r.h) for r in got) == sorted(b[:4] for b in want)
+    assert sorted(r.score for r in got) == pytest.approx(sorted(b[4] for b in want))
+    every = networks.classify_frame(image, weights, networks.STRIDE, 0.0)
+    assert len(scored) == 12 and sorted(b[:4] for b in every) == sorted(b[:4] for b in want)
