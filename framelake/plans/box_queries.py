@@ -132,6 +132,15 @@ CROP_SQL = f"""WITH {BOXES_SQL} SELECT frame, rank, CAST(greatest(x-floor(w*0.25
 CAST(least(x+w+floor(w*0.25),{WIDTH}) AS INT) AS x1, CAST(least(y+h+floor(h*0.25),{HEIGHT}) AS INT) AS y1 FROM boxes WHERE rank <= 3"""
 
 
+def crop_all_boxes(spark, sf_dir):
+    """Padded crops within the frame, of every box; there is no cap for a frame."""
+    return boxes(spark, sf_dir).select("frame", "rank", *(c.cast("int").alias(k) for k, c in g.padded(0.25, WIDTH, HEIGHT).items()))
+
+
+CROP_ALL_SQL = f"""WITH {BOXES_SQL} SELECT frame, rank, CAST(greatest(x-floor(w*0.25),0) AS INT) AS x0, CAST(greatest(y-floor(h*0.25),0) AS INT) AS y0,
+CAST(least(x+w+floor(w*0.25),{WIDTH}) AS INT) AS x1, CAST(least(y+h+floor(h*0.25),{HEIGHT}) AS INT) AS y1 FROM boxes"""
+
+
 def back_map(spark, sf_dir):
     """Level boxes in the frame's pixels, divided (the default) and multiplied by the level's scale, clamped."""
     scale = 1.2
@@ -196,5 +205,5 @@ WORKER_SQL = "SELECT coalesce(l_returnflag, 'TOTAL') AS worker, count(*) AS boxe
 QUERIES = {
     "nms_greedy": (nms_greedy, NMS_SQL), "nms_counts": (nms_counts, NMS_COUNTS_SQL), "dedup_first_come": (first_come, FIRST_COME_SQL), "dedup_rules": (rules, RULES_SQL),
     "iou_pairs": (iou_pairs, PAIRS_SQL), "box_helpers": (box_helpers, HELPERS_SQL), "geometry_filters": (geometry_filters, GEOMETRY_SQL), "rotate_back": (rotate_back, ROTATE_SQL),
-    "crop_boxes": (crop_boxes, CROP_SQL), "back_map": (back_map, BACK_MAP_SQL), "box_match_parity": (box_match_parity, PARITY_SQL), "parity_report": (parity_report, REPORT_SQL), "worker_table": (worker_table, WORKER_SQL),
+    "crop_boxes": (crop_boxes, CROP_SQL), "crop_all_boxes": (crop_all_boxes, CROP_ALL_SQL), "back_map": (back_map, BACK_MAP_SQL), "box_match_parity": (box_match_parity, PARITY_SQL), "parity_report": (parity_report, REPORT_SQL), "worker_table": (worker_table, WORKER_SQL),
 }

@@ -33,3 +33,10 @@ def test_matches_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(registry.queries().keys() - registry.oracle_sql().keys()))
 def test_runs(spark, name):
     assert registry.queries()[name](spark, DATA).count() > 0
+
+
+def test_every_box_is_cropped(spark):
+    made = registry.queries()
+    got, some = made["crop_all_boxes"](spark, DATA), made["crop_boxes"](spark, DATA)
+    assert got.count() == made["box_helpers"](spark, DATA).count() > some.count()
+    assert got.where("rank > 3").count() > 0 and some.exceptAll(got).count() == 0
