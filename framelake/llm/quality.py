@@ -1,11 +1,17 @@
-"""Quality rules whose cutoffs limit false rejections: exact binomial bounds on labelled documents, per stratum."""
+"""Quality rules whose cutoffs limit false rejections: exact binomial bounds on a labelled holdout, per stratum.
+
+One half of the labelled documents, by a hash of their ids, puts the cutoffs of all rules in one order, best first. The other
+half, the holdout, tests the growing sets of them in that order: the set's joint false rejections must be so few that a true
+rate above RISK is ruled out. A fixed sequence needs no correction within a stratum, as it ends at the first set that does not
+pass; between strata delta is divided.
+"""
 
 from __future__ import annotations
 
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hint, let, materialise, text_or_empty, word_list
@@ -34,8 +40,10 @@ RULES = (
 )
 #: Share of good documents of a stratum that all rules together may reject, and the chance that a bound fails anywhere.
 RISK, DELTA = 0.02, 0.05
-#: Good documents rejected count as so many bad ones when cutoffs are compared.
+#: Good documents rejected count as so many bad ones when cutoffs are put in order.
 COST = 10
+#: Seed of the hash that parts the labelled documents.
+HALVES = 7
 
 
 def repeated_words(words: Column) -> Column:
@@ -97,27 +105,59 @@ def tail(k: Column, n: Column, risk: float) -> Column:
     return F.aggregate(steps, F.struct(first.cast("double").alias("term"), F.exp(first).alias("sum")), add, lambda acc: acc["sum"])
 
 
-def cutoffs(labelled: DataFrame, rules: tuple[Rule, ...] = RULES, risk: float = RISK, delta: float = DELTA, good_col: str = "good") -> DataFrame:
-    """``stratum``, ``feature``, ``cutoff`` with ``n_good``, ``false_rejections``, ``bad_rejections`` and ``p_value``.
+def ordered_cutoffs(tune: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``stratum``, ``step`` (from 1), ``feature``, ``cutoff``: the cutoffs that reject bad documents at a fair price, in order.
 
-    ``labelled``: ``stratum``, ``good_col`` boolean and the features. For each stratum, rule and cutoff the hypothesis
-    "the rule rejects more than risk / rules of the good documents" is tested; the p-value is the exact binomial
-    probability of so few false rejections. It must not exceed delta over all tests (Bonferroni). Of the cutoffs that
-    pass and reject bad documents, the best balance stands, of equals the mildest; a rule may have none. Counts combine
-    before the shuffle: one row of sums for each stratum and task.
+    ``tune``: ``stratum``, ``good`` boolean and the features. A cutoff is fair if it rejects more than COST bad documents for
+    each good one; they stand by good ones per bad one, then by most bad ones, then as in ``rules``, mild before strict.
+    Counts combine before the shuffle: one row of sums for each stratum and task.
     """
-    good = F.coalesce(F.col(good_col), F.lit(False))
-    tests = (len(STRATA) + 1) * sum(len(rule.cutoffs) for rule in rules)
+    good = F.coalesce(F.col("good"), F.lit(False))
+    steps = [(r.feature, c) for r in rules for c in sorted(r.cutoffs, reverse=True)]
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    sums = labelled.groupBy("stratum").agg(
-        count(good).alias("n_good"),
-        *(F.struct(F.lit(r.feature).alias("feature"), F.lit(c).cast("long").alias("cutoff"), count(good & (F.col(r.feature) > c)).alias("k"), count(~good & (F.col(r.feature) > c)).alias("b")).alias(f"t_{i}_{j}") for i, r in enumerate(rules) for j, c in enumerate(r.cutoffs)),
-    )
-    rows = sums.select("stratum", "n_good", F.explode(F.array(*(F.col(f"t_{i}_{j}") for i, r in enumerate(rules) for j in range(len(r.cutoffs))))).alias("t")).select("stratum", "n_good", "t.*")
-    rows = rows.where((F.col("b") > COST * F.col("k")) & (F.col("k") <= F.col("n_good") * risk / len(rules)))
-    rows = rows.withColumn("p", tail(F.col("k"), F.col("n_good"), risk / len(rules))).where(F.col("p") <= delta / tests)
-    best = F.max_by(F.struct("cutoff", "n_good", "k", "b", "p"), F.struct(F.col("b") - COST * F.col("k"), F.col("cutoff"))).alias("best")
-    return rows.groupBy("stratum", "feature").agg(best).select("stratum", "feature", F.col("best.cutoff").alias("cutoff"), F.col("best.n_good").alias("n_good"), F.col("best.k").alias("false_rejections"), F.col("best.b").alias("bad_rejections"), F.col("best.p").alias("p_value"))
+    one = lambda i, f, c: F.struct(F.lit(i).alias("place"), F.lit(f).alias("feature"), F.lit(c).cast("long").alias("cutoff"), count(good & (F.col(f) > c)).alias("k"), count(~good & (F.col(f) > c)).alias("b")).alias(f"t_{i}")
+    sums = tune.groupBy("stratum").agg(*(one(i, f, c) for i, (f, c) in enumerate(steps)))
+    rows = sums.select("stratum", F.explode(F.array(*(f"t_{i}" for i in range(len(steps))))).alias("t")).select("stratum", "t.*")
+    order = Window.partitionBy("stratum").orderBy(F.col("k") / F.col("b"), F.desc("b"), "place")
+    return rows.where(F.col("b") > COST * F.col("k")).select("stratum", F.row_number().over(order).alias("step"), "feature", "cutoff")
+
+
+def first_step(steps: list[tuple[str, int, str, int]]) -> Column:
+    """The first of a stratum's steps (stratum, step, feature, cutoff) that rejects a row, null if none does."""
+    hit = [F.when((F.col("stratum") == s) & (F.col(f) > c), F.lit(i)) for s, i, f, c in sorted(steps)]
+    return F.array_min(F.array(*hit)) if hit else F.lit(None).cast("int")
+
+
+def passed_steps(holdout: DataFrame, steps: list[tuple[str, int, str, int]], risk: float = RISK, delta: float = DELTA, strata: int = len(STRATA) + 1) -> DataFrame:
+    """``stratum``, ``step``, ``n_good``, ``false_rejections``, ``p_value`` of every step up to the last that passes.
+
+    ``holdout``: as ``tune``, other documents. A step passes if the binomial probability of so few good documents rejected by
+    the steps up to it, were the true share ``risk``, is ``delta / strata`` at most, and all steps before it pass.
+    """
+    counts = holdout.where(F.coalesce(F.col("good"), F.lit(False))).groupBy("stratum", first_step(steps).alias("first")).agg(F.count("*").alias("k"))
+    by_step = counts.groupBy("stratum").agg(F.sum("k").alias("n_good"), F.collect_list(F.struct("first", "k")).alias("hits"))  # one for each step at most
+    in_stratum = [F.when(F.col("stratum") == s, F.sequence(F.lit(1), F.lit(max(i for t, i, _, _ in steps if t == s)))) for s in sorted({x[0] for x in steps})]
+    rows = by_step.withColumn("step", F.explode(F.coalesce(*in_stratum, F.array().cast("array<int>"))))
+    rows = rows.withColumn("false_rejections", F.expr("aggregate(filter(hits, h -> h.first <= step), 0L, (a, h) -> a + h.k)"))
+    rows = rows.select("stratum", "step", "n_good", "false_rejections", tail(F.col("false_rejections"), F.col("n_good"), risk).alias("p_value"))
+    so_far = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("worst", F.max("p_value").over(so_far)).where(F.col("worst") <= delta / strata).drop("worst")
+
+
+def cutoffs(labelled: DataFrame, rules: tuple[Rule, ...] = RULES, risk: float = RISK, delta: float = DELTA, strata: int = len(STRATA) + 1) -> list[tuple[str, str, int]]:
+    """(stratum, feature, cutoff) of the cutoffs that stand. At most (strata x cutoffs) rows reach the driver.
+
+    ``labelled``: ``label_key``, ``stratum``, ``good`` boolean and the features; written. Of ``strata`` times the cutoffs of
+    ``rules``, those up to each stratum's last passed step are returned, the strictest of each feature.
+    """
+    half = F.pmod(F.xxhash64(F.lit(HALVES), F.col("label_key").cast("string")), F.lit(2))
+    steps = [tuple(r) for r in ordered_cutoffs(labelled.where(half == 0), rules).collect()]
+    last = {r.stratum: r.step for r in passed_steps(labelled.where(half == 1), steps, risk, delta, strata).groupBy("stratum").agg(F.max("step").alias("step")).collect()}
+    found: dict[tuple[str, str], int] = {}
+    for stratum, step, feature, cutoff in steps:
+        if step <= last.get(stratum, 0):
+            found[stratum, feature] = min(cutoff, found.get((stratum, feature), cutoff))
+    return [(*key, cutoff) for key, cutoff in sorted(found.items())]
 
 
 def rejected_by(found: list[tuple[str, str, int]]) -> Column:
@@ -129,36 +169,39 @@ def rejected_by(found: list[tuple[str, str, int]]) -> Column:
 
 
 def label_table(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
-    """One row for each labelled id; of contradicting labels the lowest holds, null labels count for nothing."""
+    """``label_key`` and ``good``, one row for each labelled id; of contradicting labels the lowest holds, null labels count
+    for nothing."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull())
-    return known.groupBy(F.col(id_col).alias("label_id")).agg(F.min(quality_col).alias("quality")).select("label_id", (F.col("quality") > 0).alias("good"))
+    return known.groupBy(F.col(id_col).alias("label_key")).agg(F.min(quality_col).alias("quality")).select("label_key", (F.col("quality") > 0).alias("good"))
 
 
-def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", columns: list[Column] | None = None) -> DataFrame:
-    """``id_col`` (or ``columns``), the measures, ``stratum``, ``base_failed`` and ``kept`` of every row of ``df``.
+def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """``id_col``, the measures, ``stratum``, ``base_failed`` and ``kept`` of every row of ``df``.
 
-    ``kept``: neither the base rule nor a cutoff of :func:`cutoffs` on ``labels`` rejects the text. A null text has no
-    words and fails the base rule; a null or unknown language is in the stratum "other"; without enough labels a stratum
-    has no cutoffs. Features are computed once and written; at most (strata x rules) cutoffs reach the driver. DataFrame
-    functions only. Empty tables give empty results; other columns are not read.
+    ``kept``: neither the base rule nor a cutoff of :func:`cutoffs` on ``labels`` rejects the text. Cutoffs are found on the
+    documents that the base rule keeps, as only these reach them. A null text has no words and fails the base rule; a null or
+    unknown language is in the stratum "other"; a stratum with fewer good holdout documents than an exact bound needs (228
+    without a false rejection) has no cutoffs. Features are computed once and written. DataFrame functions only. Empty tables
+    give empty results; other columns are not read, whatever their names.
     """
-    rows = materialise(features(df, [F.col(id_col).alias("__id"), *(columns or [])], text_col, stratum_col), "features")
-    found = cutoffs(rows.join(label_table(labels), F.col("__id") == F.col("label_id")))
-    chosen = [(r.stratum, r.feature, r.cutoff) for r in found.collect()]
+    rows = materialise(features(df, [F.col(id_col).alias("__id")], text_col, stratum_col), "features")
+    labelled = rows.where(~base_failed()).join(label_table(labels), F.col("__id") == F.col("label_key"))
+    chosen = cutoffs(materialise(labelled, "labelled"))
     out = rows.withColumn("base_failed", base_failed())
-    out = out.withColumn("kept", ~(F.col("base_failed") | rejected_by(chosen)))
-    return out.withColumnRenamed("__id", id_col) if columns is None else out.drop("__id")
+    return out.withColumn("kept", ~(F.col("base_failed") | rejected_by(chosen))).withColumnRenamed("__id", id_col)
 
 
 def quality_filter(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """The rows of ``df`` that :func:`quality_rules` keeps, with all their columns.
+    """The rows of ``df`` that :func:`quality_rules` keeps, with all their columns; nulls and empty tables as there.
 
     Features are computed of the labelled rows for the cutoffs, then of every row as it passes; whole rows are not shuffled
-    while the labels are few enough to be broadcast.
+    while the labels are few enough to be broadcast. Columns of any names pass through.
     """
     known = hint(materialise(label_table(labels), "labels"), 24)
-    labelled = df.join(known, F.col(id_col) == F.col("label_id")).select(F.col("good").alias("__good"), F.col(text_col).alias("text"), (F.col(stratum_col) if stratum_col in df.columns else F.lit(None).cast("string")).alias("lang"))
-    rows = materialise(features(labelled, [F.col("__good").alias("good")], "text", "lang"), "features")
-    chosen = [(r.stratum, r.feature, r.cutoff) for r in cutoffs(rows).collect()]
-    judged = features(df, [F.struct(*df.columns).alias("__row")], text_col, stratum_col)
+    lang = F.col(stratum_col) if stratum_col in df.columns else F.lit(None).cast("string")
+    rows = df.select(F.struct(*df.columns).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), lang.alias("__lang"))
+    labelled = rows.drop("__row").join(known, F.col("__id") == F.col("label_key"))
+    labelled = materialise(features(labelled, [F.col("label_key"), F.col("good")], "__text", "__lang").where(~base_failed()), "labelled")
+    chosen = cutoffs(labelled)
+    judged = features(rows, [F.col("__row")], "__text", "__lang")
     return judged.where(~(base_failed() | rejected_by(chosen))).select("__row.*")
