@@ -1,10 +1,12 @@
 """Personal data: exact kinds by pattern, more by contextual bootstrapping.
 
-The exact kinds seed a graph. Its instances are tokens with a digit or an at sign, its patterns the word that stands before
-them. Patterns are scored by their known instances, unknown instances by their patterns, in turns. Patterns of a high score
-with enough known instances are trusted: their unknown instances become known, at a discount, and patterns that share them
-are scored in the next turn, until a turn adds no pattern. Trusted patterns mark the tokens that follow them. Only DataFrame
-functions.
+Seed entities are the spans of the exact kinds and long hexadecimal strings (kind "secret"). They seed a graph: its instances
+are tokens with a digit or an at sign, its patterns a kind with the one to three words before them, or the words on both
+sides. A pattern needs an anchor, a word that stands beside such tokens in a fair share of all its places in the corpus; function
+words are none. Patterns are scored by their known instances of their kind, unknown instances by their patterns, in turns.
+Patterns of a high score are trusted: their unknown instances become known, at a discount, and patterns that share them are
+scored in the next turn, until a turn adds no pattern. Trusted patterns mark the unknown tokens that stand in them. Only
+DataFrame functions.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, text_or_empty
+from .common import hint, let, materialise, text_or_empty
 
 #: Kinds in their order. Possessive forms and \\G keep matching linear; they find what the plain patterns find.
 PATTERNS = {
@@ -24,12 +26,15 @@ PATTERNS = {
 #: A short text without which there is no match.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 KINDS = tuple(PATTERNS)
-#: Kind of the spans that the method adds.
-FOUND = "id"
+#: Kind of the seeds that the method adds, what such a token consists of, and the kinds of patterns.
+SECRET, SECRET_FORM = "secret", r"^(?=.{0,40}[0-9])(?=.{0,40}[A-Fa-f])[0-9A-Fa-f]{32,}$"
+SEEDS = (*KINDS, SECRET)
+#: Spans found by patterns of a base kind carry its name with this ending.
+LIKE = "_like"
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: Scoring: rounds of a turn, weight of doubt, least score and known instances of a trusted pattern, digits of a token that it
-#: marks (if that has no at sign).
-ROUNDS, DOUBT, LEAST, SUPPORT, DIGITS = 2, 1.0, 0.8, 5, 5
+#: Scoring: rounds of a turn, weight of doubt (of so many unknown instances), least score of a trusted pattern, share of a word's
+#: places beside tokens that makes it an anchor.
+ROUNDS, DOUBT, LEAST, ANCHOR = 2, 1.0, 0.8, 0.25
 #: What an instance that a trusted pattern has made known is worth, of the pattern's score.
 DISCOUNT = 0.95
 #: Sums that are carried on together.
@@ -64,7 +69,7 @@ def before(values: Column) -> Column:
 def places(text: Column, pattern: str, more=None) -> Column:
     """Array of ``value``, ``start``, ``end`` (code points) of every match, leftmost, without overlap.
 
-    ``more``: makes further fields of a match from the text before it, up to the match before. Lengths of the matches and
+    ``more``: makes further fields of a match from the text before it and after it, up to the next matches. Lengths of the matches and
     of what lies between them add up to the places.
     """
 
@@ -72,7 +77,7 @@ def places(text: Column, pattern: str, more=None) -> Column:
         def joined(gaps: Column) -> Column:
             steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
             ends = let(steps, lambda s: F.zip_with(before(s), s, lambda a, b: a + b))
-            return F.transform(F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"), ends.alias("e")), lambda x: F.struct(x["m"].alias("value"), (x["e"] - F.length(x["m"])).alias("start"), x["e"].alias("end"), *(more(x["g"]) if more else [])))
+            return F.transform(F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"), F.slice(gaps, F.lit(2), F.size(found)).alias("a"), ends.alias("e")), lambda x: F.struct(x["m"].alias("value"), (x["e"] - F.length(x["m"])).alias("start"), x["e"].alias("end"), *(more(x["g"], x["a"]) if more else [])))
 
         return let(F.split(text, pattern, -1), joined)
 
@@ -98,7 +103,7 @@ def valid(kind: str, value: Column) -> Column:
 
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
-TOKENS = "array<struct<value:string,start:bigint,end:bigint,context:string,kind:string>>"
+TOKENS = "array<struct<value:string,start:bigint,end:bigint,contexts:array<string>,kind:string>>"
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -109,60 +114,100 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.coalesce(spans, F.array().cast(SPANS))
 
 
+def contexts(before_: Column, after: Column) -> Column:
+    """The last one, two and three words before a token, and the words on both sides: what there is of these."""
+    words = F.split(F.lower(F.regexp_extract(F.reverse(before_), r"^\s+(\S+(?:\s+\S+){0,2})", 1)), r"\s+")
+    right = F.lower(F.regexp_extract(after, r"^\s+(\S+)", 1))
+
+    def phrases(w: Column) -> Column:
+        left = F.transform(F.sequence(F.lit(1), F.size(w)), lambda n: F.reverse(F.array_join(F.slice(w, F.lit(1), n), " ")))
+        both = F.when(right != "", F.array(F.concat(F.reverse(F.get(w, 0)), F.lit(" _ "), right))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.get(w, 0) != "", F.concat(left, both)).otherwise(F.array().cast("array<string>"))
+
+    return let(words, phrases)
+
+
 def tokens(text: Column, spans: Column) -> Column:
-    """Tokens with a digit or an at sign: the word before each, and the kind of the span that it shares characters with."""
-    context = lambda gap: [F.lower(F.regexp_extract(F.substring(gap, -64, 64), r"(\S+)\s+$", 1)).alias("context")]
+    """Tokens with a digit or an at sign, without signs at their ends: contexts, and the kind of the span each shares characters with."""
 
     def labelled(x: Column) -> Column:
-        touching = F.filter(spans, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
-        return F.struct(x["value"], x["start"], x["end"], x["context"], F.get(touching, 0)["kind"].alias("kind"))
+        inner = F.regexp_replace(x["value"], r"^[^\p{L}\p{N}@+]++", "")
+        cut = F.length(x["value"]) - F.length(inner)
+        core = F.regexp_extract(inner, r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++)*+", 0)
 
-    return F.coalesce(F.transform(places(text, TOKEN, context), labelled), F.array().cast(TOKENS))
+        def struct(v: Column) -> Column:
+            start = x["start"] + cut
+            end = start + F.length(v)
+            touching = F.filter(spans, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
+            kind = F.coalesce(F.get(touching, 0)["kind"], F.when(v.rlike(SECRET_FORM), F.lit(SECRET)))
+            return F.struct(v.alias("value"), start.alias("start"), end.alias("end"), x["contexts"].alias("contexts"), kind.alias("kind"))
 
+        return let(core, struct)
 
-def markable(value: Column) -> Column:
-    """Whether a token can be an identifier: DIGITS digits or more, or an at sign beside a letter or digit."""
-    return (F.length(F.regexp_replace(value, "[^0-9]", "")) >= DIGITS) | value.rlike(r"[\p{L}\p{N}]@|@[\p{L}\p{N}]")
+    found = F.transform(places(text, TOKEN, lambda g, a: [contexts(g, a).alias("contexts")]), labelled)
+    return F.coalesce(F.filter(found, lambda t: t["value"].rlike(r"[0-9]|[\p{L}\p{N}]@|@[\p{L}\p{N}]")), F.array().cast(TOKENS))
+
+
+def anchors(words: DataFrame, texts: DataFrame, text_col: str, least: float = ANCHOR) -> DataFrame:
+    """``word``: those of ``words`` (``word``, ``beside``: places beside tokens) of which ``least`` of all places are beside tokens.
+
+    The words of all texts are counted, within tasks first.
+    """
+    every = texts.select(F.explode(F.split(F.lower(text_or_empty(text_col)), r"\s+")).alias("word")).join(hint(words.select("word"), 48), "word", "left_semi")
+    places_ = every.groupBy("word").agg(F.count("*").alias("places"))
+    return words.join(places_, "word").where(F.col("beside") >= least * F.col("places")).select("word")
 
 
 def pattern_scores(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``context``, ``score``, ``known`` of every pattern that has known instances.
+    """``pattern``, ``score``, ``known`` of every pattern that has known instances.
 
-    ``edges``: ``context``, ``value``, ``worth`` (0: unknown; 1: a seed; between: made known), written. A pattern's score is
-    the mean of its instances' worth, with DOUBT unknown ones added; an unknown instance is worth the chance that at least
-    one of its patterns is right.
+    ``edges``: ``pattern``, ``value``, ``worth`` (1: a seed of the pattern's kind; 0: unknown; between: made known; -1: a seed of
+    another kind), written. A pattern's score is the mean of its instances' worth, with DOUBT unknown ones added; an unknown
+    instance is worth the chance that at least one of its patterns is right.
     """
-    known = edges.groupBy("context").agg(F.count("*").alias("n"), F.sum("worth").alias("worth"), F.count_if(F.col("worth") > 0).alias("known")).where("known > 0")
+    known = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.greatest("worth", F.lit(0.0))).alias("worth"), F.count_if(F.col("worth") > 0).alias("known")).where("known > 0")
     scores = materialise(known.withColumn("score", F.col("worth") / (F.col("n") + DOUBT)), "patterns")
     for _ in range(rounds):
-        doubt = edges.where("worth = 0").join(scores.select("context", "score"), "context").groupBy("value").agg(F.sum(F.log(1 - F.col("score"))).alias("doubt"))
-        judged = doubt.select("value", (1 - F.exp("doubt")).alias("right"))
-        gained = edges.where("worth = 0").join(judged, "value").groupBy("context").agg(F.sum("right").alias("gained"))
-        scores = scores.select("context", "n", "worth", "known").join(gained, "context", "left")
-        scores = materialise(scores.select("context", "n", "worth", "known", ((F.col("worth") + F.coalesce("gained", F.lit(0.0))) / (F.col("n") + DOUBT)).alias("score")), "patterns")
-    return scores.select("context", "score", "known")
-
-
-def trusted_patterns(occurrences: DataFrame, least: float = LEAST, support: int = SUPPORT) -> DataFrame:
-    """``context`` and ``score`` of the patterns of score ``least`` and ``support`` known instances, by turns.
-
-    ``occurrences``: ``context``, ``value``, ``kind`` (null: unknown). Instances are distinct values. After each turn the
-    markable unknown instances of all trusted patterns are known: worth DISCOUNT times the chance that one of these is
-    right. Every pattern that has such an instance is scored in the next turn. A pattern stays trusted, with its first
-    score; the turn that adds none is the last. Edges are counted before they are shuffled; Spark splits a pattern that has
-    many.
+        doubt = edges.where("worth = 0").join(scores.select("pattern", "score"), "pattern").groupBy("value", F.col("pattern.kind").alias("kind")).agg(F.sum(F.log(1 - F.col("score"))).alias("doubt"))
+        judged = doubt.select("value", "kind", (1 - F.exp("doubt")).alias("right"))
+        unknown = edges.where("worth = 0").withColumn("kind", F.col("pattern.kind"))
+        gained = unknown.join(judged, ["value", "kind"]).groupBy("pattern").agg(F.sum("right").alias("gained"))
+        scores = scores.select("pattern", "n", "worth", "known").join(gained, "pattern", "left")
+        scores = materialise(scores.select("pattern", "n", "worth", "known", ((F.col("worth") + F.coalesce("gained", F.lit(0.0))) / (F.col("n") + DOUBT)).alias("score")), "patterns")
+    return scores.select("pattern", "score", "known")
+
+
+def trusted_patterns(occurrences: DataFrame, texts: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """``kind``, ``context`` and ``score`` of the patterns of score ``least``, by turns.
+
+    ``occurrences``: ``contexts``, ``value``, ``kind`` (null: unknown). Instances are distinct values. After each turn the
+    unknown instances of all trusted patterns are known, of the pattern's kind: worth DISCOUNT times the chance that one of
+    these is right. Every pattern that has such an instance is scored in the next turn. A pattern stays trusted, with its first
+    score; the turn that adds none is the last. Contexts of so few instances that no score can reach ``least`` are left out,
+    which changes nothing. Edges are counted before they are shuffled; Spark splits a pattern that has many.
     """
-    found = occurrences.where("context != ''").groupBy("context", "value").agg(F.max(F.col("kind").isNotNull().cast("double")).alias("worth"))
-    edges = now = materialise(found, "edges")
-    passed = lambda df: df.where((F.col("score") >= least) & (F.col("known") >= support)).select("context", "score")
+    found = occurrences.select("value", "kind", F.explode("contexts").alias("context")).groupBy("context", "value").agg(F.min("kind").alias("kind"))
+    found = materialise(found, "contexts")
+    often = found.groupBy("context").agg(F.count("*").alias("n")).where(F.col("n") >= least * (F.col("n") + DOUBT)).select("context")
+    often = materialise(often, "often")
+    words = often.select("context", F.explode(F.array_remove(F.array_distinct(F.split("context", " ")), "_")).alias("word"))
+    near = occurrences.select(F.explode(F.array_distinct(F.flatten(F.transform("contexts", lambda c: F.split(c, " "))))).alias("word")).groupBy("word").agg(F.count("*").alias("beside"))
+    near = materialise(near.join(words.select("word").distinct(), "word", "left_semi"), "beside")
+    anchored = words.join(anchors(near, texts, text_col), "word", "left_semi").select("context").distinct()
+    found = materialise(found.join(anchored, "context", "left_semi"), "anchored")
+    pattern = F.struct(F.col("as").alias("kind"), "context").alias("pattern")
+    worth = F.when(F.col("kind").isNull(), 0.0).when(F.col("kind") == F.col("as"), 1.0).otherwise(-1.0)
+    edges = now = materialise(found.withColumn("as", F.explode(F.array(*map(F.lit, SEEDS)))).select(pattern, "value", worth.alias("worth")), "edges")
+    passed = lambda df: df.where(F.col("score") >= least).select("pattern", "score")
     trusted = added = materialise(passed(pattern_scores(now)), "trusted")
     while not added.isEmpty():
-        behind = edges.where((F.col("worth") == 0) & markable(F.col("value"))).join(trusted, "context")
-        gained = behind.groupBy("value").agg((DISCOUNT * (1 - F.exp(F.sum(F.log(1 - F.col("score")))))).alias("gained"))
-        now = materialise(edges.join(gained, "value", "left").select("context", "value", F.greatest("worth", F.coalesce("gained", F.lit(0.0))).alias("worth")), "edges")
-        added = materialise(passed(pattern_scores(now)).join(trusted, "context", "left_anti"), "added")
+        behind = edges.where("worth = 0").join(trusted, "pattern")
+        gained = behind.groupBy("value", F.col("pattern.kind").alias("as")).agg((DISCOUNT * (1 - F.exp(F.sum(F.log(1 - F.col("score")))))).alias("gained"))
+        raised = edges.withColumn("as", F.col("pattern.kind")).join(gained, ["value", "as"], "left")
+        now = materialise(raised.select("pattern", "value", F.when(F.col("worth") == 0, F.coalesce("gained", F.lit(0.0))).otherwise(F.col("worth")).alias("worth")), "edges")
+        added = materialise(passed(pattern_scores(now)).join(trusted, "pattern", "left_anti"), "added")
         trusted = materialise(trusted.union(added), "trusted")
-    return trusted
+    return trusted.select("pattern.kind", "pattern.context", "score")
 
 
 def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -171,19 +216,23 @@ def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialise(spanned.select("rid", "id", "x.spans", "x.tokens"), "scanned")
 
 
-def pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, support: int = SUPPORT) -> DataFrame:
+def pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """``id_col``, ``spans`` array<struct<kind, start, end>> by kind and start, and ``found`` of every row of ``df``.
 
     ``spans``: email, ip, card and phone in this order, as PATTERNS and :func:`valid` have them, code points, end
-    exclusive. ``found``: further spans of kind "id", by start: markable tokens that no such span touches and that stand
-    behind a trusted pattern (:func:`trusted_patterns`). A null or empty text has none; a
-    null id stays null; repeated rows are alike; texts are searched whole. An empty table gives an empty result; other
-    columns are not read.
+    exclusive. ``found``: further spans by kind and start: seeds of kind "secret", and tokens that no seed touches and that stand in
+    a trusted pattern (:func:`trusted_patterns`), of its kind ("secret", else the kind with "_like"); of several patterns the
+    one of the best score holds. A null or empty text has none; a null id stays null; repeated rows are alike; texts are
+    searched whole. An empty table gives an empty result; other columns are not read.
     """
     rows = scanned(df, id_col, text_col)
     occurrences = rows.select("rid", F.explode("tokens").alias("t")).select("rid", "t.*")
-    likely = occurrences.where(F.col("kind").isNull() & markable(F.col("value"))).join(trusted_patterns(occurrences, least, support), "context", "left_semi")
-    more = likely.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(F.lit(FOUND).alias("kind"), "start", "end"))).alias("found"))
+    trusted = materialise(trusted_patterns(occurrences, df, text_col, least), "trusted").select(F.col("kind").alias("as"), "context", "score")
+    unknown = occurrences.where(F.col("kind").isNull()).select("rid", "start", "end", F.explode("contexts").alias("context")).join(hint(trusted, 160), "context")
+    name = F.when(F.col("best.as") == SECRET, F.lit(SECRET)).otherwise(F.concat(F.col("best.as"), F.lit(LIKE)))
+    marked = unknown.groupBy("rid", "start", "end").agg(F.max(F.struct("score", "as")).alias("best")).select("rid", "start", "end", name.alias("kind"))
+    marked = marked.union(occurrences.where(F.col("kind") == SECRET).select("rid", "start", "end", "kind"))
+    more = marked.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("found"))
     out = rows.select("rid", "id", "spans").join(more, "rid", "left")
     return out.select(F.col("id").alias(id_col), "spans", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
 

@@ -213,7 +213,7 @@ def test_pii(spark, docs, empty):
     assert {r.doc_id: [tuple(s) for s in r.spans] for r in pii.pii(many).collect()} == {i: plain_spans(t) for i, t in enumerate(soup)}
     learnt = [(i, f"call reach user{i}@mail.example.org now") for i in range(40)] + [(99, "please reach 12345678 today")]
     found = {r.doc_id: [tuple(s) for s in r.found] for r in pii.pii(spark.createDataFrame(learnt, "doc_id long, text string")).collect()}
-    assert found[99] == [("id", 13, 21)]
+    assert found[99] == [("email_like", 13, 21)]
     long = spark.createDataFrame([(1, "a@b.c " * 3000 + "1" * 200_000 + "a" * 200_000 + "@" + "b." * 50_000 + "c")], "doc_id long, text string")
     assert len(pii.pii(long).first().spans) == 3001
     assert pii.pii(empty).count() == 0
@@ -222,12 +222,39 @@ def test_pii(spark, docs, empty):
 def test_pii_bootstraps_over_two_hops(spark):
     texts = [f"call reach user{i}@mail.example.org now" for i in range(80)] + [f"call reach 100000{i:02} now" for i in range(30)]
     texts += [f"his account 100000{i:02} is open" for i in range(30)] + [f"on page {20000 + i} of it" for i in range(30)] + ["on page 10000003 of it"]
-    asked = {"my account 98765432 too": [("id", 11, 19)], "or reach @some_name there": [("id", 9, 19)], "or reach @ noon": [], "see page 31234567 next": []}
+    asked = {"my account 98765432 too": [("email_like", 11, 19)], "or reach @some_name there": [("email_like", 9, 19)], "or reach @ noon": [], "see page 31234567 next": []}
     rows = spark.createDataFrame([(t,) for t in texts + list(asked)], "text string").withColumn("doc_id", F.col("text"))
     found = {r.doc_id: [tuple(s) for s in r.found] for r in pii.pii(rows).collect()}
     assert {t: found[t] for t in asked} == asked
 
 
+def test_pii_patterns_against_planted_identifiers(spark):
+    """Patterns of several words and of the words on both sides, secrets behind a sign, none from function words."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    code = lambda n, letters="0123456789abcdef": "".join(rng.choice(letters) for _ in range(n))
+    rows, wanted = [], {}
+
+    def plant(before, value, after="", hit=True):
+        head = f"{prose(20)} {before}"
+        rows.append((len(rows), f"{head}{value}{after} {prose(20)}"))
+        if hit:
+            wanted[rows[-1][0]] = (len(head), len(head) + len(value))
+
+    for _ in range(30):
+        plant('token = "', "a1" + code(30), '"')  # seeds of their own
+        plant("write to ", f"u{code(5)}@example.org", hit=False)
+        plant("the ", f"v{code(5)}@example.org", hit=False)  # a function word before a base kind
+    for _ in range(10):
+        plant('token = "', "zq" + code(7), '"')
+        plant("please write to ", f"box{rng.randrange(1000)}", " now")
+        plant("the ", f"q{code(3, '0123456789')}", hit=False)
+    found = {r.doc_id: [(s.start, s.end) for s in r.found] for r in pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = sum(found[i] == [span] for i, span in wanted.items())
+    false = sum(len(v) for i, v in found.items() if i not in wanted)
+    assert hits == len(wanted) and false == 0
+
+
 def test_packing(spark, docs, empty, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -272,20 +299,81 @@ def test_quality(spark, docs, empty, labels):
     got = quality.quality_rules(docs, labels).collect()
     assert multiset((r.doc_id, (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)) for r in got) == multiset((r[0], plain_quality(r[1])) for r in fixture_rows())
     assert all(r.kept != r.base_failed for r in got)  # too few labels for a cutoff
+    clashing = docs.withColumns({c: F.lit(1) for c in ("good", "label_id", "label_key", "stratum", "quality", "n_words")})
     assert quality.quality_filter(docs, labels).columns == docs.columns
+    assert quality.quality_filter(clashing, labels.withColumn("good", F.lit(0))).count() == sum(r.kept for r in got) == quality.quality_rules(clashing, labels).where("kept").count()
     assert quality.quality_rules(empty, labels).count() == 0 and quality.quality_filter(docs, labels.limit(0)).count() == sum(r.kept for r in got)
 
 
+def plain_cutoffs(rows, risk, delta, strata):
+    """``rows``: (stratum, good, half, values by feature). The cutoffs that stand, by lists and loops."""
+    from math import comb
+
+    found = {}
+    for stratum in {r[0] for r in rows}:
+        tune, hold = ([r for r in rows if r[0] == stratum and r[2] == half] for half in (0, 1))
+        steps = []
+        for rule in quality.RULES:
+            for cutoff in sorted(rule.cutoffs, reverse=True):
+                hit = [r[1] for r in tune if r[3][rule.feature] > cutoff]
+                k, b = sum(hit), len(hit) - sum(hit)
+                if b > quality.COST * k:
+                    steps.append((k / b, -b, len(steps), rule.feature, cutoff))
+        good, taken = [r[3] for r in hold if r[1]], []
+        for _, _, _, feature, cutoff in sorted(steps, key=lambda x: x[:3]):
+            trial = [*taken, (feature, cutoff)]
+            k = sum(any(v[f] > c for f, c in trial) for v in good)
+            if not good or sum(comb(len(good), i) * risk**i * (1 - risk) ** (len(good) - i) for i in range(k + 1)) > delta / strata:
+                break
+            taken = trial
+        for feature, cutoff in taken:
+            found[stratum, feature] = min(cutoff, found.get((stratum, feature), cutoff))
+    return sorted((*key, c) for key, c in found.items())
+
+
 def test_quality_cutoffs(spark):
+    """The cutoffs of 40 strata with random true rates equal those of lists and loops; false rejections stay under RISK."""
+    rng, data, names = random.Random(4), [], [r.feature for r in quality.RULES]
+    truth = {}
+    for s in range(40):
+        rates = [rng.choice((0, 0.001, 0.004, 0.015, 0.03, 0.08)) for _ in names]
+        truth[f"s{s}"] = rates
+        for i in range(1500):
+            good = i % 4 > 0
+            high = [rng.random() < (rate if good else 0.4) for rate in rates]
+            data.append((f"{s}-{i}", f"s{s}", good, *(rng.choice((rule.cutoffs[-1] + 1, sorted(rule.cutoffs)[2] + 1)) if h else min(rule.cutoffs) for h, rule in zip(high, quality.RULES, strict=True))))
+    table = spark.createDataFrame(data, "label_key string, stratum string, good boolean, " + ", ".join(f"{n} int" for n in names)).repartition(4)
+    half = {r.label_key: r.h for r in table.select("label_key", F.pmod(F.xxhash64(F.lit(quality.HALVES), "label_key"), F.lit(2)).alias("h")).collect()}
+    got = quality.cutoffs(table)
+    assert got == plain_cutoffs([(r[1], r[2], half[r[0]], dict(zip(names, r[3:], strict=True))) for r in data], quality.RISK, quality.DELTA, len(quality.STRATA) + 1)
+    assert len({s for s, _, _ in got}) > 20
+    used = collections.defaultdict(set)
+    for s, f, _ in got:
+        used[s].add(names.index(f))
+    over = sum(1 - np.prod([1 - truth[s][k] for k in at]) > quality.RISK * 1.05 for s, at in used.items())
+    assert over <= 2  # delta is 0.05 for five strata, so one of a hundred, with 40 tried
+
+
+def test_quality_verdict_differs_from_the_base_rule(spark):
+    rng = random.Random(8)
+    text = lambda junk: " ".join(rng.choice(WORDS) + str(rng.randrange(60)) * (not junk) + "***" * junk for _ in range(rng.randrange(60, 90)))
+    rows = [(i, text(i % 8 == 0), "en") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 8 > 0)) for i in range(800)], "doc_id long, quality int")
+    got = {r.doc_id: (r.kept, r.base_failed) for r in quality.quality_rules(docs, labels).collect()}
+    failed = {i: plain_quality(t)[5] for i, t, _ in rows}
+    assert all(b == failed[i] for i, (_, b) in got.items())
+    assert all(k == (i % 8 > 0 and not failed[i]) for i, (k, _) in got.items())
+
+
+def test_binomial_tail(spark):
     from math import comb
 
-    rows = spark.createDataFrame([(True, i % 1000 == 0, 1) for i in range(9000)] + [(False, True, 1)] * 900, "good boolean, high boolean, one int")
-    table = rows.selectExpr("'en' AS stratum", "good", "IF(high, 50, 1) AS symbols_pm", *(f"0 AS {r.feature}" for r in quality.RULES if r.feature not in ("symbols_pm", "short_words_c")), "-999 AS short_words_c")
-    (found,) = quality.cutoffs(table).collect()
-    assert (found.feature, found.cutoff, found.false_rejections, found.bad_rejections) == ("symbols_pm", 40, 9, 900)
-    risk = quality.RISK / len(quality.RULES)
-    exact = sum(comb(9000, k) * risk**k * (1 - risk) ** (9000 - k) for k in range(10))
-    assert abs(found.p_value - exact) < 1e-6 * exact
+    row = spark.range(1).select(*(quality.tail(F.lit(k).cast("long"), F.lit(n).cast("long"), 0.02).alias(f"t{k}_{n}") for k, n in ((0, 1), (3, 400), (9, 9000), (60, 3000)))).first()
+    for name, p in row.asDict().items():
+        k, n = map(int, name[1:].split("_"))
+        exact = sum(comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1))
+        assert abs(p - exact) <= 1e-6 * exact
 
 
 def test_exact_dedup(docs, empty):
