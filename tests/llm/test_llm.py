@@ -127,6 +127,62 @@ def test_html(spark):
     assert html_extract.extract_main(pages.limit(0)).count() == 0
 
 
+NEUTRAL = """<html><body><div class=k1><a href=/>Start</a> <a href=/x>{menu}</a></div><div class=k2><div class=k5><h1>{title}</h1><p>{first}<p>Tell your friends of this<p>{second}
+<div class=k7>See <a>{menu}</a> <a>{title}</a></div></div></div><div class=k3>All of it by the site, {menu}</div></body></html>"""
+
+
+def neutral_rows(hosts, pages):
+    rng = random.Random(2)
+    prose = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(900)) for _ in range(n))
+    rows, texts = [], {}
+    for h in range(hosts):
+        for i in range(pages):
+            fill = {"menu": prose(4), "title": prose(5), "first": prose(60), "second": prose(30 + i)}
+            rows.append((len(rows), f"https://n{h}.example.org/{i}", NEUTRAL.format(**fill)))
+            texts[rows[-1][0]] = "\n\n".join((fill["title"], fill["first"], fill["second"]))
+    return rows, texts
+
+
+@pytest.mark.parametrize("pages", [3, 12])
+def test_html_template_without_telling_names(spark, pages):
+    rows, texts = neutral_rows(4, pages)
+    got = {r.page_id: r.text for r in html_extract.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == texts
+    alone = html_extract.extract_main(spark.createDataFrame(rows[:1], "page_id long, url string, html string")).first()
+    assert alone.text != texts[0]  # one page tells no template
+
+
+def test_html_templates_against_plain_classes(spark):
+    rows = neutral_rows(2, 5)[0] + [(50 + i, f"http://h.example.com/{i}", PAGE.replace("{n}", f"unique {i}")) for i in range(4)] + [(60, "http://h.example.com/e", ""), (61, "http://two.example.com/", PAGE), (62, "http://two.example.com/", "<p>" + "x " * 50_000)]
+    host = {r[0]: re.match("https?://([^/]*)", r[1])[1] for r in rows}
+    pages = spark.createDataFrame([(r[0], host[r[0]], r[2]) for r in rows], "rid long, host string, html string").repartition(3)
+    hashed = {r.host: r.h for r in pages.select("host", F.xxhash64("host").alias("h")).distinct().collect()}
+    got = {r.host: (set(r.template), r.main, set(r.links)) for r in html_extract.templates(pages).collect()}
+    want = {}
+    for name in hashed:
+        own = [(r[0], html_extract.page_tokens(html_extract.parsed(r[2]))) for r in rows if host[r[0]] == name]
+        if len(own) < 3:
+            continue
+        on = collections.defaultdict(list)
+        for page, seen in own:
+            for token, row in seen.items():
+                on[token].append((page, *row))
+        by_vector = collections.defaultdict(list)
+        for token, at in on.items():
+            if len(at) >= max(3, len(own) / 2):
+                by_vector[tuple((x[0], x[2]) for x in at)].append(token)
+        place = lambda t: sum(x[3] for x in on[t]) / len(on[t])
+        classes = [(len(v), min(map(place, ts)), max(map(place, ts)), ts) for v, ts in by_vector.items() if len(ts) > 1]
+        crosses = lambda c, o: c[1] < o[1] < c[2] < o[2] or o[1] < c[1] < o[2] < c[2]
+        valid = [t for c in classes if not any(o[0] >= c[0] and crosses(c, o) for o in classes) for t in c[3]]
+        chars, linked = ({t: sum(x[k] for x in on[t]) for t in valid if on[t][0][1]} for k in (5, 6))
+        plain = {t: chars[t] - linked[t] for t in chars if chars[t]}
+        most = max(plain.values(), default=0) / 2
+        main = max(((max(x[4] for x in on[t]), n, t) for t, n in plain.items() if n >= most and sum(x[2] for x in on[t]) == len(on[t])), default=(0, 0, 0))[2]
+        want[hashed[name]] = set(valid), main, {t for t, n in plain.items() if linked[t] > chars[t] / 2 and n < most}
+    assert got == want and len(want) == 3 and all(m for _, m, _ in want.values())
+
+
 def test_near(docs, empty):
     rows = fixture_rows()
     got = near_dedup.near_duplicates(docs).collect()
