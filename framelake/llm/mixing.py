@@ -12,7 +12,7 @@ from .common import hint, materialise, text_or_empty, with_row_number
 WEIGHTS = (3, 1, 2)
 #: Share of all sizes that is given out, and the most that a source gives of its size.
 TOTAL, MOST = 1.5, 2
-#: Words of a budget that are left to the knapsack.
+#: Words of a budget that are spent by the knapsack, at least.
 WINDOW = 20_000
 #: Parts of the documents of one source and length, by hash.
 PARTS = 4096
@@ -44,31 +44,39 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float
 
 
 def fill(sizes: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each size together come nearest to ``budget``, at most ``counts`` of them.
+    """How many documents of each size, at most ``counts`` of them, come nearest to ``budget``; of two sums as near, the smaller.
 
-    All sizes are taken in proportion, the rest is filled from the largest, and the last WINDOW words by a bounded
-    knapsack: bit sets of the sums that are reachable with the sizes so far, counts split into powers of two.
+    All sizes are taken in proportion; from the smallest sizes on, so many of these are given back that WINDOW words or more of the
+    budget are open (all, if it has no more), and a bounded knapsack spends them: bit sets of the sums that are reachable with
+    the sizes so far, counts split into powers of two. A budget of WINDOW words at most is thus met as nearly as any choice
+    can; a larger one is missed only by sums that no choice of the last WINDOW words reaches.
     """
     total = sum(a * b for a, b in zip(sizes, counts, strict=True))
     if total <= budget:
         return list(counts)
     take = [c * budget // total for c in counts]
     left = budget - sum(a * b for a, b in zip(sizes, take, strict=True))
-    order = sorted((i for i in range(len(sizes)) if sizes[i] > 0), key=lambda i: -sizes[i])
-    for i in order:
+    order = sorted((i for i in range(len(sizes)) if sizes[i] > 0), key=lambda i: sizes[i])
+    for i in reversed(order):  # what rounding down leaves
         if left > WINDOW:
-            more = min(counts[i] - take[i], (left - WINDOW // 2) // sizes[i])
+            more = min(counts[i] - take[i], (left - WINDOW) // sizes[i])
             take[i], left = take[i] + more, left - more * sizes[i]
+    for i in order:
+        if left < WINDOW and take[i]:
+            back = min(take[i], -((left - WINDOW) // sizes[i]))
+            take[i], left = take[i] - back, left + back * sizes[i]
     if left <= 0:
         return take
     most = 2 * left
     mask, reach, steps = (1 << (most + 1)) - 1, 1, []
-    for i in sorted(order, key=lambda i: sizes[i] > left):
+    for i in order:
         free, power = min(counts[i] - take[i], most // sizes[i]), 1
         while free > 0:
             n = min(power, free)
-            steps.append((i, n, reach))
-            reach |= (reach << (n * sizes[i])) & mask
+            more = reach | (reach << (n * sizes[i])) & mask
+            if more != reach:
+                steps.append((i, n, reach))
+                reach = more
             free, power = free - n, 2 * power
         if reach >> left & 1:
             break
@@ -133,7 +141,11 @@ def mixture(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it, with all their columns."""
+    """The rows of ``df``, each as often as the mix takes it, with all their columns, whatever their names.
+
+    Nulls, sources without words and empty tables as in :func:`mixture`; of rows that are alike in all columns any may stay.
+    """
     whole = materialise(df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("key"), F.col(source_col).alias("source"), words_of(text_col).alias("size")).withColumn("rid", F.monotonically_increasing_id()), "numbered")
     times = materialise(mix(whole.select("rid", "key", "source", "size"), seed).where("times > 0").select("rid", "times"), "times")
-    return whole.join(hint(times, 24), "rid").select("row.*", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("__copy")).drop("__copy")
+    taken = whole.join(hint(times, 24), "rid").select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy"))
+    return taken.select("row.*")
