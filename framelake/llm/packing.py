@@ -3,7 +3,7 @@
 A shard is a run of documents in ascending order of their ids. Its table has one row for each block: the shard, the
 block's number, the ids of the shard before it, the lengths of its documents and one binary value that holds all ids of
 the block in the fewest bits that the vocabulary needs. Every block starts on a byte, so any document is unpacked from its
-own block alone. Blocks are rows of Parquet files, whose commit makes writing safe against lost executors.
+own block alone; :func:`document_index` says where each one stands. Blocks are rows of Parquet files, whose commit makes writing safe against lost executors.
 """
 
 from __future__ import annotations
@@ -20,8 +20,21 @@ from .common import bound_batches, hint, text_or_empty
 
 #: Tokens of a block, if no document alone has more.
 BLOCK = 1 << 17
+#: Bytes of text of a shard, about.
+SHARD_BYTES = 32 << 20
 #: Words that a Python worker keeps.
 KEEP = 500_000
+#: The normaliser and splitter (fixed values of the format) under which a text's pieces do not depend on each other.
+PIECEWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 FILE_SCHEMA = "shard int, block int, start long, bits int, keys array<string>, lengths array<int>, payload binary"
 
@@ -48,9 +61,11 @@ def unpack(payload: bytes, bits: int, first: int, count: int) -> np.ndarray:
 
 
 class WordTokenizer:
-    """A tokenizer of the ``tokenizers`` library for texts whose pieces between certain characters do not depend on each other."""
+    """A tokenizer of the ``tokenizers`` library. Where its file has the normaliser and splitter PIECEWISE and a plain BPE model
+    with a suffix that ends words, pieces are encoded once; texts of any other tokenizer are encoded whole."""
 
     def __init__(self, path: str):
+        import json
         import re
 
         from tokenizers import Tokenizer
@@ -62,7 +77,13 @@ class WordTokenizer:
         self.cut = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-/:-@\[-`{-~]+")
         self.runs = re.compile(r"[^\t-\r ]+")
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        suffix = self.tokenizer.model.end_of_word_suffix
+        with open(path, encoding="utf-8") as file:
+            form = json.load(file)
+        model = form["model"]
+        plain = model.get("type", "BPE") == "BPE" and not (model.get("dropout") or model.get("unk_token") or model.get("continuing_subword_prefix"))
+        self.piecewise = plain and bool(suffix := model.get("end_of_word_suffix")) and all(form.get(k) == v for k, v in PIECEWISE.items())
+        if not self.piecewise:
+            return
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
@@ -79,6 +100,8 @@ class WordTokenizer:
                     self.known[p] = ids[x:y]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.piecewise:
+            return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         plain, other, pieces = [], [], []
         for text in texts:
             if any(s in text for s in self.special):
@@ -116,15 +139,19 @@ def tokenizer(path: str) -> WordTokenizer:
 def write_packed(df: DataFrame, target: str, path: str, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
     """Encode every whole text, end it with ``end_id``, and write shards to ``target``, a path of Spark's file systems.
 
-    Documents stand in ascending order of ``id_col``, null ids first, repeated ids by text. One shuffle sorts the texts by
-    range, so shards are even whatever the ids; ids are packed where they are made and are not moved again. A null or
+    Documents stand in ascending order of ``id_col``, null ids first, repeated ids by a hash of their texts. One shuffle sorts the
+    texts by range, into shards of about SHARD_BYTES of text (but one for each core at least, unless ``shards`` says otherwise),
+    so shards are even whatever the ids; ids are packed where they are made and are not moved again. A null or
     empty text has the end id alone. A text longer than a block makes a block of its own. An empty table writes none.
     """
     spark = df.sparkSession
     bound_batches(spark)
-    bits, shards = width_of(vocabulary), shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text"))
-    ordered = rows.repartitionByRange(shards, "key").sortWithinPartitions("key", "text").select(F.spark_partition_id().alias("shard"), F.col("key").cast("string"), "text")
+    bits = width_of(vocabulary)
+    rows = df.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    if not shards:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(size // SHARD_BYTES + 1, spark.sparkContext.defaultParallelism)
+    ordered = rows.repartitionByRange(shards, "key", "h").sortWithinPartitions("key", "h", "text").select(F.spark_partition_id().alias("shard"), F.col("key").cast("string"), "text")
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = tokenizer(path)
@@ -179,7 +206,14 @@ def read_packed(spark, target: str, id_type: str = "long", id_col: str = "doc_id
     return docs.select(F.col("key").cast(id_type).alias(id_col), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
-def document_at(files: DataFrame, shard: int, block: int, place: int) -> np.ndarray:
-    """The ids of one document, by random access: one row is read, one slice unpacked."""
-    row = files.where((F.col("shard") == shard) & (F.col("block") == block)).first()
-    return unpack(bytes(row["payload"]), row["bits"], sum(row["lengths"][:place]), row["lengths"][place])
+def document_index(files: DataFrame, id_col: str = "doc_id", id_type: str = "long") -> DataFrame:
+    """``id_col``, ``shard``, ``block``, ``first`` (ids of the block before it) and ``n_tokens`` of every document."""
+    each = files.select("shard", "block", "lengths", F.posexplode("keys").alias("place", "key"))
+    first = F.aggregate(F.slice("lengths", F.lit(1), F.col("place")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return each.select(F.col("key").cast(id_type).alias(id_col), "shard", "block", first.alias("first"), F.get("lengths", "place").cast("long").alias("n_tokens"))
+
+
+def document_at(files: DataFrame, shard: int, block: int, first: int, n_tokens: int) -> np.ndarray:
+    """The ids of one document of :func:`document_index`, by random access: one row is read, one slice unpacked."""
+    row = files.where((F.col("shard") == shard) & (F.col("block") == block)).select("payload", "bits").first()
+    return unpack(bytes(row["payload"]), row["bits"], first, n_tokens)

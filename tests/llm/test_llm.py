@@ -327,12 +327,33 @@ def test_packing(spark, docs, empty, tmp_path):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes())) and (r.doc_id, tuple(r.ids)) in want
         start += r.n_tokens
     files = spark.read.parquet(f"file://{tmp_path}/p")
-    row = files.orderBy("shard", "block").first()
-    assert packing.document_at(files, row.shard, row.block, 1).tolist() == got[1].ids
+    by_place = {(r.doc_id, tuple(r.ids)) for r in got}
+    for r in packing.document_index(files).collect()[::7]:
+        assert (r.doc_id, tuple(packing.document_at(files, r.shard, r.block, r.first, r.n_tokens).tolist())) in by_place
+    odd = spark.createDataFrame([(3, "x" * 50_000), (1, "漢字" * 20_000 + "1" * 9000), (2, "!?" * 30_000)], "doc_id long, text string")
+    packing.write_packed(odd, f"file://{tmp_path}/o", path, 1, 100_000)
+    assert spark.read.parquet(f"file://{tmp_path}/o").first().bits == 17
+    for r, text in zip(sorted(packing.read_packed(spark, f"file://{tmp_path}/o").collect(), key=lambda r: r.start), [odd.collect()[k].text for k in (1, 2, 0)], strict=True):
+        assert r.ids == [*ref.encode(text, add_special_tokens=False).ids, 1]
     packing.write_packed(empty, f"file://{tmp_path}/e", path, 1, queries.WORD_VOCABULARY)
     assert packing.read_packed(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_another_tokenizer_is_used_whole(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    form = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    form["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[a-z0-9]+|[^\\sa-z0-9]"
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(form), encoding="utf-8")
+    texts = ["house 1234 doors", "", "stone... (river) été 9x9"]
+    own, ref = packing.WordTokenizer(str(path)), Tokenizer.from_file(str(path))
+    assert not own.piecewise and [x.tolist() for x in own.encode(texts)] == [ref.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, 20), st.data())
 def test_bits_round_trip(bits, data):
@@ -468,9 +489,19 @@ def test_mixing(docs, empty):
             assert abs(r.target - target[s]) < 1e-6 * target[s] and r.source_size == size[s]
         assert r.taken <= 2 * r.size
         taken[round(r.target, 3)] += r.taken
-    assert sum(abs(t - k) < 60 for k, t in taken.items()) >= 3  # one source has a text of 20,000 words
+    for name in weights:  # each source as near as any choice of its documents comes
+        of = [len(plain_words(r[1])) for r in fixture_rows() if r[3] == name]
+        whole, reach = int(target[name] // max(size[name], 1)), 1
+        for n in of:
+            reach |= reach << n
+        rest = round(target[name] - whole * size[name])
+        nearest = min(abs(k - rest) for k in range(size[name] + 1) if reach >> k & 1)
+        assert abs(taken[round(target[name], 3)] - whole * size[name] - rest) == nearest
     assert multiset(got) == multiset(mixing.mixture(docs.repartition(5)).collect())
-    assert mixing.mixed(docs).columns == docs.columns and mixing.mixture(empty).count() == 0
+    clashing = docs.withColumn("__copy", F.lit(1)).withColumn("row", F.lit(2))
+    assert mixing.mixed(clashing).columns == clashing.columns and mixing.mixture(empty).count() == 0
+    ties = docs.limit(0).union(docs.where("doc_id < 5")).withColumn("text", F.lit("one two three"))
+    assert sum(r.taken for r in mixing.mixture(ties).collect()) > 0
 
 
 @settings(max_examples=200, deadline=None)
@@ -480,7 +511,23 @@ def test_fill_is_nearest(counts, budget):
     take = mixing.fill(sizes, [counts[s] for s in sizes], budget)
     assert all(0 <= t <= counts[s] for s, t in zip(sizes, take, strict=True))
     total = sum(s * t for s, t in zip(sizes, take, strict=True))
-    assert abs(total - budget) <= max(sizes) or total == sum(s * c for s, c in counts.items())
+    reach = {0}
+    for n in sizes:
+        reach = {x + n * k for x in reach for k in range(counts[n] + 1)}
+    assert abs(total - budget) == min(abs(x - budget) for x in reach)
+
+
+def test_fill_of_a_large_budget():
+    rng = random.Random(6)
+    sizes = sorted(rng.sample(range(1, 20_000), 900))
+    counts = [rng.randrange(1, 50) for _ in sizes]
+    whole = sum(a * b for a, b in zip(sizes, counts, strict=True))
+    for share in (0.01, 0.37, 0.9, 0.999):
+        take = mixing.fill(sizes, counts, int(whole * share))
+        assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
+        assert sum(a * b for a, b in zip(sizes, take, strict=True)) == int(whole * share)
+    even = mixing.fill([2 * x for x in sizes], counts, 2 * whole // 3 | 1)
+    assert abs(sum(2 * a * b for a, b in zip(sizes, even, strict=True)) - (2 * whole // 3 | 1)) == 1
 
 
 def test_pipeline(spark, docs, labels, tmp_path):
