@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import small_enough
 from .common import hint, let, materialise, text_or_empty
 
 #: Kinds in their order. Possessive forms and \\G keep matching linear; they find what the plain patterns find.
@@ -151,9 +152,11 @@ def tokens(text: Column, spans: Column) -> Column:
 def anchors(words: DataFrame, texts: DataFrame, text_col: str, least: float = ANCHOR) -> DataFrame:
     """``word``: those of ``words`` (``word``, ``beside``: places beside tokens) of which ``least`` of all places are beside tokens.
 
-    The words of all texts are counted, within tasks first.
+    The words of all texts are counted, within tasks first; while ``words`` are few enough to be broadcast, only these.
     """
-    every = texts.select(F.explode(F.split(F.lower(text_or_empty(text_col)), r"\s+")).alias("word")).join(hint(words.select("word"), 48), "word", "left_semi")
+    every = texts.select(F.explode(F.split(F.lower(text_or_empty(text_col)), r"\s+")).alias("word"))
+    if small_enough(words, 48):
+        every = every.join(F.broadcast(words.select("word")), "word", "left_semi")
     places_ = every.groupBy("word").agg(F.count("*").alias("places"))
     return words.join(places_, "word").where(F.col("beside") >= least * F.col("places")).select("word")
 
