@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -11,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.cascades import CUSTOM_RECTS, CascadeFile, Feature, WeakFeature
 from .pixels import integral, rect_sums
 
 SIDE = 24
@@ -187,27 +187,14 @@ def bright_centres(spark: SparkSession, frames: int = 4) -> DataFrame:
     return base.select("frame", "x", "y", F.when(inside & F.col("y").between(20, 39), 200).when(inside & F.col("y").between(40, 99), 220).otherwise(20).alias("v"))
 
 
-def write_rfcf(cascade: Cascade) -> bytes:
-    """The cascade in a compact binary form of this library."""
-    out = struct.pack("<4sII", b"FLHC", len(cascade.features), len(cascade.stages))
-    for rects in cascade.features:
-        out += struct.pack("<I", len(rects)) + b"".join(struct.pack("<4Bf", *r) for r in rects)
-    for least, weak in cascade.stages:
-        out += struct.pack("<fI", least, len(weak)) + b"".join(struct.pack("<I3f", *w) for w in weak)
-    return out
+def to_file(cascade: Cascade) -> CascadeFile:
+    """The cascade as a file of rectangles in pixels; signs, which evaluation does not read, are 1."""
+    features = tuple(Feature(CUSTOM_RECTS, 0, 0, tuple((*r[:4], float(r[4])) for r in rects)) for rects in cascade.features)
+    return CascadeFile(SIDE, SIDE, features, tuple((t, tuple(WeakFeature(w.feature, w.threshold, 1, w.left, w.right) for w in weak)) for t, weak in cascade.stages))
 
 
-def read_rfcf(data: bytes) -> Cascade:
-    magic, nf, ns = struct.unpack_from("<4sII", data)
-    if magic != b"FLHC":
-        raise ValueError("not a cascade")
-    at, features, stages = 12, [], []
-    for _ in range(nf):
-        (n,) = struct.unpack_from("<I", data, at)
-        features.append(tuple(struct.unpack_from("<4Bf", data, at + 4 + 8 * i) for i in range(n)))
-        at += 4 + 8 * n
-    for _ in range(ns):
-        least, n = struct.unpack_from("<fI", data, at)
-        stages.append((least, tuple(Weak(*struct.unpack_from("<I3f", data, at + 8 + 16 * i)) for i in range(n))))
-        at += 8 + 16 * n
-    return Cascade(tuple(features), tuple(stages))
+def from_file(file: CascadeFile) -> Cascade:
+    """The cascade of a file whose window has SIDE pixels and whose features list their rectangles."""
+    if (file.width, file.height) != (SIDE, SIDE) or any(f.kind != CUSTOM_RECTS for f in file.features):
+        raise ValueError("another window or kind of feature")
+    return Cascade(tuple(f.rects for f in file.features), tuple((t, tuple(Weak(w.feature, w.threshold, w.left, w.right) for w in weak)) for t, weak in file.stages))

@@ -72,9 +72,14 @@ def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(key, "r.*")
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` and those rows of ``new`` whose key it lacks; of equal new keys any one."""
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
+def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """``old`` and those rows of ``new`` whose key it lacks; of equal new keys the first write by ``order``, without it any one."""
+    if order:
+        rest = [c for c in new.columns if c not in keys]
+        first = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
+    else:
+        first = new.dropDuplicates(keys)
+    return old.unionByName(first.join(old.select(*keys), keys, "left_anti"))
 
 
 def admitted(jobs: DataFrame, limit: int, key: str) -> DataFrame:

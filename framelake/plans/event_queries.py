@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clock
+from .tables import materialise
 
 GAP_MS, DISTANCE = 6 * 3600 * 1000, 140
 
@@ -104,7 +105,13 @@ def upper_median(spark, sf_dir):
     """The value at place n / 2 of the sorted values, by event type, without gathering a type's values in one task."""
     e = events(spark, sf_dir)
     counts = e.groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    run = counts.select("event_type", "value", F.sum("n").over(Window.partitionBy("event_type").orderBy("value")).alias("upto"), F.sum("n").over(Window.partitionBy("event_type")).alias("total"))
+    counts = materialise(counts.repartitionByRange("event_type", "value").withColumn("part", F.spark_partition_id()), "values")
+    parts = counts.groupBy("event_type", "part").agg(F.sum("n").alias("m"))
+    of = Window.partitionBy("event_type")
+    before = F.coalesce(F.sum("m").over(of.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("event_type", "part", before.alias("before"), F.sum("m").over(of).alias("total"))
+    within = F.sum("n").over(Window.partitionBy("event_type", "part").orderBy("value"))
+    run = counts.withColumn("within", within).join(parts, ["event_type", "part"]).withColumn("upto", F.col("before") + F.col("within"))
     return run.where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy("event_type").agg(F.min("value").alias("median"))
 
 

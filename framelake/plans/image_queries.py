@@ -35,7 +35,7 @@ def resize_bilinear(spark, sf_dir):
     return dealt.groupBy("frame", F.col("ux.o").alias("x"), F.col("uy.o").alias("y")).agg(value.alias("v"))
 
 
-BILINEAR_SQL = f"""WITH {PIXELS_SQL}, o AS (SELECT CAST(i AS INT) AS o, greatest(0, (i + CAST(0.5 AS DOUBLE)) * 8 / 5 - 0.5) AS spot FROM range(5) r(i)), t AS (SELECT o, CAST(floor(spot) AS INT) AS a, least(CAST(floor(spot) AS INT) + 1, 7) AS b, spot - floor(spot) AS t FROM o)
+BILINEAR_SQL = f"""WITH {PIXELS_SQL.replace("pixels AS (", "pixels AS MATERIALIZED (")}, o AS (SELECT CAST(i AS INT) AS o, greatest(0, (i + CAST(0.5 AS DOUBLE)) * 8 / 5 - 0.5) AS spot FROM range(5) r(i)), t AS (SELECT o, CAST(floor(spot) AS INT) AS a, least(CAST(floor(spot) AS INT) + 1, 7) AS b, spot - floor(spot) AS t FROM o)
 SELECT p.frame AS frame, tx.o AS x, ty.o AS y, CAST(floor(round((p.v*(1-tx.t) + q.v*tx.t)*(1-ty.t) + (r.v*(1-tx.t) + s.v*tx.t)*ty.t, 6) + 0.5) AS INT) AS v
 FROM pixels p JOIN t tx ON tx.a = p.x JOIN t ty ON ty.a = p.y JOIN pixels q ON q.frame = p.frame AND q.x = tx.b AND q.y = p.y
 JOIN pixels r ON r.frame = p.frame AND r.x = p.x AND r.y = ty.b JOIN pixels s ON s.frame = p.frame AND s.x = tx.b AND s.y = ty.b"""

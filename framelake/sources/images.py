@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import materialise
+from .png import SIGNATURE, decode_png, encode_png
+
 #: Packed frames as they are read: three channels for P6, else one; ``problem`` says why a file has no pixels.
 PACKED = "path string, width int, height int, channels int, pixels binary, problem string"
 
@@ -65,7 +68,8 @@ def decode(files: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    rows.append((path, *decode_pnm(content or b""), None))
+                    content = content or b""
+                    rows.append((path, *(decode_png if content[:8] == SIGNATURE else decode_pnm)(content), None))
                 except ValueError as why:
                     rows.append((path, None, None, None, None, str(why)))
             out = pd.DataFrame(rows, columns=["path", "width", "height", "channels", "pixels", "problem"])
@@ -75,13 +79,17 @@ def decode(files: DataFrame) -> DataFrame:
 
 
 def sequence(spark: SparkSession, folder: str, fps: int = 30) -> DataFrame:
-    """The P5 and P6 files of a folder in the order of their names, numbered from 0, with times.
+    """The P5, P6 and PNG files of a folder in the order of their names, numbered from 0, with times.
 
-    Names alone are numbered, so the window that sorts them reads no pixels. Files without a byte
-    are not listed by Spark and give no row.
+    Names alone are numbered: they are sorted by range, counted in each range, and numbered within it from what stands before.
+    Files without a byte are not listed by Spark and give no row.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.p[gp]m").load(folder)
-    order = files.select("path").withColumn("frame", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.p[gpn][mg]").load(folder)
+    names = materialise(files.select("path").repartitionByRange("path").select("path", F.spark_partition_id().alias("part")), "names")
+    counts = names.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("path"))
+    order = names.withColumn("place", place).join(before, "part").select("path", (F.col("before") + F.col("place") - 1).cast("long").alias("frame"))
     return decode(files).join(order, "path").withColumn("timestamp_ms", F.floor(F.col("frame") * 1000 / fps))
 
 
@@ -91,6 +99,17 @@ def to_pgm(frames: DataFrame) -> DataFrame:
     return frames.select("frame", F.concat(header, F.col("gray")).alias("content"))
 
 
+def to_png(frames: DataFrame) -> DataFrame:
+    """``frame`` and ``content``: packed gray frames as PNG files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            content = [encode_png(w, h, 1, g) for w, h, g in zip(batch["width"], batch["height"], batch["gray"], strict=True)]
+            yield pd.DataFrame({"frame": batch["frame"], "content": content})
+
+    return frames.select("frame", "width", "height", "gray").mapInPandas(run, "frame long, content binary")
+
+
 def crop(frames: DataFrame, boxes: DataFrame) -> DataFrame:
     """``frame``, ``rank``, ``width``, ``height``, ``gray`` of boxes (``frame``, ``rank``, ``x``, ``y``, ``w``, ``h``), kept within their frame.
 

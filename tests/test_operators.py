@@ -3,13 +3,14 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from framelake.operators import haar, networks
 from framelake.operators.boxes import greedy_nms
 from framelake.operators.components import connected_components
-from framelake.operators.jobs import algo_stats
+from framelake.operators.jobs import algo_stats, insert_ignore
 from framelake.operators.pixels import hamming_pairs, resize_area
-from framelake.sources import images
+from framelake.sources import cascades, images, png, records
 
 
 def test_nms_merges_two_of_three(spark):
@@ -38,8 +39,78 @@ def test_packed_detector_agrees_with_joins(spark):
     assert len(joined) > 20 and joined == first
 
 
+XML = """<opencv_storage><cascade><height>24</height><width>20</width><stages><_><stageThreshold>-1.5</stageThreshold><weakClassifiers>
+<_><internalNodes>0 -1 1 2.5e-1</internalNodes><leafValues>0.5 -0.25</leafValues></_></weakClassifiers></_></stages>
+<features><_><rects><_>1 2 3 4 -1.</_><_>0 300 0 4 2.</_></rects></_><_><rects></rects></_></features></cascade></opencv_storage>"""
+
+
+def test_cascade_files(spark, tmp_path):
+    rect, weak = bytes([1, 2, 3, 4]) + b"\x00\x00\x80\xbf", b"\x01\x00\x00\x00" + b"\x00\x00\x80\x3e" + b"\xff" + b"\x00\x00\x00\x3f" + b"\x00\x00\x80\xbe"
+    word = lambda n: n.to_bytes(4, "little")
+    by_hand = b"RFCF" + word(2) + word(20) + word(24) + word(2) + bytes([5, 0, 0]) + word(1) + rect + bytes([2, 7, 9]) + word(0) + word(1) + b"\x00\x00\xc0\xbf" + word(1) + weak
+    read = cascades.read_rfcf(by_hand)
+    assert read.features[1] == (2, 7, 9, ()) and read.stages == ((-1.5, ((1, 0.25, -1, 0.5, -0.25),)),) and cascades.write_rfcf(read) == by_hand
+    from_xml = cascades.read_xml(XML)
+    assert from_xml.features[0] == (5, 0, 0, ((1, 2, 3, 4, -1.0), (0, 255, 1, 4, 2.0))) and from_xml.stages == ((-1.5, ((1, 0.25, 1, 0.5, -0.25),)),)
+    for broken in (b"", b"FLHC" + by_hand[4:], by_hand[:-1], by_hand[:20] + bytes([9]) + by_hand[21:]):
+        with pytest.raises(ValueError):
+            cascades.read_rfcf(broken)
+    (tmp_path / "a.rfcf").write_bytes(by_hand)
+    (tmp_path / "b.xml").write_text(XML)
+    (tmp_path / "c.rfcf").write_bytes(by_hand[:30])
+    got = {r.path.rsplit("/", 1)[1]: r for r in cascades.scan_cascades(spark, f"file://{tmp_path}").collect()}
+    assert got["a.rfcf"].width == 20 and got["b.xml"].features[0].rects[1].h == 4 and got["c.rfcf"].problem and not got["a.rfcf"].problem
+    assert [tuple(r)[1:] for r in cascades.weak_table(cascades.scan_cascades(spark, f"file://{tmp_path}/a.rfcf")).collect()] == [(0, -1.5, 0, 1, 0.25, -1, 0.5, -0.25)]
+
+
+def test_png(spark, tmp_path):
+    import struct
+    import zlib
+
+    rng = np.random.default_rng(1)
+    for channels in (1, 3):
+        image = rng.integers(0, 256, (7, 5, channels), dtype=np.uint8)
+        assert png.decode_png(png.encode_png(5, 7, channels, image.tobytes())) == (5, 7, channels, image.tobytes())
+    image, rows, up = rng.integers(0, 256, (10, 6, 4), dtype=np.uint8), b"", np.zeros(24, dtype=int)
+    for y in range(10):  # every filter, by its definition
+        now, kind, line = image[y].reshape(-1).astype(int), y % 5, []
+        for i in range(24):
+            a, b, c = now[i - 4] if i > 3 else 0, up[i], up[i - 4] if i > 3 else 0
+            p = a + b - c
+            nearest = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            line.append((now[i] - (0, a, b, (a + b) // 2, nearest)[kind]) % 256)
+        rows, up = rows + bytes([kind, *line]), now
+    chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+    file = png.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", 6, 10, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    assert png.decode_png(file) == (6, 10, 3, image[:, :, :3].tobytes())
+    for name, content in (("b.png", file), ("a.pgm", b"P5 1 1 255\n\x07"), ("c.png", file[:-20]), ("d.jpg", b"x")):
+        (tmp_path / name).write_bytes(content)
+    got = images.sequence(spark, f"file://{tmp_path}").orderBy("frame").collect()
+    assert [(r.frame, r.width, r.channels, bool(r.problem)) for r in got] == [(0, 1, 1, False), (1, 6, 3, False), (2, None, None, True)]
+    gray = images.decode(images.to_png(spark.createDataFrame([(4, 2, 1, bytearray(b"\x01\xff"))], "frame long, width int, height int, gray binary")).selectExpr("'x' AS path", "content")).first()
+    assert (gray.width, gray.height, bytes(gray.pixels)) == (2, 1, b"\x01\xff")
+
+
+def test_records_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(3, 120, "a.png", 64, 48, [(1, 2, 3, 4, 0.5), (5, 6, 7, 8, 0.25)], 7.25), (4, 160, None, 64, 48, [], 2.5)], records.RECORD)
+    records.write_jsonl(rows, f"file://{tmp_path}/r")
+    back = records.scan_jsonl(spark, f"file://{tmp_path}/r")
+    assert sorted(back.drop("_corrupt_record").collect()) == sorted(rows.collect())
+    stats = records.run_statistics(rows, F.lit(40)).first()
+    assert tuple(stats) == (2, 1, 2, 40, 50.0, 4.875)
+    assert tuple(records.run_statistics(rows.limit(0), F.lit(None)).first()) == (0, 0, 0, 0, 0.0, 0.0)
+    (tmp_path / "bad.jsonl").write_text('{"frame_index": 1}\nnot json\n')
+    assert [r.frame_index for r in records.scan_jsonl(spark, f"file://{tmp_path}/bad.jsonl").collect()] == [1, None]
+
+
+def test_first_write_stays(spark):
+    old = spark.createDataFrame([(1, "old", 0)], "k long, v string, at int")
+    new = spark.createDataFrame([(1, "x", 1), (2, "late", 9), (2, "first", 2), (3, "only", 5)], "k long, v string, at int")
+    assert {(r.k, r.v) for r in insert_ignore(old, new, ["k"], ["at"]).collect()} == {(1, "old"), (2, "first"), (3, "only")}
+
+
 def test_cascade_round_trip():
-    got = haar.read_rfcf(haar.write_rfcf(haar.demo_cascade()))
+    got = haar.from_file(cascades.read_rfcf(cascades.write_rfcf(haar.to_file(haar.demo_cascade()))))
     assert [len(s[1]) for s in got.stages] == [1] * 7 + [2] and len(got.features) == 8
 
 
