@@ -159,6 +159,32 @@ def overlap(a: tuple, b: tuple) -> float:
     return float(np.float32(w * h) / np.float32(a[2] * a[3] + b[2] * b[3] - w * h)) if w > 0 and h > 0 else 0.0
 
 
+class Settings(NamedTuple):
+    """What a detector run is set to; the defaults and presets are fixed values."""
+
+    min_size: int = SIDE
+    max_size: int = 1024
+    scale_factor: float = 1.2
+    stride: int = 4
+    variance: int = 200
+    min_score: float = 0.0
+
+    def sane(self) -> Settings:
+        """Least size 1, largest size not below it, scale within 1.01 to 2 (1.01 if it is no number), stride 1 or more."""
+        scale = self.scale_factor if np.isfinite(self.scale_factor) else 1.01
+        return self._replace(min_size=max(1, self.min_size), max_size=max(1, self.min_size, self.max_size), scale_factor=min(2.0, max(1.01, scale)), stride=max(1, self.stride))
+
+
+FAST, ACCURATE = Settings(scale_factor=1.25, stride=6, variance=300), Settings(scale_factor=1.1, stride=2, variance=100)
+
+
+def detect_with(frames: DataFrame, settings: Settings, cascade: Cascade | None = None) -> DataFrame:
+    """Boxes of packed frames under ``settings``: their scores are ``min_score`` or more, their sides within the sizes."""
+    s = settings.sane()
+    found = detect(frames, cascade, s.stride, s.scale_factor, s.variance)
+    return found.where((F.col("score") >= s.min_score) & F.col("w").between(s.min_size, s.max_size))
+
+
 BOXES = "frame long, x int, y int, w int, h int, score double"
 
 

@@ -87,3 +87,34 @@ def admitted(jobs: DataFrame, limit: int, key: str) -> DataFrame:
     at = F.row_number().over(Window.partitionBy(key).orderBy("created_ms", "id"))
     state = F.when(F.col("at") <= limit, "run").when(F.col("at") <= 3 * limit, "wait").otherwise("reject")
     return jobs.where(F.col("status").isin(*ACTIVE)).withColumn("at", at).select(key, "id", "at", state.alias("state"))
+
+
+def final_states(events: DataFrame, ends: dict[str, str]) -> DataFrame:
+    """``job_id``, ``status``, ``at_ms``, ``last_ms`` of every job of ``events`` (``job_id``, ``ms``, ``seq``, ``type``).
+
+    A job is running until its first event of a type in ``ends``, whose state it then keeps; later events change nothing.
+    """
+    kind = F.lit(None).cast("string")
+    for name, state in ends.items():
+        kind = F.when(F.col("type") == name, state).otherwise(kind)
+    first = F.min(F.when(kind.isNotNull(), F.struct("ms", "seq", kind.alias("state")))).alias("first")
+    found = events.groupBy("job_id").agg(first, F.max("ms").alias("last_ms"))
+    return found.select("job_id", F.coalesce("first.state", F.lit("running")).alias("status"), F.col("first.ms").alias("at_ms"), "last_ms")
+
+
+def watched(states: DataFrame, now_ms: Column, limit_ms: int) -> DataFrame:
+    """``states`` in which running jobs without an event for more than ``limit_ms`` are timed out."""
+    late = (F.col("status") == "running") & (now_ms - F.col("last_ms") > limit_ms)
+    return states.withColumn("status", F.when(late, "timed_out").otherwise(F.col("status")))
+
+
+def in_order(events: DataFrame, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of a micro-batch that may go out, and those that wait: ``seq`` runs from 0 in each job without a gap.
+
+    ``done``: ``job_id`` and ``upto``, the number that is next. A job's rows are numbered by a window; only the rows before
+    its first gap go out.
+    """
+    rows = events.withColumn("upto", F.lit(0).cast("long")) if done is None else events.join(done, "job_id", "left").withColumn("upto", F.coalesce("upto", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy("seq")) - 1
+    rows = rows.where("seq >= upto").withColumn("ready", F.col("seq") == F.col("upto") + place)
+    return rows.where("ready").drop("upto", "ready"), rows.where("not ready").drop("upto", "ready")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clock
+from ..operators.jobs import final_states, watched
 from .tables import materialise
 
 GAP_MS, DISTANCE = 6 * 3600 * 1000, 140
@@ -127,7 +128,24 @@ def run_summary(spark, sf_dir):
 SUMMARY_SQL = f"""WITH {E}, s AS (SELECT user_id, count(*) AS frames, count(*) FILTER (event_type='purchase') AS with_face, count(*) FILTER (value > 0) AS boxes, max(ms)-min(ms) AS elapsed_ms FROM e GROUP BY user_id)
 SELECT *, round(CASE WHEN elapsed_ms = 0 THEN 0 ELSE CAST(frames*1000 AS DOUBLE)/elapsed_ms END, 9) AS fps FROM s"""
 
+ENDS = {"purchase": "done", "error": "error", "signup": "cancelled"}
+LIMIT_MS = 86_400_000
+
+
+def job_watchdog(spark, sf_dir):
+    """The state of each job, its first ending event deciding; silent running jobs are timed out. A job is an hour of a user."""
+    e = events(spark, sf_dir)
+    jobs = e.select(F.concat_ws("-", "user_id", F.expr("ms div 3600000")).alias("job_id"), "ms", F.col("event_id").alias("seq"), F.col("event_type").alias("type"))
+    now = e.agg(F.max("ms").alias("now"))  # one row
+    return watched(final_states(jobs, ENDS).join(F.broadcast(now)), F.col("now"), LIMIT_MS).drop("now")
+
+
+WATCHDOG_SQL = f"""WITH {E}, j AS (SELECT user_id || '-' || ms // 3600000 AS job_id, ms, event_id, event_type FROM e), s AS (SELECT job_id, max(ms) AS last_ms,
+min({{'ms': ms, 'seq': event_id, 'state': CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'cancelled' END}}) FILTER (event_type IN ('purchase', 'error', 'signup')) AS f FROM j GROUP BY job_id)
+SELECT job_id, CASE WHEN f IS NULL AND (SELECT max(ms) FROM e) - last_ms > {LIMIT_MS} THEN 'timed_out' ELSE coalesce(f.state, 'running') END AS status, f.ms AS at_ms, last_ms FROM s"""
+
 QUERIES = {
+    "job_watchdog": (job_watchdog, WATCHDOG_SQL),
     "temporal_clusters": (temporal_clusters, CLUSTERS_SQL), "moving_fps": (moving_fps, FPS_SQL), "frame_sampling": (frame_sampling, SAMPLING_SQL), "keepalive_frames": (keepalive_frames, KEEPALIVE_SQL), "timeline_marks": (timeline_marks, MARKS_SQL),
     "face_frame_browser": (face_frame_browser, BROWSER_SQL), "json_payload": (json_payload, JSON_SQL), "replay_from": (replay_from, REPLAY_SQL), "upper_median": (upper_median, MEDIAN_SQL), "run_summary": (run_summary, SUMMARY_SQL),
 }

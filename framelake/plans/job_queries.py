@@ -182,7 +182,42 @@ KEYS_SQL = """WITH k AS (SELECT *, ['s3://','local://','inline://','ftp://'][o_o
 SELECT o_orderkey, regexp_extract(key, '^(s3|local|inline)://', 1) AS storage, substr(regexp_replace(lower(regexp_extract(key, '\\.([^.]*)$', 1)), '[^a-z0-9]', '', 'g'), 1, 5) AS ext,
 lower(to_hex(o_orderkey * 100000)) || '-' || lpad(lower(to_hex(o_custkey % 70000)), 4, '0') AS job, regexp_replace(o_orderpriority, '(?i)(e)', '<mark>\\1</mark>', 'g') AS marked FROM k"""
 
+def deleted_everywhere(spark, sf_dir):
+    """What is left of each table when failed jobs are deleted with their frames and faces."""
+    gone = jobs(spark, sf_dir).where(F.col("status").isin(*j.FAILED)).select(F.col("id").alias("job_id"))
+    kinds = {"jobs": jobs(spark, sf_dir).select(F.col("id").alias("job_id")), "frames": frames(spark, sf_dir), "faces": faces(spark, sf_dir)}
+    counts = [df.join(gone, "job_id", "left_anti").agg(F.count("*").alias("left")).select(F.lit(k).alias("kind"), "left") for k, df in kinds.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+_KEPT = "NOT IN (SELECT id FROM jobs WHERE status IN ('error','cancelled'))"
+EVERYWHERE_SQL = f"WITH {JOBS_SQL} SELECT 'jobs' AS kind, count(*) AS \"left\" FROM jobs WHERE id {_KEPT} UNION ALL SELECT 'frames', count(*) FROM frames WHERE job_id {_KEPT} UNION ALL SELECT 'faces', count(*) FROM faces WHERE job_id {_KEPT}"
+
+
+def tab_counts_in_range(spark, sf_dir):
+    """Jobs by tab among those of the last 365 days before the newest."""
+    base = jobs(spark, sf_dir)
+    newest = base.agg(F.max("created_ms").alias("newest"))  # one row
+    recent = base.join(F.broadcast(newest)).where(F.col("created_ms") >= F.col("newest") - 365 * 86_400_000)
+    return recent.groupBy(j.group_of(F.col("status")).alias("tab")).agg(F.count("*").alias("n"))
+
+
+RANGE_TAB_SQL = TAB_SQL.replace("FROM jobs GROUP BY", "FROM jobs WHERE created_ms >= (SELECT max(created_ms) FROM jobs) - 365 * 86400000::BIGINT GROUP BY")
+
+
+def face_frames(spark, sf_dir):
+    """Frames with faces: how many, the best score, and the neighbours within the job."""
+    from pyspark.sql import Window
+
+    by = faces(spark, sf_dir).groupBy("job_id", "idx").agg(F.count("*").alias("n_faces"), F.max("score").alias("top_score"))
+    order = Window.partitionBy("job_id").orderBy("idx")
+    return by.select("job_id", "idx", "n_faces", "top_score", F.lag("idx").over(order).alias("previous"), F.lead("idx").over(order).alias("next"))
+
+
+FACE_FRAMES_SQL = f"WITH {JOBS_SQL}, b AS (SELECT job_id, idx, count(*) AS n_faces, max(score) AS top_score FROM faces GROUP BY job_id, idx) SELECT *, lag(idx) OVER w AS previous, lead(idx) OVER w AS next FROM b WINDOW w AS (PARTITION BY job_id ORDER BY idx)"
+
 QUERIES = {
+    "deleted_everywhere": (deleted_everywhere, EVERYWHERE_SQL), "tab_counts_in_range": (tab_counts_in_range, RANGE_TAB_SQL), "face_frames": (face_frames, FACE_FRAMES_SQL),
     "algo_stats": (algo_stats, ALGO_SQL), "metrics_totals": (metrics_totals, METRICS_SQL), "job_page": (job_page, PAGE_SQL), "tab_counts": (tab_counts, TAB_SQL), "dashboard_hours": (dashboard_hours, HOURS_SQL), "dashboard_algos": (dashboard_algos, ALGOS_SQL),
     "job_search": (job_search, SEARCH_SQL), "job_search_regex": (job_search_regex, REGEX_SQL), "job_detail": (job_detail, DETAIL_SQL), "upsert_latest": (upsert_latest, UPSERT_SQL), "insert_ignore": (insert_ignore, INSERT_SQL), "batch_delete": (batch_delete, DELETE_SQL),
     "admission": (admission, ADMISSION_SQL), "pinned_first": (pinned_first, PINNED_SQL), "range_header": (range_header, RANGE_SQL), "media_keys": (media_keys, KEYS_SQL),

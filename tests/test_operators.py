@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framelake.operators import haar, networks
 from framelake.operators.boxes import greedy_nms
 from framelake.operators.components import connected_components
-from framelake.operators.jobs import algo_stats, insert_ignore
+from framelake.operators.jobs import algo_stats, in_order, insert_ignore
 from framelake.operators.pixels import hamming_pairs, resize_area
 from framelake.sources import cascades, images, png, records
 
@@ -203,3 +203,21 @@ def test_classifier_scores_every_fourth_place(spark):
     assert sorted(r.score for r in got) == pytest.approx(sorted(b[4] for b in want))
     every = networks.classify_frame(image, weights, networks.STRIDE, 0.0)
     assert len(scored) == 12 and sorted(b[:4] for b in every) == sorted(b[:4] for b in want)
+
+
+def test_settings_are_made_sane(spark):
+    odd = haar.Settings(min_size=-3, max_size=-9, scale_factor=float("nan"), stride=0).sane()
+    assert odd[:4] == (1, 1, 1.01, 1) and haar.Settings(scale_factor=9.0, min_size=50, max_size=20).sane()[:3] == (50, 50, 2.0)
+    frames = haar.pack(haar.bright_centres(spark, 1), 120, 120)
+    every, some = haar.detect_with(frames, haar.Settings()).collect(), haar.detect_with(frames, haar.Settings(min_size=25, min_score=3.0)).collect()
+    assert {(r.x, r.y, r.w) for r in some} == {(r.x, r.y, r.w) for r in every if r.w >= 25 and r.score >= 3.0}
+    assert haar.detect_with(frames, haar.FAST).count() < haar.detect_with(frames, haar.ACCURATE).count()
+
+
+def test_rows_go_out_in_order(spark):
+    first = spark.createDataFrame([(1, 1), (1, 0), (1, 3), (2, 1)], "job_id long, seq long")
+    out, wait = in_order(first)
+    assert {tuple(r) for r in out.collect()} == {(1, 0), (1, 1)} and {tuple(r) for r in wait.collect()} == {(1, 3), (2, 1)}
+    done = spark.createDataFrame([(1, 2)], "job_id long, upto long")
+    out, wait = in_order(wait.unionByName(spark.createDataFrame([(1, 2), (2, 0)], "job_id long, seq long")), done)
+    assert {tuple(r) for r in out.collect()} == {(1, 2), (1, 3), (2, 0), (2, 1)} and wait.count() == 0
