@@ -101,6 +101,23 @@ def resize_area(pixels: DataFrame, width: int, height: int, to_width: int, to_he
     return spread.where(part > 1e-9).groupBy("frame", F.col("cx.at").alias("x"), F.col("cy.at").alias("y")).agg(F.floor(F.round(F.sum(part * F.col("v")) / F.sum(part), 6) + 0.5).cast("int").alias("v"))
 
 
+def resize_bilinear(pixels: DataFrame, width: int, height: int, to_width: int, to_height: int) -> DataFrame:
+    """Each pixel is dealt to the output pixels that look it up, with its weight; edges repeat."""
+
+    def uses(c: str, size: int, to: int) -> Column:
+        places = []
+        for i in range(to):
+            at = max(0.0, (i + 0.5) * size / to - 0.5)
+            low = min(int(at), size - 1)
+            places += [(i, low, 1 - (at - low)), (i, min(low + 1, size - 1), at - low)]
+        table = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(p).alias("p"), F.lit(float(w)).alias("w")) for o, p, w in places))
+        return F.filter(table, lambda u: u["p"] == F.col(c))
+
+    dealt = pixels.select("frame", "v", "y", F.explode(uses("x", width, to_width)).alias("ux")).select("frame", "v", "ux", F.explode(uses("y", height, to_height)).alias("uy"))
+    value = F.floor(F.round(F.sum(F.col("v") * F.col("ux.w") * F.col("uy.w")), 6) + 0.5).cast("int")
+    return dealt.groupBy("frame", F.col("ux.o").alias("x"), F.col("uy.o").alias("y")).agg(value.alias("v"))
+
+
 def average_hash(pixels: DataFrame, side: int = 8) -> DataFrame:
     """``hash`` bigint: a bit for every pixel above its frame's mean, the first pixel highest; 64 pixels a frame."""
     rows = pixels.withColumn("mean", F.avg("v").over(Window.partitionBy("frame")))

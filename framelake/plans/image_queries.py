@@ -22,17 +22,7 @@ SELECT i // 76800 AS frame, CAST(least(255, greatest(0, floor(CAST(sin(CAST(i %
 
 def resize_bilinear(spark, sf_dir):
     """Frames of 8 by 8 at 5 by 5: each output pixel looks up its four neighbours, edges repeat."""
-    size, to = 8, 5
-    base = pixels(spark, sf_dir)
-    places = []
-    for i in range(to):
-        at = max(0.0, (i + 0.5) * size / to - 0.5)
-        low = min(int(at), size - 1)
-        places.append((i, low, min(low + 1, size - 1), at - low))
-    uses = {c: F.array(*(F.struct(F.lit(i).alias("o"), F.lit(at).alias("p"), F.lit(w).alias("w")) for i, a, b, t in places for at, w in ((a, 1 - t), (b, t)))) for c in "xy"}
-    dealt = base.select("frame", "v", "y", F.explode(F.filter(uses["x"], lambda u: u["p"] == F.col("x"))).alias("ux")).select("frame", "v", "ux", F.explode(F.filter(uses["y"], lambda u: u["p"] == F.col("y"))).alias("uy"))
-    value = F.floor(F.round(F.sum(F.col("v") * F.col("ux.w") * F.col("uy.w")), 6) + 0.5).cast("int")
-    return dealt.groupBy("frame", F.col("ux.o").alias("x"), F.col("uy.o").alias("y")).agg(value.alias("v"))
+    return p.resize_bilinear(pixels(spark, sf_dir), 8, 8, 5, 5)
 
 
 BILINEAR_SQL = f"""WITH {PIXELS_SQL.replace("pixels AS (", "pixels AS MATERIALIZED (")}, o AS (SELECT CAST(i AS INT) AS o, greatest(0, (i + CAST(0.5 AS DOUBLE)) * 8 / 5 - 0.5) AS spot FROM range(5) r(i)), t AS (SELECT o, CAST(floor(spot) AS INT) AS a, least(CAST(floor(spot) AS INT) + 1, 7) AS b, spot - floor(spot) AS t FROM o)
@@ -112,15 +102,15 @@ round(avg(CASE WHEN (h<=20 OR h>=160) AND s BETWEEN 50 AND 170 AND v BETWEEN 80
 
 
 def crop_cap(spark, sf_dir):
-    """Boxes whose place in the order of frames and ranks is within the cap on crops of each thousand frames."""
+    """Boxes whose place in the order of frames and ranks is within a job's cap on crops, 2000 (a fixed value); a thousand frames are a job."""
     from pyspark.sql import Window
 
     block = F.floor(F.col("frame") / 1000).alias("block")
     numbered = boxes(spark, sf_dir).select("frame", "rank", block).withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy("frame", "rank")))
-    return numbered.where("place <= 200").select("frame", "rank", "place")
+    return numbered.where("place <= 2000").select("frame", "rank", "place")
 
 
-CAP_SQL = f"WITH {BOXES_SQL} SELECT frame, rank, CAST(place AS INT) AS place FROM (SELECT frame, rank, row_number() OVER (PARTITION BY frame // 1000 ORDER BY frame, rank) AS place FROM boxes) WHERE place <= 200"
+CAP_SQL = f"WITH {BOXES_SQL} SELECT frame, rank, CAST(place AS INT) AS place FROM (SELECT frame, rank, row_number() OVER (PARTITION BY frame // 1000 ORDER BY frame, rank) AS place FROM boxes) WHERE place <= 2000"
 
 QUERIES = {
     "synthetic_scan": (synthetic_scan, SYNTHETIC_SQL), "resize_bilinear": (resize_bilinear, BILINEAR_SQL), "conv_layer": (conv_layer, CONV_SQL), "cnn_detect": (cnn_detect, None), "draw_outline": (draw_outline, OUTLINE_SQL),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import box_queries, event_queries, face_queries, haar_queries, image_queries, job_queries, pixel_queries, stream_queries
+from .plans import box_queries, check_queries, event_queries, face_queries, haar_queries, image_queries, job_queries, pixel_queries, stream_queries
 
-MODULES = (box_queries, pixel_queries, face_queries, haar_queries, image_queries, job_queries, event_queries, stream_queries)
+MODULES = (box_queries, pixel_queries, face_queries, check_queries, haar_queries, image_queries, job_queries, event_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable]:
