@@ -81,10 +81,12 @@ def blob(colours: DataFrame, width: int, height: int, to_width: int, to_height:
 def decoded(found: DataFrame, width: int, height: int, least: float = 0.5) -> DataFrame:
     """Boxes of a detector's rows with ``conf`` and corners ``x1``, ``y1``, ``x2``, ``y2`` as shares of the frame; other columns stay.
 
-    Corners lose their fractions, then are cut at the frame; boxes without an area or of less than ``least`` confidence go. NaN goes.
+    Corners lose their fractions, then are cut at the frame; boxes without an area or of less than ``least`` confidence go, and rows with a null or NaN.
     """
     whole = lambda c, size: (F.col(c) * size).cast("int")
     rows = found.where((F.col("conf") >= least) & ~F.isnan("conf"))
+    for corner in ("x1", "y1", "x2", "y2"):
+        rows = rows.where(F.col(corner).isNotNull() & ~F.isnan(corner))
     rows = rows.withColumn("x", F.greatest(F.lit(0), whole("x1", width))).withColumn("y", F.greatest(F.lit(0), whole("y1", height)))
     rows = rows.withColumn("w", F.least(F.lit(width), whole("x2", width)) - F.col("x")).withColumn("h", F.least(F.lit(height), whole("y2", height)) - F.col("y"))
     return rows.where("w > 0 and h > 0").drop("x1", "y1", "x2", "y2")

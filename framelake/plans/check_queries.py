@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks as c
 from ..operators import pixels as p
+from ..sources.router import source_kind
 from .box_queries import BOXES_SQL, boxes
 from .face_queries import _WHOLE, FACES_SQL, face_pixels
 from .pixel_queries import PIXELS_SQL, RGB_SQL, pixels, rgb
@@ -89,7 +90,24 @@ def variance_mask(spark, sf_dir):
 MASK_SQL = f"""WITH {PIXELS_SQL}, rects(rect, x0, y0, x1, y1) AS (VALUES {", ".join(str((n, *r)) for n, r in enumerate(WINDOWS))}), t AS (SELECT frame, rect, sum(v) AS s, sum(v*v) AS s2 FROM pixels JOIN rects ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY 1, 2)
 SELECT frame, rect, CAST(s2 * 16 >= s * s + 200 * 16 * 16 AS INT) AS mask FROM t"""
 
+ENDS = ("", ".PNG", "/cam.mjpeg", "/clip.MP4", "/upload-7", "/frames/", "?a=multipart", "/x.ppm", ".webm")
+STARTS = ("", "test://", "rtsp://", "/data/")
+
+
+def source_kinds(spark, sf_dir):
+    """Kinds of the pages' addresses with endings and beginnings of all sorts."""
+    pick = lambda of, n: F.element_at(F.array(*map(F.lit, of)), (n % len(of) + 1).cast("int"))
+    n = F.col("page_id")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", source_kind(F.concat(pick(STARTS, F.floor(n / len(ENDS))), "url", pick(ENDS, n))).alias("kind"))
+
+
+_video = "regexp_matches(l, '[.](mp4|mov|avi|mkv|webm)$')"
+KINDS_SQL = f"""WITH a AS (SELECT page_id, {list(STARTS)}[page_id // {len(ENDS)} % {len(STARTS)} + 1] || url || {list(ENDS)}[page_id % {len(ENDS)} + 1] AS u FROM pages), b AS (SELECT page_id, u, lower(u) AS l FROM a)
+SELECT page_id, CASE WHEN u IS NULL THEN NULL WHEN starts_with(u, 'test://') THEN 'generated' WHEN starts_with(u, 'http://') OR starts_with(u, 'https://') THEN
+CASE WHEN regexp_matches(l, '[.](png|ppm)$') THEN 'image' WHEN contains(l, '.mjpeg') OR contains(l, 'multipart') THEN 'unsupported' WHEN {_video} OR contains(l, '/upload-') OR contains(l, 'video') THEN 'video' ELSE 'sequence' END
+WHEN starts_with(u, 'rtsp://') OR {_video} THEN 'video' ELSE 'sequence' END AS kind FROM b"""
+
 QUERIES = {
     "symmetry_score": (symmetry_score, SYMMETRY_SQL), "eye_correction": (eye_correction, EYE_CORRECTION_SQL), "box_labels": (box_labels, LABELS_SQL),
-    "network_blob": (network_blob, BLOB_SQL), "detector_rows": (detector_rows, DETECTOR_SQL), "variance_mask": (variance_mask, MASK_SQL),
+    "network_blob": (network_blob, BLOB_SQL), "detector_rows": (detector_rows, DETECTOR_SQL), "variance_mask": (variance_mask, MASK_SQL), "source_kinds": (source_kinds, KINDS_SQL),
 }

@@ -34,6 +34,16 @@ def haar_levels(spark, sf_dir):
     return spark.createDataFrame(rows, "size string, level int, width int, height int, box int, stride int, windows int")
 
 
+_half_up = lambda x: f"CAST(floor({x} + CAST(0.5 AS FLOAT)) AS INT)"
+_smaller = lambda c: f"greatest({haar.SIDE}, {_half_up(f'CAST({c} AS FLOAT) / CAST(1.2 AS FLOAT)')})"
+_BOX = _half_up(f"CAST({haar.SIDE} AS FLOAT) * scale")
+LEVELS_SQL = f"""WITH RECURSIVE sizes(fw, fh) AS (VALUES (64, 64), (120, 120), (320, 240), (640, 480), (1920, 1080)),
+l(fw, fh, level, width, height, scale) AS (SELECT fw, fh, 0, fw, fh, CAST(1 AS FLOAT) FROM sizes UNION ALL
+SELECT fw, fh, level + 1, nw, nh, CAST(fw AS FLOAT) / CAST(nw AS FLOAT) FROM (SELECT *, {_smaller("width")} AS nw, {_smaller("height")} AS nh FROM l) WHERE nw < width AND nh < height AND least(nw, nh) > {haar.SIDE} AND {_BOX} <= 1024),
+b AS (SELECT *, {_BOX} AS box, greatest(2, {_half_up("CAST(4 AS FLOAT) * scale")}) AS stride FROM l)
+SELECT fw || 'x' || fh AS size, level, width, height, box, stride, CAST(((width - {haar.SIDE}) // stride + 1) * ((height - {haar.SIDE}) // stride + 1) AS INT) AS windows FROM b WHERE box <= 1024"""
+
+
 def haar_responses(spark, sf_dir):
     return haar.responses(haar.bright_centres(spark, FRAMES), WIDTH, HEIGHT, STRIDE).withColumn("value", F.round("value", 6))
 
@@ -61,4 +71,4 @@ def haar_detect(spark, sf_dir):
     return haar.detect(haar.pack(haar.bright_centres(spark, FRAMES), WIDTH, HEIGHT))
 
 
-QUERIES = {"haar_levels": (haar_levels, None), "haar_responses": (haar_responses, RESPONSES_SQL), "haar_stages": (haar_stages, STAGES_SQL), "haar_accepted": (haar_accepted, ACCEPTED_SQL), "haar_detect": (haar_detect, None)}
+QUERIES = {"haar_levels": (haar_levels, LEVELS_SQL), "haar_responses": (haar_responses, RESPONSES_SQL), "haar_stages": (haar_stages, STAGES_SQL), "haar_accepted": (haar_accepted, ACCEPTED_SQL), "haar_detect": (haar_detect, None)}

@@ -5,12 +5,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.operators import haar, networks
+from framelake.operators import checks, haar, networks
 from framelake.operators.boxes import greedy_nms
 from framelake.operators.components import connected_components
 from framelake.operators.jobs import algo_stats, in_order, insert_ignore
 from framelake.operators.pixels import hamming_pairs, resize_area
-from framelake.sources import cascades, images, png, records
+from framelake.sources import cascades, images, png, records, router
 
 
 def test_nms_merges_two_of_three(spark):
@@ -221,3 +221,43 @@ def test_rows_go_out_in_order(spark):
     done = spark.createDataFrame([(1, 2)], "job_id long, upto long")
     out, wait = in_order(wait.unionByName(spark.createDataFrame([(1, 2), (2, 0)], "job_id long, seq long")), done)
     assert {tuple(r) for r in out.collect()} == {(1, 2), (1, 3), (2, 0), (2, 1)} and wait.count() == 0
+
+
+def grid(spark, image, frame=0):
+    return spark.createDataFrame([(frame, x, y, int(image[y, x])) for y in range(image.shape[0]) for x in range(image.shape[1])], "frame long, x int, y int, v int")
+
+
+def test_symmetry_of_mirrored_flat_small_and_odd_frames(spark):
+    half = np.random.default_rng(5).integers(0, 256, (18, 9))
+    whole = np.hstack([half, half[:, ::-1]])
+    odd = np.hstack([half, half[:, :1], half[:, ::-1]])
+    of = lambda image: checks.symmetry(grid(spark, image), image.shape[1], image.shape[0]).collect()[0]["symmetry"]
+    assert of(whole) == 1.0 and of(odd) == 1.0 and of(whole * 0 + 9) == 1.0 and of(whole[:, 2:-2]) == 0.0
+    assert of(np.hstack([half, np.random.default_rng(6).integers(0, 256, (18, 9))])) < 1.0
+
+
+def test_boxes_move_with_their_eyes(spark):
+    cases = [
+        ("fine", 50, 100, 400, 30, None, None, (50, 100)), ("low, better", 50, 100, 400, 60, 40, True, (15, 135)), ("low, not seen again", 50, 100, 400, 60, None, True, (50, 100)),
+        ("low, still low", 50, 100, 400, 60, 70, True, (50, 100)), ("high, better", 50, 100, 400, 10, 40, True, (20, 130)), ("high, not aligned", 50, 100, 400, 10, 40, False, None),
+        ("high, at the bottom", 330, 100, 400, 10, 40, True, None), ("high, small", 50, 40, 400, 2, 10, True, None), ("high, at the top edge", 0, 100, 400, 10, 20, True, (0, 130)),
+    ]
+    rows = spark.createDataFrame([c[:7] for c in cases], "name string, y int, h int, fh int, top int, again int, aligned boolean")
+    got = rows.select("name", checks.moved_by_eyes(F.col("y"), F.col("h"), 400, F.col("top"), F.col("again"), F.col("aligned")).alias("m")).collect()
+    assert {r["name"]: r["m"] and tuple(r["m"]) for r in got} == {c[0]: c[7] for c in cases}
+
+
+def test_detector_rows_are_cut_at_the_frame(spark):
+    rows = [(1, 0.9, -0.1, 0.25, 0.5, 2.0), (2, 0.4, 0.1, 0.1, 0.5, 0.5), (3, 0.9, 0.5, 0.1, 0.5, 0.5), (4, None, 0.1, 0.1, 0.5, 0.5), (5, float("nan"), 0.1, 0.1, 0.5, 0.5), (6, 0.9, None, 0.1, 0.5, 0.5)]
+    got = checks.decoded(spark.createDataFrame(rows, "id int, conf double, x1 double, y1 double, x2 double, y2 double"), 200, 100).collect()
+    assert [(r["id"], r["x"], r["y"], r["w"], r["h"]) for r in got] == [(1, 0, 25, 100, 75)]
+
+
+def test_sources_are_routed(spark, tmp_path):
+    (tmp_path / "frame_00000.pgm").write_bytes(b"P5\n2 1\n255\n\x01\x02")
+    assert [(r["frame"], r["width"], bytes(r["pixels"])) for r in router.open_source(spark, str(tmp_path)).collect()] == [(0, 2, b"\x01\x02")]
+    assert router.open_source(spark, "test://grid").where("frame = 59").count() == 320 * 240
+    for address in ("http://h/a.png", "rtsp://h/s", "/a/b.mkv", "https://h/frames/"):
+        with pytest.raises(NotImplementedError):
+            router.open_source(spark, address)
+    assert spark.range(1).select(router.source_kind(F.lit(None).cast("string"))).first()[0] is None
