@@ -95,3 +95,31 @@ def decoded(found: DataFrame, width: int, height: int, least: float = 0.5) -> Da
 def window_mask(s: Column, s2: Column, pixels_each: int, threshold: int) -> Column:
     """1 for windows of ``pixels_each`` pixels (sums ``s``, of squares ``s2``) of enough variance, else 0; no window is left out."""
     return passes_variance(s, s2, pixels_each, threshold).cast("int")
+
+
+def montage_places(crops: DataFrame, height: int, columns: int = 5, most: int = 30) -> DataFrame:
+    """``video``, ``face``, ``tile`` (width at ``height``), ``wide`` (the video's widest), ``col``, ``row``, ``rows`` of crops (``video``, ``face``, ``w``, ``h``).
+
+    The first ``most`` faces of a video in their order, ``columns`` in a row; that cap is the feature. Spark cuts each task's
+    groups at it before the shuffle. A crop without an area has no place.
+    """
+    place = F.row_number().over(Window.partitionBy("video").orderBy("face"))
+    first = crops.where("w > 0 and h > 0").withColumn("place", place).where(F.col("place") <= most)
+    video = Window.partitionBy("video")  # ``most`` rows
+    tile = F.floor(F.col("w") * (F.lit(float(height)) / F.col("h"))).cast("int")
+    sized = first.select("video", "face", tile.alias("tile"), (F.col("place") - 1).alias("at"))
+    row = lambda c: F.floor(c / columns).cast("int")
+    return sized.select("video", "face", "tile", F.max("tile").over(video).alias("wide"), (F.col("at") % columns).alias("col"), row(F.col("at")).alias("row"), (row(F.max("at").over(video)) + 1).alias("rows"))
+
+
+def montage(places: DataFrame, tiles: DataFrame, height: int, columns: int = 5, border: int = 40) -> DataFrame:
+    """``video``, ``x``, ``y``, ``v``: the tiles' pixels (``face``, ``x``, ``y``, ``v``) in their places, ``border`` right of narrow ones, 0 where no face is."""
+    x0, y0 = F.col("col") * F.col("wide"), F.col("row") * height
+    spread = lambda df: df.withColumn("dx", F.explode(F.sequence(F.lit(0), F.col("wide") - 1))).withColumn("dy", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+    taken = tiles.join(places, "face").where((F.col("x") < F.col("tile")) & (F.col("y") < height)).select("video", (x0 + F.col("x")).alias("x"), (y0 + F.col("y")).alias("y"), "v")
+    narrow = places.where("wide > tile")
+    bars = spread(narrow).where("dx >= tile").select("video", (x0 + F.col("dx")).alias("x"), (y0 + F.col("dy")).alias("y"), F.lit(border).alias("v"))
+    last = places.groupBy("video").agg(F.max(F.struct("row", "col")).alias("last"), F.max("wide").alias("wide")).where(F.col("last.col") < columns - 1)
+    empty = last.select("video", "wide", F.col("last.row").alias("row"), F.explode(F.sequence(F.col("last.col") + 1, F.lit(columns - 1))).alias("col"))
+    blanks = spread(empty).select("video", (x0 + F.col("dx")).alias("x"), (y0 + F.col("dy")).alias("y"), F.lit(0).alias("v"))
+    return taken.union(bars).union(blanks)

@@ -107,7 +107,19 @@ SELECT page_id, CASE WHEN u IS NULL THEN NULL WHEN starts_with(u, 'test://') THE
 CASE WHEN regexp_matches(l, '[.](png|ppm)$') THEN 'image' WHEN contains(l, '.mjpeg') OR contains(l, 'multipart') THEN 'unsupported' WHEN {_video} OR contains(l, '/upload-') OR contains(l, 'video') THEN 'video' ELSE 'sequence' END
 WHEN starts_with(u, 'rtsp://') OR {_video} THEN 'video' ELSE 'sequence' END AS kind FROM b"""
 
+def face_montage(spark, sf_dir):
+    """Seven faces of 16 by 16 are a video; of each as many columns as its number says, three tiles a row, the first five at most."""
+    base = face_pixels(spark, sf_dir).withColumn("w", (8 + F.col("frame") % 9).cast("int")).where("x < w")
+    crops = base.select(F.floor(F.col("frame") / 7).alias("video"), F.col("frame").alias("face"), "w", F.lit(16).alias("h")).distinct()
+    return c.montage(c.montage_places(crops, 16, 3, 5), base.select(F.col("frame").alias("face"), "x", "y", "v"), 16, 3)
+
+
+MONTAGE_SQL = f"""WITH {FACES_SQL}, {_WHOLE}, c AS (SELECT frame, frame // 7 AS video, CAST(8 + frame % 9 AS INT) AS w, row_number() OVER (PARTITION BY frame // 7 ORDER BY frame) - 1 AS place FROM whole), p AS MATERIALIZED (SELECT * FROM c WHERE place < 5),
+g AS (SELECT video, max(w) AS wide, max(place) // 3 + 1 AS rows FROM p GROUP BY video), s AS (SELECT video, wide, k.i AS place, x.i AS dx, y.i AS dy FROM g JOIN range(6) k(i) ON k.i < rows * 3 JOIN range(16) x(i) ON x.i < wide CROSS JOIN range(16) y(i))
+SELECT s.video AS video, CAST(s.place % 3 * s.wide + dx AS INT) AS x, CAST(s.place // 3 * 16 + dy AS INT) AS y, CAST(CASE WHEN p.frame IS NULL THEN 0 WHEN dx >= p.w THEN 40 ELSE f.v END AS INT) AS v
+FROM s LEFT JOIN p ON p.video = s.video AND p.place = s.place LEFT JOIN faces f ON f.frame = p.frame AND f.x = dx AND f.y = dy"""
+
 QUERIES = {
     "symmetry_score": (symmetry_score, SYMMETRY_SQL), "eye_correction": (eye_correction, EYE_CORRECTION_SQL), "box_labels": (box_labels, LABELS_SQL),
-    "network_blob": (network_blob, BLOB_SQL), "detector_rows": (detector_rows, DETECTOR_SQL), "variance_mask": (variance_mask, MASK_SQL), "source_kinds": (source_kinds, KINDS_SQL),
+    "network_blob": (network_blob, BLOB_SQL), "detector_rows": (detector_rows, DETECTOR_SQL), "variance_mask": (variance_mask, MASK_SQL), "source_kinds": (source_kinds, KINDS_SQL), "face_montage": (face_montage, MONTAGE_SQL),
 }
