@@ -147,9 +147,14 @@ def detect_frame(image: np.ndarray, cascade: Cascade, stride: int = 4, scale: fl
         s, box = np.float32(level["scale"]), level["box"]
         to = lambda v, size: np.clip(np.floor((v * s if mul else v / s).astype(np.float32) + 0.5), 0, max(0, size - box)).astype(int)
         raw += [(x, y, box, box, float(v)) for x, y, v in zip(to(xs, width).tolist(), to(ys, height).tolist(), score.tolist(), strict=True)]
+    return suppressed(raw, threshold)
+
+
+def suppressed(raw: list[tuple], most: float) -> list[tuple]:
+    """Boxes of one frame, best first, that overlap no kept one by more than ``most``; equals keep their order."""
     kept: list[tuple] = []
     for b in sorted(raw, key=lambda b: -b[4]):
-        if all(overlap(b, k) <= threshold for k in kept):
+        if all(overlap(b, k) <= most for k in kept):
             kept.append(b)
     return kept
 

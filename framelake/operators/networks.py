@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .haar import BOXES, overlap
+from .haar import BOXES, suppressed
 
 #: Window side, kernel side and channels after each of the three convolutions; the last layer's width. Fixed values.
 SIDE, KERNEL, CHANNELS, HIDDEN = 24, 3, (8, 16, 32), 32
@@ -38,6 +39,46 @@ def even_weights() -> Weights:
     return Weights(kernels, (rule(LAST * LAST * CHANNELS[-1], HIDDEN), np.zeros(HIDDEN)), (rule(HIDDEN, 1)[:, 0], 0.0))
 
 
+def template_weights() -> Weights:
+    """Weights that answer to a light centre on darker ground. Their numbers are fixed values."""
+    across = [[-1.0, 0.0, 1.0], [-2.0, 0.0, 2.0], [-1.0, 0.0, 1.0]]
+    centre = [[-0.5, -0.5, -0.5], [-0.5, 3.0, -0.5], [-0.5, -0.5, -0.5]]
+    basic = np.array([across, np.transpose(across), centre])
+    first = np.stack([basic[c % 3] for c in range(CHANNELS[0])], axis=-1)[:, :, None, :]
+    second, third = (np.zeros((KERNEL, KERNEL, a, b)) for a, b in zip(CHANNELS, CHANNELS[1:], strict=False))
+    second[0, 0, 3:] = 0.2
+    second[0, 0, 5] = 0.5
+    second[1, 1, 2:6] += 0.3
+    third[1, 1, :8], third[1, 1, 8:] = 0.5, 0.1
+    return Weights((first, second, third), (np.full((LAST * LAST * CHANNELS[-1], HIDDEN), 0.01), np.full(HIDDEN, -2.0)), (np.ones(HIDDEN), -2.0))
+
+
+# Fixed values of the weight file: magic and version; seven lengths, then the numbers, little-endian, single precision.
+MAGIC, VERSION = b"RCNN", 1
+
+
+def write_weights(weights: Weights) -> bytes:
+    """Kernels as (row, column, in, out), the dense layer by output, its bias, the head and its bias."""
+    parts = [*weights.kernels, weights.dense[0].T, weights.dense[1], weights.head[0], np.array([weights.head[1]])]
+    flat = [np.ascontiguousarray(p, dtype="<f4").ravel() for p in parts]
+    return struct.pack("<4sI7I", MAGIC, VERSION, *map(len, flat)) + b"".join(p.tobytes() for p in flat)
+
+
+def read_weights(data: bytes) -> Weights:
+    """ValueError for another magic, a file that ends early or lengths that are not this network's."""
+    if len(data) < 36 or data[:4] != MAGIC:
+        raise ValueError("not a weight file")
+    lengths = struct.unpack_from("<7I", data, 8)
+    shapes = [(KERNEL, KERNEL, a, b) for a, b in zip((1, *CHANNELS), CHANNELS, strict=False)] + [(HIDDEN, LAST * LAST * CHANNELS[-1]), (HIDDEN,), (HIDDEN,), (1,)]
+    if list(lengths) != [int(np.prod(s)) for s in shapes]:
+        raise ValueError("weights of another network")
+    if len(data) < 36 + 4 * sum(lengths):
+        raise ValueError("weights end early")
+    ends = 36 + 4 * np.cumsum([0, *lengths])
+    k1, k2, k3, dense, bias, head, last = (np.frombuffer(data, "<f4", n, int(at)).astype(np.float64).reshape(s) for n, at, s in zip(lengths, ends, shapes, strict=False))
+    return Weights((k1, k2, k3), (dense.T, bias), (head, float(last[0])))
+
+
 def windows_of(image: np.ndarray, side: int) -> np.ndarray:
     """A view of all ``side`` by ``side`` windows over the first two axes of (n, row, column, channel)."""
     return np.lib.stride_tricks.sliding_window_view(image, (side, side), axis=(1, 2))
@@ -67,16 +108,12 @@ def classify_frame(image: np.ndarray, weights: Weights, stride: int, least: floa
         part = spots[a : a + at_once]
         conf = forward(tiles[part // nx, part % nx], weights)
         raw += [(int(s % nx) * stride, int(s // nx) * stride, SIDE, SIDE, float(c)) for s, c in zip(part, conf, strict=True) if c >= least]
-    kept: list[tuple] = []
-    for b in sorted(raw, key=lambda b: -b[4]):
-        if all(overlap(b, k) <= 0.3 for k in kept):
-            kept.append(b)
-    return kept
+    return suppressed(raw, 0.3)
 
 
 def classify(frames: DataFrame, weights: Weights | None = None, stride: int = STRIDE, least: float = 0.5) -> DataFrame:
-    """Boxes of packed frames (``frame``, ``width``, ``height``, ``gray``); a frame at a time, no shuffle."""
-    weights = weights or even_weights()
+    """Boxes of packed frames (``frame``, ``width``, ``height``, ``gray``); a frame at a time, no shuffle. Without weights, those of :func:`template_weights`."""
+    weights = weights or template_weights()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import faces as f
+from ..operators import sliding
 from ..sources import records as r
 from .box_queries import BOXES_SQL, boxes
 from .job_queries import JOBS_SQL, jobs
@@ -213,7 +214,39 @@ def url_parts(spark, sf_dir):
 URL_SQL = r"""SELECT page_id, regexp_extract(url, '^([a-z]+)://([^/?#]*)([^?#]*)', 1) AS scheme, regexp_extract(url, '^([a-z]+)://([^/?#]*)([^?#]*)', 2) AS host, regexp_extract(url, '^([a-z]+)://([^/?#]*)([^?#]*)', 3) AS path,
 sha256(url) AS sha256, base64(encode(url)) AS base64, lower(hex(encode(url))) AS hex FROM pages"""
 
+#: Scales of the anchor queries: tiles of 8 and 16 on faces of 16 by 16.
+ANCHOR_SCALES = (sliding.Scale(4, 8, 8), sliding.Scale(8, 6, 16))
+
+
+def anchor_tiles(spark, sf_dir):
+    """Boxes of the anchor network over the tiles of every face, before suppression."""
+    return sliding.anchor_boxes(face_pixels(spark, sf_dir), 16, 16, sliding.even_anchor_weights(2), ANCHOR_SCALES, 0.49).withColumn("score", F.round("score", 8))
+
+
+def anchor_detect(spark, sf_dir):
+    """Boxes of the anchor network after suppression."""
+    return sliding.anchor_detect(face_pixels(spark, sf_dir), 16, 16, sliding.even_anchor_weights(2), ANCHOR_SCALES, 0.49)
+
+
+# Every output is a sum over hidden ones, written out from the weights; a value's output is rounded to millionths as in the operator.
+def _outputs(k: int) -> str:
+    w = sliding.even_anchor_weights(2)[k]
+    hidden = [f"greatest(v / 255.0::DOUBLE * {a!r}::DOUBLE + {b!r}::DOUBLE, 0)" for a, b in zip(w.hidden.tolist(), w.hidden_bias.tolist(), strict=True)]
+    out = lambda o: " + ".join(f"{h} * {x!r}::DOUBLE" for h, x in zip(hidden, w.out[:, o].tolist(), strict=True)) + f" + {w.out_bias[o].item()!r}::DOUBLE"
+    return ", ".join(f"CAST(round_even(({out(o)}) * 1000000, 0) AS BIGINT) AS o{o}" for o in range(sliding.OUTPUTS))
+
+
+_TILES = " UNION ALL ".join(f"SELECT {k} AS scale, {s.stride} AS stride, {s.anchor} AS anchor, {s.tile} AS tile, i * {s.stride} AS tx, j * {s.stride} AS ty FROM range({(16 - s.tile) // s.stride + 1}) a(i), range({(16 - s.tile) // s.stride + 1}) b(j)" for k, s in enumerate(ANCHOR_SCALES))
+_VALUES = " UNION ALL ".join(f"SELECT {k} AS scale, v, {_outputs(k)} FROM range(256) r(v)" for k in range(2))
+_SHARE = lambda o: f"(sum(o{o}) / (any_value(tile) * any_value(tile) * 1000000.0::DOUBLE))"
+ANCHOR_TILES_SQL = f"""WITH {FACES_SQL}, {_WHOLE}, tiles AS ({_TILES}), outs AS MATERIALIZED ({_VALUES}),
+m AS (SELECT frame, t.scale AS scale, tx, ty, any_value(tile) // 2 AS half, any_value(stride) AS stride, any_value(anchor) AS anchor, {", ".join(f"{_SHARE(o)} AS o{o}" for o in range(5))} FROM faces SEMI JOIN whole USING (frame) JOIN tiles t ON x >= tx AND x < tx + tile AND y >= ty AND y < ty + tile JOIN outs u ON u.scale = t.scale AND u.v = faces.v GROUP BY frame, t.scale, tx, ty),
+b AS (SELECT *, anchor * exp(o2 * stride) AS bw, anchor * exp(o3 * stride) AS bh FROM m), c AS (SELECT *, least(greatest(tx + half + o0 * stride - bw / 2, 0), 15) AS bx, least(greatest(ty + half + o1 * stride - bh / 2, 0), 15) AS byy FROM b),
+d AS (SELECT frame, scale, tx, ty, CAST(floor(bx) AS INT) AS x, CAST(floor(byy) AS INT) AS y, CAST(floor(bx + greatest(bw, 1)) AS INT) AS x2, CAST(floor(byy + greatest(bh, 1)) AS INT) AS y2, 1 / (1 + exp(-o4)) AS score FROM c)
+SELECT frame, scale, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, x, y, x2 - x AS w, y2 - y AS h, round(score, 8) AS score FROM d WHERE score >= 0.49 AND x2 <= 16 AND y2 <= 16 AND x2 > x AND y2 > y"""
+
 QUERIES = {
+    "anchor_tiles": (anchor_tiles, ANCHOR_TILES_SQL), "anchor_detect": (anchor_detect, None),
     "long_hashes": (long_hashes, LONG_HASH_SQL), "face_clusters": (face_clusters, CLUSTERS_SQL), "top_faces": (top_faces, TOP_FACES_SQL), "hog_blocks": (hog_blocks, HOG_BLOCKS_SQL), "eye_pairs": (eye_pairs, EYES_SQL),
     "face_grid": (face_grid, GRID_SQL), "manifest_records": (manifest_records, MANIFEST_SQL), "manifest_statistics": (manifest_statistics, STATISTICS_SQL), "faces_csv": (faces_csv, CSV_SQL), "score_filter": (score_filter, SCORE_SQL),
     "union_results": (union_results, UNION_SQL), "algo_compare": (algo_compare, COMPARE_SQL), "gray_planes": (gray_planes, PLANES_SQL), "colour_planes": (colour_planes, COLOUR_SQL), "url_parts": (url_parts, URL_SQL),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import haar, networks
+from ..operators import haar, networks, sliding
 from ..operators import pixels as p
 from ..sources import images
 from .box_queries import BOXES_SQL, boxes
@@ -77,6 +78,27 @@ c AS (SELECT rect, unnest([{{'x': xm, 'y': y1, 'k': 1}}, {{'x': x1, 'y': y1, 'k'
 SELECT frame, rect, CAST(sum(v * c.k) AS BIGINT) AS s FROM pixels JOIN c ON x - y = c.x - c.y AND x < c.x GROUP BY frame, rect"""
 
 
+def diagonal_edges(spark, sf_dir):
+    """Responses of the tilted edge feature in the windows of 4 of each frame of 8 by 8, a window every two pixels."""
+    base = pixels(spark, sf_dir)
+    spots = F.array(*(F.struct(F.lit(3 * j + i).alias("window"), F.lit(2 * i).alias("x"), F.lit(2 * j).alias("y")) for j in range(3) for i in range(3)))
+    windows = base.select("frame").distinct().select("frame", F.explode(spots).alias("w")).select("frame", "w.*")
+    rects = sliding.diagonal_edge_rects(windows, 4, 8, 8)
+    sums = p.tilted_sums(p.diagonal(base), rects).join(rects.select("frame", "rect", "weight"), ["frame", "rect"])
+    return sums.groupBy("frame", F.expr("cast(rect div 2 as int)").alias("window")).agg(F.sum(F.col("s") * F.col("weight")).alias("value"))
+
+
+DIAGONAL_EDGE_SQL = f"""WITH {PIXELS_SQL}, w AS (SELECT CAST(3*j+i AS INT) AS win, 2*i AS x, 2*j AS y FROM range(3) a(i), range(3) b(j)), rects AS (SELECT win, x AS x1, y + 2*h AS y1, x + 4 AS x2, y + 2*h + 2 AS y2, 1 - 2*h AS sign FROM w, range(2) c(h)), m AS (SELECT *, (x1+x2)//2 AS xm, (y1+y2)//2 AS ym FROM rects),
+c AS (SELECT win, sign, unnest([{{'x': xm, 'y': y1, 'k': 1}}, {{'x': x1, 'y': y1, 'k': -1}}, {{'x': xm, 'y': ym, 'k': -2}}, {{'x': x1, 'y': ym, 'k': 1}}, {{'x': x2, 'y': ym, 'k': 1}}, {{'x': x2, 'y': y2, 'k': -1}}, {{'x': xm, 'y': y2, 'k': 1}}]) AS c FROM m)
+SELECT f.frame AS frame, win AS "window", CAST(coalesce(sum(v * c.k * sign), 0) AS BIGINT) AS value FROM (SELECT DISTINCT frame FROM pixels) f CROSS JOIN c LEFT JOIN pixels p ON p.frame = f.frame AND p.x - p.y = c.x - c.y AND p.x < c.x AND p.y < c.y GROUP BY f.frame, win"""
+
+
+def gradient_detect(spark, sf_dir):
+    """The gradient detector on generated frames of 320 by 240, with weights from a rule."""
+    weights = (np.arange(3780) * 7919 % 17 - 8) / 100.0
+    return sliding.detect_gradients(haar.pack(images.synthetic(spark, 4), 320, 240), weights)
+
+
 def manifest_rows(spark, sf_dir):
     """A record for each frame, as the manifest's writer puts it: boxes in rank order, confidence to four places."""
     box = F.concat(F.lit("["), F.concat_ws(",", "x", "y", "w", "h", F.format_string("%.4f", F.col("score").cast("double"))), F.lit("]"))
@@ -114,5 +136,5 @@ CAP_SQL = f"WITH {BOXES_SQL} SELECT frame, rank, CAST(place AS INT) AS place FRO
 
 QUERIES = {
     "synthetic_scan": (synthetic_scan, SYNTHETIC_SQL), "resize_bilinear": (resize_bilinear, BILINEAR_SQL), "conv_layer": (conv_layer, CONV_SQL), "cnn_detect": (cnn_detect, None), "draw_outline": (draw_outline, OUTLINE_SQL),
-    "tilted_rect_sum": (tilted_rect_sum, TILTED_SQL), "manifest_rows": (manifest_rows, MANIFEST_SQL), "skin_ratio": (skin_ratio, SKIN_SQL), "crop_cap": (crop_cap, CAP_SQL),
+    "tilted_rect_sum": (tilted_rect_sum, TILTED_SQL), "diagonal_edges": (diagonal_edges, DIAGONAL_EDGE_SQL), "gradient_detect": (gradient_detect, None), "manifest_rows": (manifest_rows, MANIFEST_SQL), "skin_ratio": (skin_ratio, SKIN_SQL), "crop_cap": (crop_cap, CAP_SQL),
 }

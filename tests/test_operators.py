@@ -261,3 +261,66 @@ def test_sources_are_routed(spark, tmp_path):
         with pytest.raises(NotImplementedError):
             router.open_source(spark, address)
     assert spark.range(1).select(router.source_kind(F.lit(None).cast("string"))).first()[0] is None
+
+
+def test_weight_files():
+    weights = networks.template_weights()
+    data = networks.write_weights(weights)
+    assert data[:8] == b"RCNN\x01\0\0\0" and len(data) == 36 + 4 * (72 + 1152 + 4608 + 16384 + 32 + 32 + 1)
+    again = networks.read_weights(data)
+    for a, b in zip((*weights.kernels, *weights.dense, weights.head[0]), (*again.kernels, *again.dense, again.head[0]), strict=True):
+        assert np.array_equal(a.astype(np.float32), b)
+    assert again.head[1] == -2
+    for broken in (b"", b"RCNX" + data[4:], data[:-1], data[:8] + b"\1" + data[9:]):
+        with pytest.raises(ValueError):
+            networks.read_weights(broken)
+
+
+def test_template_finds_a_light_centre():
+    image = np.zeros((100, 100), dtype=np.uint8)
+    image[38:62, 38:62] = 255
+    x, y, w, h, _ = networks.classify_frame(image, networks.template_weights(), networks.STRIDE, 0.5)[0]
+    assert x < 62 and x + w > 38 and y < 62 and y + h > 38
+
+
+def test_block_features_are_the_row_form(spark):
+    from framelake.operators import faces, sliding
+
+    image = np.random.default_rng(7).integers(0, 256, (32, 24))
+    rows = spark.createDataFrame([(0, x, y, int(image[y, x])) for y in range(32) for x in range(24)], "frame long, x int, y int, v int")
+    want = np.zeros((3, 2, 4, 9))
+    for r in faces.gradient_blocks(faces.gradient_cells(rows), 3, 4).collect():
+        want[r.by, r.bx, r.cell, r.bin] = r.value
+    assert np.allclose(sliding.block_features(image[None])[0], want.ravel())
+
+
+def test_gradient_detector_slides():
+    from framelake.operators import sliding
+
+    assert sliding.detect_gradients_in(np.zeros((10, 10)), np.ones(3780), 0.0, sliding.Gradients()) == []
+    assert [level[:3] for level in sliding.gradient_levels(96, 160, sliding.Gradients())] == [(1.0, 96, 160), (1.2, 80, 133)]
+    image = np.random.default_rng(1).integers(0, 256, (160, 96))
+    weights = sliding.block_features(image[None, 16:144, 24:88])[0]
+    best = sliding.detect_gradients_in(image, weights, 0.0, sliding.Gradients())[0]
+    assert best[:4] == (24, 16, 64, 128) and np.isclose(best[4], weights @ weights)
+
+
+def test_anchor_scan_is_the_plain_one(spark):
+    from framelake.operators import sliding
+
+    image, scales, weights = np.random.default_rng(3).integers(0, 256, (24, 40)), (sliding.Scale(8, 8, 16), sliding.Scale(16, 4, 16), sliding.Scale(32, 8, 64)), sliding.even_anchor_weights(3)
+    want = {}
+    for k, (s, w) in enumerate(zip(scales, weights, strict=True)):
+        for y in range(0, 24 - s.tile + 1, s.stride):
+            for x in range(0, 40 - s.tile + 1, s.stride):
+                v = image[y : y + s.tile, x : x + s.tile, None] / 255.0
+                out = (np.maximum(v * w.hidden + w.hidden_bias, 0) @ w.out + w.out_bias).mean(axis=(0, 1))
+                bw, bh = s.anchor * np.exp(out[2] * s.stride), s.anchor * np.exp(out[3] * s.stride)
+                bx, by = min(max(x + s.tile // 2 + out[0] * s.stride - bw / 2, 0), 39), min(max(y + s.tile // 2 + out[1] * s.stride - bh / 2, 0), 23)
+                x2, y2 = int(bx + max(1, bw)), int(by + max(1, bh))
+                if x2 <= 40 and y2 <= 24 and x2 > int(bx) and y2 > int(by):
+                    want[k, x, y] = (int(bx), int(by), x2 - int(bx), y2 - int(by), 1 / (1 + np.exp(-out[4])))
+    rows = spark.createDataFrame([(0, x, y, int(image[y, x])) for y in range(24) for x in range(40)], "frame long, x int, y int, v int")
+    got = {(r.scale, r.tx, r.ty): (r.x, r.y, r.w, r.h, r.score) for r in sliding.anchor_boxes(rows, 40, 24, weights, scales, 0.0).collect()}
+    assert want and got.keys() == want.keys()
+    assert all(got[k][:4] == want[k][:4] and abs(got[k][4] - want[k][4]) < 1e-5 for k in want)
