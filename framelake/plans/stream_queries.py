@@ -18,4 +18,16 @@ def stream_job_state(spark, sf_dir):
 
 STATE_SQL = "SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'done' ELSE 'running' END AS status, count(*) AS seen FROM events GROUP BY user_id"
 
-QUERIES = {"stream_counts": (stream_counts, COUNTS_SQL), "stream_job_state": (stream_job_state, STATE_SQL)}
+#: Milliseconds without an event after which a job has stalled, and how far behind the newest event the watermark is.
+SILENT, LATE = 86_400_000, 3_600_000
+
+
+def stream_watchdog(spark, sf_dir):
+    """Jobs that have been silent for a day, by event-time timers."""
+    return s.last_update(s.run_to_table(s.watched(s.event_stream(spark, sf_dir), SILENT), "update"), "user_id")
+
+
+WATCHDOG_SQL = f"""WITH j AS (SELECT user_id, bool_or(event_type = 'purchase') AS done, max(epoch_ms(ts)) AS last, count(*) AS seen FROM events GROUP BY user_id), n AS (SELECT max(epoch_ms(ts)) - {LATE} AS mark FROM events)
+SELECT user_id, CASE WHEN done THEN 'done' WHEN last + {SILENT} < mark THEN 'stalled' ELSE 'running' END AS status, seen FROM j, n"""
+
+QUERIES = {"stream_counts": (stream_counts, COUNTS_SQL), "stream_job_state": (stream_job_state, STATE_SQL), "stream_watchdog": (stream_watchdog, WATCHDOG_SQL)}

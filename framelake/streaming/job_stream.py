@@ -40,6 +40,32 @@ def job_states(events: DataFrame) -> DataFrame:
     return events.select("user_id", "event_type").groupBy("user_id").applyInPandasWithState(job_state, "user_id long, status string, seen long", "status string, seen long", "update", GroupStateTimeout.NoTimeout)
 
 
+def watched(events: DataFrame, silent_ms: int, late: str = "1 hour") -> DataFrame:
+    """``user_id``, ``status``, ``seen``: running, done after a purchase, or stalled after ``silent_ms`` without an event.
+
+    Time is the events' own: a job has stalled when the watermark, ``late`` behind the newest event, has passed its last
+    event by more than ``silent_ms``. A job that speaks again runs again. One state row a job, dropped when it stalls.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, seen, last = state.get if state.exists else ("running", 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"user_id": [key[0]], "status": ["stalled"], "seen": [seen]})
+            return
+        for batch in batches:
+            seen, last = seen + len(batch), max(last, int(batch["at"].max()))
+            if batch["ends"].any():
+                status = "done"
+        state.update((status, seen, last))
+        if status != "done":
+            state.setTimeoutTimestamp(max(last + silent_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]], "status": [status], "seen": [seen]})
+
+    timed = events.withWatermark("ts", late).select("user_id", "ts", F.unix_millis("ts").alias("at"), (F.col("event_type") == "purchase").alias("ends"))
+    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, status string, seen long", "status string, seen long, last long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_to_table(df: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there; every micro-batch is a folder of its own, so a repeated batch replaces itself."""
     spark, out, checkpoint = df.sparkSession, new_path(df.sparkSession, "stream"), new_path(df.sparkSession, "checkpoint")
