@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..streaming import job_stream as s
 
 
@@ -23,11 +25,11 @@ SILENT, LATE = 86_400_000, 3_600_000
 
 
 def stream_watchdog(spark, sf_dir):
-    """Jobs that have been silent for a day, by event-time timers."""
-    return s.last_update(s.run_to_table(s.watched(s.event_stream(spark, sf_dir), SILENT), "update"), "user_id")
+    """Jobs that have been silent for a day, by event-time timers; every 300th event ends its job."""
+    return s.last_update(s.run_to_table(s.watched(s.event_stream(spark, sf_dir), F.col("event_id") % 300 == 0, SILENT), "update"), "user_id")
 
 
-WATCHDOG_SQL = f"""WITH j AS (SELECT user_id, bool_or(event_type = 'purchase') AS done, max(epoch_ms(ts)) AS last, count(*) AS seen FROM events GROUP BY user_id), n AS (SELECT max(epoch_ms(ts)) - {LATE} AS mark FROM events)
+WATCHDOG_SQL = f"""WITH j AS (SELECT user_id, bool_or(event_id % 300 = 0) AS done, max(epoch_ms(ts)) AS last, count(*) AS seen FROM events GROUP BY user_id), n AS (SELECT max(epoch_ms(ts)) - {LATE} AS mark FROM events)
 SELECT user_id, CASE WHEN done THEN 'done' WHEN last + {SILENT} < mark THEN 'stalled' ELSE 'running' END AS status, seen FROM j, n"""
 
 QUERIES = {"stream_counts": (stream_counts, COUNTS_SQL), "stream_job_state": (stream_job_state, STATE_SQL), "stream_watchdog": (stream_watchdog, WATCHDOG_SQL)}

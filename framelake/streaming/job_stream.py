@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -40,8 +40,8 @@ def job_states(events: DataFrame) -> DataFrame:
     return events.select("user_id", "event_type").groupBy("user_id").applyInPandasWithState(job_state, "user_id long, status string, seen long", "status string, seen long", "update", GroupStateTimeout.NoTimeout)
 
 
-def watched(events: DataFrame, silent_ms: int, late: str = "1 hour") -> DataFrame:
-    """``user_id``, ``status``, ``seen``: running, done after a purchase, or stalled after ``silent_ms`` without an event.
+def watched(events: DataFrame, ends: Column, silent_ms: int, late: str = "1 hour") -> DataFrame:
+    """``user_id``, ``status``, ``seen``: running, done after an event that ``ends`` the job, or stalled after ``silent_ms`` without an event.
 
     Time is the events' own: a job has stalled when the watermark, ``late`` behind the newest event, has passed its last
     event by more than ``silent_ms``. A job that speaks again runs again. One state row a job, dropped when it stalls.
@@ -62,7 +62,7 @@ def watched(events: DataFrame, silent_ms: int, late: str = "1 hour") -> DataFram
             state.setTimeoutTimestamp(max(last + silent_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "status": [status], "seen": [seen]})
 
-    timed = events.withWatermark("ts", late).select("user_id", "ts", F.unix_millis("ts").alias("at"), (F.col("event_type") == "purchase").alias("ends"))
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).select("user_id", "ts", F.unix_millis("ts").alias("at"), ends.alias("ends"))
     return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, status string, seen long", "status string, seen long, last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
