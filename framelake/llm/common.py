@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import hint, materialise
 
-__all__ = ["bound_batches", "documents", "hint", "let", "materialise", "text_or_empty", "with_row_number", "word_list"]
+__all__ = ["bound_batches", "documents", "embeddings", "hint", "let", "materialise", "text_or_empty", "with_row_number", "word_list"]
 
 #: Bytes of a batch for Python.
 BATCH_BYTES = 8 << 20
@@ -39,3 +39,7 @@ def word_list(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")

@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import new_path
 from .bpe import bpe_encode
-from .common import documents
+from .common import documents, embeddings
 from .exact_dedup import duplicate_groups
 from .html_extract import extract_main
 from .license_scan import license_scan
 from .mixing import mixture
 from .near_dedup import near_duplicates
 from .packing import read_packed, write_packed
+from .pieces import piece_encode
 from .pii import KINDS, digest, pii
 from .quality import quality_rules
 from .token_counts import token_counts
+from .whitening import whiten
 
 #: Id that ends a document, and ids of the vocabulary, of the word tokenizer.
 END_ID, WORD_VOCABULARY = 1, 49_408
@@ -79,6 +81,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(documents(spark, sf_dir))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(embeddings(spark, sf_dir))
+
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
@@ -88,7 +100,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_license_scan, op2_token_counts, op3_html_extract, op4_near_dedup, op5_pii, op6_byte_bpe, op7_packed_ids, op8_quality_rules, op9_exact_dedup, op10_mixing)
+    own = (op1_license_scan, op2_token_counts, op3_html_extract, op4_near_dedup, op5_pii, op6_byte_bpe, op7_packed_ids, op8_quality_rules, op9_exact_dedup, op10_mixing, op12_sentencepiece, op13_whitening)
     return {f.__name__: f for f in own}
 
 
