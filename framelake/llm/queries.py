@@ -11,6 +11,7 @@ from ..plans.tables import new_path
 from .bpe import bpe_encode
 from .common import documents, embeddings
 from .exact_dedup import duplicate_groups
+from .hard_negatives import hard_negatives
 from .html_extract import extract_main
 from .license_scan import license_scan
 from .mixing import mixture
@@ -81,6 +82,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sound = embeddings(spark, sf_dir).where(F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
+    step = lambda c: F.floor(F.greatest(F.least(c.cast("double"), F.lit(1e15)), F.lit(-1e15)) * 256).cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(sound.select("vec_id", label.alias("label"), F.transform("embedding", step).alias("x"), (F.col("vec_id") % 100 == 0).alias("anchor")))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -100,7 +108,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_license_scan, op2_token_counts, op3_html_extract, op4_near_dedup, op5_pii, op6_byte_bpe, op7_packed_ids, op8_quality_rules, op9_exact_dedup, op10_mixing, op12_sentencepiece, op13_whitening)
+    own = (op1_license_scan, op2_token_counts, op3_html_extract, op4_near_dedup, op5_pii, op6_byte_bpe, op7_packed_ids, op8_quality_rules, op9_exact_dedup, op10_mixing, op11_hard_negatives, op12_sentencepiece, op13_whitening)
     return {f.__name__: f for f in own}
 
 
