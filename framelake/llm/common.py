@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import hint, materialise
 
-__all__ = ["bound_batches", "documents", "embeddings", "hint", "let", "materialise", "text_or_empty", "with_row_number", "word_list"]
+__all__ = ["bound_batches", "documents", "embeddings", "hint", "let", "materialise", "text_or_empty", "whole_row", "with_row_number", "word_list"]
 
 #: Bytes of a batch for Python.
 BATCH_BYTES = 8 << 20
@@ -23,6 +23,11 @@ def with_row_number(df: DataFrame, name: str, *columns: Column | str) -> DataFra
     return materialise(df.select(F.monotonically_increasing_id().alias("rid"), *columns), name)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*(F.col("`" + name.replace("`", "``") + "`") for name in df.columns))
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

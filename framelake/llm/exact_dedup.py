@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hint, materialise, text_or_empty
+from .common import hint, materialise, text_or_empty, whole_row
 
 #: Code points of the prefix.
 PREFIX = 128
@@ -42,7 +42,7 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that :func:`duplicate_groups` keeps, with all their columns, whatever their names; nulls as there."""
-    numbered = materialise(df.select(F.struct(*df.columns).alias("row")).withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    numbered = materialise(df.select(whole_row(df).alias("row")).withColumn("rid", F.monotonically_increasing_id()), "numbered")
     flat = numbered.select(F.struct(F.col("row")[id_col].alias("id"), F.col("rid")).alias("id"), F.col("row")[text_col].alias("text"))
     dropped = materialise(duplicate_groups(flat, "id", "text").where("not kept").select(F.col("id.rid").alias("rid")), "dropped")
     return numbered.join(hint(dropped, 24), "rid", "left_anti").select("row.*")

@@ -5,7 +5,8 @@ often on the same pages have one occurrence vector and form an equivalence class
 are the template. Its elements hold the slots: the deepest one that stands once on its pages and holds most of what the host's
 pages say outside links is the main one, elements that hold mostly links are lists of links. The blocks of the main element's slots are
 the text, without lists of links and without blocks that are template themselves. Names of tags decide what is never text; class
-names and the tags article and main break ties, and decide for hosts without a template.
+names and the tags article and main break ties, and decide for hosts without a template. A class name is taken whole, and what it says of
+an element inside an article, or of a single paragraph, counts only if the template has that element too.
 """
 
 from __future__ import annotations
@@ -45,20 +46,21 @@ ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navigation navbar menu breadcrumb breadcrumbs sidebar aside widget footer header masthead topbar cookie cookies consent notice gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus reply replies respond discussion pager pagination toolbar search skip contentinfo complementary".split()
 )
 MAIN = frozenset(("article", "main"))
-WORDS = re.compile(r"[a-z]+")
+#: Elements whose class name counts by itself outside an article.
+HOLDERS = frozenset("div section ul ol table details".split())
 SPACES = re.compile(r"[\s]+")
 
 
 class Part(NamedTuple):
     """A tag or a run of text: its token (0 for white space), the block and the element it belongs to, and of a run whether it
-    lies in an article, aside by its tags, aside by class names, in a link, and its text."""
+    lies in an article, aside by its tags, in what element that is aside by its class (0: none), in a link, and its text."""
 
     token: int
     block: int
     element: int
     main: bool
     aside: bool
-    hinted: bool
+    hinted: int
     link: bool
     text: str | None
 
@@ -71,19 +73,20 @@ class Open(NamedTuple):
     element: int
     main: bool
     aside: bool
-    hinted: bool
+    hinted: int
     link: bool
 
 
-OUTSIDE = Open("", "", 0, False, False, False, False)
+OUTSIDE = Open("", "", 0, False, False, 0, False)
 
 
 class Page(NamedTuple):
-    """``parts`` in order; ``up``: the element around each element; ``marked``: elements with a telling class name."""
+    """``parts`` in order; ``up``: the element around each element; ``marked``: elements with a telling class name, and whether
+    the template must have them for that to count."""
 
     parts: list[Part]
     up: dict[int, int]
-    marked: set[int]
+    marked: dict[int, bool]
 
 
 @lru_cache(1 << 16)
@@ -100,7 +103,7 @@ def role(name: str, attributes: str, inside_main: bool) -> tuple[str, bool, bool
         key = key.lower()
         if key in ("class", "id", "role"):
             value = value.strip("\"'").lower()
-            words += WORDS.findall(value)
+            words += value.split()
             marks += "." + value if key == "class" else ""
         elif key == "hidden" or key == "aria-hidden" and "true" in value.lower() or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             hidden = True
@@ -112,7 +115,7 @@ def role(name: str, attributes: str, inside_main: bool) -> tuple[str, bool, bool
 
 def parsed(page: str) -> Page:
     """The tags and runs of a page in order. Elements left open end where HTML ends them, or with what holds them."""
-    out, up, marked = [], {0: 0}, set()
+    out, up, marked = [], {0: 0}, {}
     stack: list[Open] = []
     now, block, at, n, raw = OUTSIDE, 0, 0, len(page), None
 
@@ -169,18 +172,19 @@ def parsed(page: str) -> Page:
             now = stack[-1] if stack else OUTSIDE
         mark, opens, hides, hints = role(name, m[3], now.main)
         token = token_of(now.path, mark)
+        if hints:
+            marked[token] = now.main or name not in HOLDERS
+        hinted = token if hints and (not now.hinted or marked[now.hinted] and not marked[token]) else now.hinted
         tag(token, " " if name == "br" else None)
         if name in VOID or m[3].endswith("/") and name not in RAW:
             continue
         if name in RAW:
             raw = name
         if inline:
-            now = Open(name, now.path, now.element, now.main, now.aside or hides, now.hinted or hints, now.link or name == "a")
+            now = Open(name, now.path, now.element, now.main, now.aside or hides, hinted, now.link or name == "a")
         else:
             up[token] = now.element
-            if hints:
-                marked.add(token)
-            now = Open(name, f"{now.path}/{mark}", token, now.main or opens, now.aside or hides, now.hinted or hints, now.link)
+            now = Open(name, f"{now.path}/{mark}", token, now.main or opens, now.aside or hides, hinted, now.link)
         stack.append(now)
     return Page(out, up, marked)
 
@@ -204,25 +208,31 @@ NONE = Template(frozenset(), 0, frozenset())
 
 def chosen_parts(page: Page, template: Template) -> list[Part]:
     """The runs of the main element that are neither aside nor in a list of links; without a main element those of the article,
-    else all."""
+    else all. What class names say is passed over where it would leave nothing."""
     runs = [x for x in page.parts if x.text is not None and not x.aside]
+
+    def away(element: int) -> bool:
+        return element in page.marked and (not page.marked[element] or element in template.tokens or element in template.links)
+
     if template.main in page.up:
         inside: dict[int, bool] = {0: False, template.main: True}
 
         def within(element: int) -> bool:
             if element not in inside:
-                inside[element] = element not in page.marked and element not in template.links and within(page.up[element])
+                inside[element] = not away(element) and element not in template.links and within(page.up[element])
             return inside[element]
 
         of_main = [x for x in runs if within(x.element)]
         if any(x.text.strip() for x in of_main):
             if all(x.main for x in of_main):  # an article around it: what else that holds
-                around = [x for x in runs if x.main and not x.hinted and x.element not in template.links]
+                around = [x for x in runs if x.main and not away(x.hinted) and x.element not in template.links]
                 return around or of_main
             return of_main
-    runs = [x for x in runs if not x.hinted]
-    main = [x for x in runs if x.main]
-    return main if any(x.text.strip() for x in main) else runs
+    plain = [x for x in runs if not away(x.hinted)]
+    for some in ([x for x in plain if x.main], plain, [x for x in runs if x.main]):
+        if any(x.text.strip() for x in some):
+            return some
+    return runs
 
 
 def blocks_of(page: Page, template: Template) -> str:
@@ -325,7 +335,8 @@ def extract_main(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """``id_col``, ``url_col``, ``text`` and ``n_chars`` (code points) of every row of ``df``.
 
     The text is that of the main element of the host's template (:func:`templates`), without lists of links, what tags show to
-    be menus, headers, footers, sidebars, forms, scripts or styles, elements in it whose class, id or role say the like, and
+    be menus, headers, footers, sidebars, forms, scripts or styles, elements whose class, id or role is a word that says the like (inside an
+    article, and of single paragraphs, only if they are of the template), and
     blocks that are template as a whole. Where an article or main element lies around it, that element counts. Hosts of fewer than
     PAGES pages, and pages without the main element, are read by their article or main element, else by their body. Character
     references are decoded, white space within a block becomes one space, blocks are joined by two newlines; nothing else

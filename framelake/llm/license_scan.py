@@ -2,12 +2,15 @@
 
 A notice of L characters that may differ in k edits is split into k + 1 pieces; at least one piece then stands unchanged
 in any such occurrence (pigeonhole). One Aho-Corasick pass over the words of a text finds all pieces of all notices; each
-hit opens a window in which the ``regex`` library verifies the whole notice with at most k edits and reports its span.
+hit says where the notice can begin and end, and the ``regex`` library verifies each such stretch of whole words with at most k
+edits. Of occurrences of one notice that overlap, that with the fewest edits counts, then the first, then the shortest.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import pandas as pd
@@ -63,13 +66,22 @@ def pieces(notice: Notice) -> list[tuple[int, str]]:
     return [(a, notice.phrase[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def spaces(words: str, first: int, last: int) -> list[int]:
+    """Places of spaces from ``first`` to ``last``."""
+    out, at = [], words.find(" ", max(0, first), max(0, last + 1))
+    while at >= 0:
+        out.append(at)
+        at = words.find(" ", at + 1, last + 1)
+    return out
+
+
 class Scanner:
     def __init__(self, base: dict[str, str], notices: tuple[Notice, ...]):
         import ahocorasick
         import regex
 
         self.base, self.notices = base, notices
-        self.verify = [regex.compile(rf"(?b) (?:{regex.escape(x.phrase)}){{e<={x.edits}}}(?= )") for x in notices]
+        self.verify = [regex.compile(rf"(?b)(?:{regex.escape(x.phrase)}){{e<={x.edits}}}") for x in notices]
         found: dict[str, list[tuple[int, int]]] = {}
         for i, notice in enumerate(notices):
             for at, piece in pieces(notice):
@@ -89,27 +101,33 @@ class Scanner:
                 at = words.find(f" {phrase} ", at + 1)
         return sorted(out)
 
-    def windows(self, words: str) -> dict[int, list[list[int]]]:
-        """Stretches that can hold a notice, overlapping ones joined, by the notice's number."""
-        out: dict[int, list[list[int]]] = {}
-        for end, (length, uses) in self.seeds.iter(words):
+    def stretches(self, words: str) -> set[tuple[int, int, int]]:
+        """(notice, start, end): stretches of whole words, given by the spaces around them, that a seed allows a notice to fill."""
+        out = set()
+        for last, (length, uses) in self.seeds.iter(words):
             for i, at in uses:
-                notice, start = self.notices[i], end + 1 - length - at
-                lo, hi = max(0, start - notice.edits - 1), start + len(notice.phrase) + notice.edits + 1
-                own = out.setdefault(i, [])
-                if own and lo <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], hi)
-                else:
-                    own.append([lo, hi])
+                phrase, k = self.notices[i].phrase, self.notices[i].edits
+                start = last + 1 - length - at  # of the phrase, if there was no edit before the seed
+                for a in spaces(words, start - k - 1, start + k - 1):
+                    for b in spaces(words, max(a + 2, a + 1 + len(phrase) - k), a + 1 + len(phrase) + k):
+                        out.add((i, a, b))
         return out
 
     def fuzzy(self, words: str) -> list[tuple[int, int, int, int]]:
         """(start, end, notice, edits) of the verified occurrences, those of one notice without overlap."""
-        out = []
-        for i, stretches in self.windows(words).items():
-            for lo, hi in stretches:
-                for m in self.verify[i].finditer(words, lo, min(hi, len(words))):
-                    out.append((m.start(), m.end(), i, sum(m.fuzzy_counts)))
+        out: list[tuple[int, int, int, int]] = []
+        verified = []
+        for i, a, b in self.stretches(words):
+            m = self.verify[i].fullmatch(words, a + 1, b)
+            if m:
+                verified.append((i, sum(m.fuzzy_counts), a, b))
+        for i, own in groupby(sorted(verified), key=lambda x: x[0]):
+            free: list[tuple[int, int]] = []  # apart from each other, in order
+            for _, edits, a, b in own:
+                at = bisect_left(free, (a, b))
+                if not (at and free[at - 1][1] > a) and not (at < len(free) and free[at][0] < b):
+                    free.insert(at, (a, b))
+                    out.append((a, b, i, edits))
         return sorted(out)
 
     def scan(self, text: str) -> tuple:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hint, materialise, text_or_empty, with_row_number
+from .common import hint, materialise, text_or_empty, whole_row, with_row_number
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -145,7 +145,7 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     Nulls, sources without words and empty tables as in :func:`mixture`; of rows that are alike in all columns any may stay.
     """
-    whole = materialise(df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("key"), F.col(source_col).alias("source"), words_of(text_col).alias("size")).withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    whole = materialise(df.select(whole_row(df).alias("row"), F.col(id_col).alias("key"), F.col(source_col).alias("source"), words_of(text_col).alias("size")).withColumn("rid", F.monotonically_increasing_id()), "numbered")
     times = materialise(mix(whole.select("rid", "key", "source", "size"), seed).where("times > 0").select("rid", "times"), "times")
     taken = whole.join(hint(times, 24), "rid").select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy"))
     return taken.select("row.*")

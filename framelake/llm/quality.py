@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hint, let, materialise, text_or_empty, word_list
+from .common import hint, let, materialise, text_or_empty, whole_row, word_list
 
 SYMBOLS = "#*$%&|<>"
 DIGITS = "0123456789"
@@ -199,7 +199,7 @@ def quality_filter(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """
     known = hint(materialise(label_table(labels), "labels"), 24)
     lang = F.col(stratum_col) if stratum_col in df.columns else F.lit(None).cast("string")
-    rows = df.select(F.struct(*df.columns).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), lang.alias("__lang"))
+    rows = df.select(whole_row(df).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), lang.alias("__lang"))
     labelled = rows.drop("__row").join(known, F.col("__id") == F.col("label_key"))
     labelled = materialise(features(labelled, [F.col("label_key"), F.col("good")], "__text", "__lang").where(~base_failed()), "labelled")
     chosen = cutoffs(labelled)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, let, materialise
+from .common import bound_batches, materialise
 
 #: Steps of an entry's unit, and what is added to make entries positive.
 STEPS, SHIFT = 1024, 100_000
@@ -181,6 +181,7 @@ def eigen(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(REFINED):
         left = np.eye(len(x), dtype=np.longdouble) - x.T @ x
         turned = x.T @ exact @ x
+        turned, left = (turned + turned.T) / 2, (left + left.T) / 2
         values = np.diag(turned) / (1 - np.diag(left))
         apart = values[None, :] - values[:, None]
         # pairs so close that they are one to double precision keep what eigh gave, made orthogonal
