@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.cascades import CUSTOM_RECTS, CascadeFile, Feature, WeakFeature
+from ..sources.cascades import CUSTOM_RECTS, DIAGONAL_EDGE, HORIZONTAL_CENTER, HORIZONTAL_EDGE, VERTICAL_CENTER, CascadeFile, Feature, WeakFeature
 from .pixels import integral, rect_sums
 
 SIDE = 24
@@ -21,13 +21,30 @@ class Weak(NamedTuple):
     threshold: float
     left: float
     right: float
+    sign: int = 1
 
 
 class Cascade(NamedTuple):
-    """``features``: rectangles (x, y, w, h, weight) in window pixels; ``stages``: threshold and weak classifiers."""
+    """``features``: rectangles (x, y, w, h, weight) in window pixels; ``stages``: threshold and weak classifiers; ``tilted``: numbers
+    of the features whose rectangles are turned by 45 degrees; ``bias``: what every stage's threshold is raised by."""
 
     features: tuple[tuple[tuple[int, int, int, int, float], ...], ...]
     stages: tuple[tuple[float, tuple[Weak, ...]], ...]
+    tilted: frozenset[int] = frozenset()
+    bias: float = 0.0
+
+    def spots(self, feature: int) -> list[tuple[bool, int, int, float]]:
+        """The feature as a weighted sum of places of prefix tables: whether of the diagonal one, and x and y from the window's corner."""
+        found: dict[tuple[bool, int, int], float] = {}
+        for x, y, w, h, weight in self.features[feature]:
+            x2, y2 = x + w, y + h
+            xm, ym = (x + x2) // 2, (y + y2) // 2
+            upright = ((x2, y2, 1), (x, y2, -1), (x2, y, -1), (x, y, 1))
+            turned = ((xm, y, 1), (x, y, -1), (xm, ym, -2), (x, ym, 1), (x2, ym, 1), (x2, y2, -1), (xm, y2, 1))
+            for a, b, k in turned if feature in self.tilted else upright:
+                at = feature in self.tilted, a - 1, b - 1
+                found[at] = found.get(at, 0.0) + k * weight
+        return [(*at, k) for at, k in found.items() if k]
 
 
 def strips(weights: list[float], down: bool) -> tuple:
@@ -130,6 +147,10 @@ def detect_frame(image: np.ndarray, cascade: Cascade, stride: int = 4, scale: fl
             now = np.floor(area_matrix(now.shape[0], level["height"]) @ now @ area_matrix(now.shape[1], level["width"]).T + 0.5)
         pad = lambda t: np.pad(t.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
         ii, ii2 = pad(now), pad(now * now)
+        tilt = np.zeros_like(ii)
+        if cascade.tilted:
+            for row in range(level["height"]):  # each place adds to the diagonal above it
+                tilt[row + 1, 1:] = now[row] + tilt[row, :-1]
         ys, xs = (g.ravel() for g in np.meshgrid(np.arange(0, level["height"] - SIDE + 1, level["stride"]), np.arange(0, level["width"] - SIDE + 1, level["stride"]), indexing="ij"))
         area = lambda t, x, y, w, h: t[ys + y + h, xs + x + w] - t[ys + y, xs + x + w] - t[ys + y + h, xs + x] + t[ys + y, xs + x]
         n, inner = (SIDE - 2) ** 2, (1, 1, SIDE - 2, SIDE - 2)
@@ -140,9 +161,9 @@ def detect_frame(image: np.ndarray, cascade: Cascade, stride: int = 4, scale: fl
         for least, weak in cascade.stages:
             total = np.zeros(len(xs), dtype=np.float32)
             for w in weak:
-                value = sum(area(ii, *r[:4]) * r[4] for r in cascade.features[w.feature]).astype(np.float32) * norm
+                value = sum((tilt if diagonal else ii)[ys + y + 1, xs + x + 1] * k for diagonal, x, y, k in cascade.spots(w.feature)).astype(np.float32) * norm
                 total += np.where(value < np.float32(w.threshold), np.float32(w.left), np.float32(w.right))
-            ok = total >= np.float32(least)
+            ok = total >= np.float32(least) + np.float32(cascade.bias)
             xs, ys, norm, score = xs[ok], ys[ok], norm[ok], score[ok] + total[ok]
         s, box = np.float32(level["scale"]), level["box"]
         to = lambda v, size: np.clip(np.floor((v * s if mul else v / s).astype(np.float32) + 0.5), 0, max(0, size - box)).astype(int)
@@ -224,8 +245,29 @@ def to_file(cascade: Cascade) -> CascadeFile:
     return CascadeFile(SIDE, SIDE, features, tuple((t, tuple(WeakFeature(w.feature, w.threshold, 1, w.left, w.right) for w in weak)) for t, weak in cascade.stages))
 
 
+def in_window(feature: Feature) -> tuple[tuple[int, int, int, int, float], ...]:
+    """A feature's rectangles in window pixels; those of the five named kinds are in units of the feature's own grid."""
+    if feature.kind == CUSTOM_RECTS:
+        return tuple((x, y, max(1, w), max(1, h), weight) for x, y, w, h, weight in feature.rects)
+    to = lambda v, units: v * SIDE // max(1, units)
+    return tuple((to(x, feature.width), to(y, feature.height), max(1, to(w, feature.width)), max(1, to(h, feature.height)), weight) for x, y, w, h, weight in feature.rects)
+
+
 def from_file(file: CascadeFile) -> Cascade:
-    """The cascade of a file whose window has SIDE pixels and whose features list their rectangles."""
-    if (file.width, file.height) != (SIDE, SIDE) or any(f.kind != CUSTOM_RECTS for f in file.features):
-        raise ValueError("another window or kind of feature")
-    return Cascade(tuple(f.rects for f in file.features), tuple((t, tuple(Weak(w.feature, w.threshold, w.left, w.right) for w in weak)) for t, weak in file.stages))
+    """The cascade of a file whose window has SIDE pixels, with features of any kind. ValueError for another window and for rectangles beyond it."""
+    features = tuple(map(in_window, file.features))
+    if (file.width, file.height) != (SIDE, SIDE) or any(x + w > SIDE or y + h > SIDE for rects in features for x, y, w, h, _ in rects):
+        raise ValueError("another window, or a rectangle beyond it")
+    stages = tuple((t, tuple(Weak(w.feature, w.threshold, w.left, w.right, w.sign) for w in weak)) for t, weak in file.stages)
+    return Cascade(features, stages, frozenset(i for i, f in enumerate(file.features) if f.kind == DIAGONAL_EDGE))
+
+
+def named_kind(kind: int, width: int, height: int) -> Feature:
+    """A feature of one of the five kinds on a grid of ``width`` by ``height`` units: edges are halves, centres thirds, the last part takes the rest."""
+    parts = 3 if kind in (VERTICAL_CENTER, HORIZONTAL_CENTER) else 2
+    down = kind != HORIZONTAL_EDGE and kind != HORIZONTAL_CENTER
+    size = height if down else width
+    cuts = [i * (size // parts) for i in range(parts)] + [size]
+    weights = (1.0, -2.0, 1.0) if parts == 3 else (1.0, -1.0)
+    rects = tuple((0, a, width, b - a, k) if down else (a, 0, b - a, height, k) for a, b, k in zip(cuts, cuts[1:], weights, strict=False))
+    return Feature(kind, width, height, rects)

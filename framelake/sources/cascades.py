@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-# Fixed values of the file format: magic, version, and the kind of a feature that lists its rectangles in pixels.
-MAGIC, VERSION, CUSTOM_RECTS = b"RFCF", 2, 5
+# Fixed values of the file format: magic, version, and the kinds of features; the last lists its rectangles in pixels.
+MAGIC, VERSION = b"RFCF", 2
+VERTICAL_EDGE, HORIZONTAL_EDGE, DIAGONAL_EDGE, VERTICAL_CENTER, HORIZONTAL_CENTER, CUSTOM_RECTS = range(6)
 
 
 class Feature(NamedTuple):

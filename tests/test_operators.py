@@ -198,7 +198,7 @@ def test_classifier_scores_every_fourth_place(spark):
         if all(haar.overlap(b, k) <= 0.3 for k in want):
             want.append(b)
     frames = spark.createDataFrame([(0, 37, 33, image.tobytes())], "frame long, width int, height int, gray binary")
-    got = networks.classify(frames, least=0.0).collect()
+    got = networks.classify(frames, weights, least=0.0).collect()
     assert sorted((r.x, r.y, r.w, r.h) for r in got) == sorted(b[:4] for b in want)
     assert sorted(r.score for r in got) == pytest.approx(sorted(b[4] for b in want))
     every = networks.classify_frame(image, weights, networks.STRIDE, 0.0)
