@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import materialise
+from ..plans.tables import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,15 +24,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", most_rounds: int = 100) -> DataFrame:
     """``node`` and ``component`` (the smallest node it is connected with) for every node of ``edges``, two columns of
-    longs. Rounds of two grouped minima and joins; the edges of each round are written, so lineage stays short. The number
+    longs. Rounds of two grouped minima and joins; the edges of each round are written, so lineage stays short, and those of the round before are removed. The number
     of rounds grows with the logarithm of the nodes; RuntimeError after ``most_rounds``. Null ends, loops and repeated
     edges are ignored; an empty table gives an empty result.
     """
     now = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u != v").distinct()
-    nodes = materialise(now, "edges")
-    now, before = nodes, None
+    now, before = materialise(now, "edges"), None
     for _ in range(most_rounds):
-        now = materialise(_star(_star(now, True), False), "stars")
+        last, now = now, materialise(_star(_star(now, True), False), "stars")
+        discard(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
