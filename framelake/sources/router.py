@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import images
+from .scans import frames_of
 
 #: Fixed endings of video files.
 VIDEO = (".mp4", ".mov", ".avi", ".mkv", ".webm")
@@ -26,14 +27,14 @@ def source_kind(address: Column) -> Column:
 
 
 def open_source(spark: SparkSession, address: str, fps: int = 30) -> DataFrame:
-    """The frames of an address: generated ones as pixels, image sequences of any folder that Spark reads as packed frames.
+    """The frames of an address: generated ones as pixels, as many as it says, image sequences of any folder that Spark reads as packed frames.
 
     Videos and web addresses have no reader in Spark and are refused with a reason.
     """
     web = address.startswith(("http://", "https://"))
     kind = spark.range(1).select(source_kind(F.lit(address))).first()[0]
     if kind == "generated":
-        return images.synthetic(spark)
+        return images.synthetic(spark, frames_of(address))
     if kind == "sequence" and not web:
         return images.sequence(spark, address, fps)
     raise NotImplementedError(f"{kind} at {'a web address' if web else 'a stream or video file'}: fetch it as an image sequence first")
