@@ -56,3 +56,11 @@ def highlight(text: Column, term: str) -> Column:
     import re
 
     return F.regexp_replace(text, f"(?i)({re.escape(term)})", "<mark>$1</mark>")
+
+
+def percent_encoded(text: Column, keep: str = "") -> Column:
+    """Every byte but letters, digits and ``-_.~`` (and the characters of ``keep``) as ``%XX``; a space is ``%20``."""
+    out = F.url_encode(text)  # the form's rule: a space is +, * stays, ~ does not
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), *((f"%{ord(c):02X}", c) for c in keep)):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out

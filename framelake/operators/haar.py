@@ -227,9 +227,11 @@ def detect(frames: DataFrame, cascade: Cascade | None = None, stride: int = 4, s
 
 
 def pack(pixels: DataFrame, width: int, height: int) -> DataFrame:
-    """Pixels as rows to packed frames; bytes are put in order within a frame."""
-    hexed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: F.lpad(F.hex(p["v"]), 2, "0")), "")
-    return pixels.groupBy("frame").agg(F.unhex(hexed).alias("gray")).select("frame", F.lit(width).alias("width"), F.lit(height).alias("height"), "gray")
+    """Pixels as rows to packed frames: the bytes of a row are put in order, then a frame's rows; no task holds a frame as structs of pixels."""
+    row = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda p: F.lpad(F.hex(p["v"]), 2, "0")), "")
+    rows = pixels.groupBy("frame", "y").agg(F.unhex(row).alias("row"))
+    frame = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "row"))), lambda r: F.hex(r["row"])), "")
+    return rows.groupBy("frame").agg(F.unhex(frame).alias("gray")).select("frame", F.lit(width).alias("width"), F.lit(height).alias("height"), "gray")
 
 
 def bright_centres(spark: SparkSession, frames: int = 4) -> DataFrame:

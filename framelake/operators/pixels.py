@@ -41,6 +41,35 @@ def stretch(pixels: DataFrame, share: float = 0.01) -> DataFrame:
     return pixels.join(ends, "frame").select("frame", "x", "y", F.coalesce(scaled, F.col("v")).cast("int").alias("v"))
 
 
+def stretch_as_published(pixels: DataFrame) -> DataFrame:
+    """The stretch as the tool to be matched has it: the upper end is counted from the top to all but a hundredth of the pixels, so
+    it is the value that nearly all are at or above. Where it is not above the lower end, the frame stays."""
+    share = F.expr("total div 100")
+    h = histogram(pixels).withColumn("above", F.col("total") - F.col("cdf") + F.col("n"))
+    lo = F.when(F.first(share) == 0, 0).otherwise(F.min(F.when(F.col("cdf") >= share, F.col("v"))))  # nothing to reach: the first value, 0
+    ends = h.groupBy("frame").agg(lo.alias("lo"), F.max(F.when(F.col("above") >= F.col("total") - share, F.col("v"))).alias("hi"))
+    single = ((F.col("v") - F.col("lo")).cast("float") / (F.col("hi") - F.col("lo")).cast("float")).cast("float") * F.lit(255.0).cast("float")
+    value = F.when(F.col("hi") <= F.col("lo"), F.col("v")).otherwise(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), single.cast("double")))).cast("int"))
+    return pixels.join(ends, "frame").select("frame", "x", "y", value.alias("v"))
+
+
+def draw_rects(colours: DataFrame, boxes: DataFrame, width: int, height: int, colour: tuple[int, int, int] = (255, 64, 64)) -> DataFrame:
+    """``frame``, ``x``, ``y``, ``r``, ``g``, ``b`` with the outline of every box (``frame``, ``x``, ``y``, ``w``, ``h``): ``w`` pixels from its corner along the upper edge
+    and along the row just below it, ``h`` along the left edge and the column just right of it; what lies outside the frame is cut.
+
+    A box is dealt to the pixels of its outline, and a frame's are made one before the join, so it does not matter how many boxes lie on a pixel.
+    """
+    along = lambda n: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: i)
+    at = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    x, y, w, h = (F.col(c) for c in "xywh")
+    across = F.flatten(F.transform(along("w"), lambda i: F.array(at(x + i, y), at(x + i, y + h))))
+    down = F.flatten(F.transform(along("h"), lambda j: F.array(at(x, y + j), at(x + w, y + j))))
+    edge = boxes.where("w > 0 and h > 0").select("frame", F.explode(F.concat(across, down)).alias("p")).select("frame", "p.x", "p.y")
+    edge = edge.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)).distinct().withColumn("drawn", F.lit(True))
+    pick = lambda c, v: F.when(F.col("drawn"), v).otherwise(F.col(c)).cast("int").alias(c)
+    return colours.join(edge, ["frame", "x", "y"], "left").select("frame", "x", "y", *(pick(c, v) for c, v in zip("rgb", colour, strict=True)))
+
+
 def integral(pixels: DataFrame) -> DataFrame:
     """``ii`` and ``ii2``: sums of values and squares over the rectangle from the origin to the pixel, itself included."""
     row = Window.partitionBy("frame", "y").orderBy("x")

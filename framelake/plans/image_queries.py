@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import haar, networks, sliding
+from ..operators import compare, haar, networks, sliding
 from ..operators import pixels as p
-from ..sources import images
+from ..sources import scans
 from .box_queries import BOXES_SQL, boxes
+from .haar_queries import tiled, tiled_sql
 from .pixel_queries import DOMINANCE_SQL, PIXELS_SQL, RGB_SQL, pixels, rgb
 
 
 def synthetic_scan(spark, sf_dir):
-    """Mean, least and largest value of every generated frame."""
-    return images.synthetic(spark, 8).groupBy("frame", "timestamp_ms").agg(F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
+    """Mean, least and largest value of every generated frame, as many as there are suppliers, from the data source of generated frames."""
+    scans.register(spark)
+    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            gray = [np.frombuffer(g, dtype=np.uint8) for g in batch["gray"]]
+            yield pd.DataFrame({"frame": batch["frame"], "timestamp_ms": batch["timestamp_ms"], "mean": [g.mean() for g in gray], "low": [int(g.min()) for g in gray], "high": [int(g.max()) for g in gray]})
+
+    frames = spark.read.format("generated_frames").option("address", f"test://n={n}").load()
+    return frames.mapInPandas(look, "frame long, timestamp_ms long, mean double, low int, high int").withColumn("mean", F.round("mean", 6))
 
 
 SYNTHETIC_SQL = """SELECT frame, frame * 33 AS timestamp_ms, round(avg(v), 6) AS mean, min(v) AS low, max(v) AS high FROM (
-SELECT i // 76800 AS frame, CAST(least(255, greatest(0, floor(CAST(sin(CAST(i % 320 + i // 320 % 240 AS FLOAT) * CAST(0.02 AS FLOAT) + CAST(i // 76800 AS FLOAT) * CAST(0.1 AS FLOAT)) AS FLOAT) * CAST(127 AS FLOAT) + CAST(128 AS FLOAT)))) AS INT) AS v FROM range(8 * 76800) r(i)) GROUP BY 1, 2"""
+SELECT i // 76800 AS frame, CAST(least(255, greatest(0, floor(CAST(sin(CAST(i % 320 + i // 320 % 240 AS FLOAT) * CAST(0.02 AS FLOAT) + CAST(i // 76800 AS FLOAT) * CAST(0.1 AS FLOAT)) AS FLOAT) * CAST(127 AS FLOAT) + CAST(128 AS FLOAT)))) AS INT) AS v FROM range((SELECT count(*) FROM supplier) * 76800) r(i)) GROUP BY 1, 2"""
 
 
 def resize_bilinear(spark, sf_dir):
@@ -26,11 +39,12 @@ def resize_bilinear(spark, sf_dir):
     return p.resize_bilinear(pixels(spark, sf_dir), 8, 8, 5, 5)
 
 
-BILINEAR_SQL = f"""WITH {PIXELS_SQL.replace("pixels AS (", "pixels AS MATERIALIZED (")}, o AS (SELECT CAST(i AS INT) AS o, greatest(0, (i + CAST(0.5 AS DOUBLE)) * 8 / 5 - 0.5) AS spot FROM range(5) r(i)), t AS (SELECT o, CAST(floor(spot) AS INT) AS a, least(CAST(floor(spot) AS INT) + 1, 7) AS b, spot - floor(spot) AS t FROM o)
-SELECT p.frame AS frame, tx.o AS x, ty.o AS y, CAST(floor(round((p.v*(1-tx.t) + q.v*tx.t)*(1-ty.t) + (r.v*(1-tx.t) + s.v*tx.t)*ty.t, 6) + 0.5) AS INT) AS v
-FROM pixels p JOIN t tx ON tx.a = p.x JOIN t ty ON ty.a = p.y JOIN pixels q ON q.frame = p.frame AND q.x = tx.b AND q.y = p.y
-JOIN pixels r ON r.frame = p.frame AND r.x = p.x AND r.y = ty.b JOIN pixels s ON s.frame = p.frame AND s.x = tx.b AND s.y = ty.b"""
+BILINEAR_SQL = f"""WITH {PIXELS_SQL}, o AS (SELECT CAST(i AS INT) AS o, greatest(0, (i + CAST(0.5 AS DOUBLE)) * 8 / 5 - 0.5) AS spot FROM range(5) r(i)), t AS (SELECT o, CAST(floor(spot) AS INT) AS a, least(CAST(floor(spot) AS INT) + 1, 7) AS b, spot - floor(spot) AS t FROM o),
+rows AS (SELECT frame, y, list(v ORDER BY x) AS vs FROM pixels GROUP BY frame, y), across AS MATERIALIZED (SELECT frame, y, o AS x, vs[a + 1] * (1 - t) + vs[b + 1] * t AS v FROM rows CROSS JOIN t),
+columns AS (SELECT frame, x, list(v ORDER BY y) AS vs FROM across GROUP BY frame, x) SELECT frame, x, o AS y, CAST(floor(round(vs[a + 1] * (1 - t) + vs[b + 1] * t, 6) + 0.5) AS INT) AS v FROM columns CROSS JOIN t"""
 
+#: Weights of the gradient detector from a rule.
+GRADIENT_WEIGHTS = (np.arange(3780) * 7919 % 17 - 8) / 100.0
 KERNEL = [[-1.0, 0.0, 1.0], [-2.0, 0.0, 2.0], [-1.0, 0.0, 1.0]]
 
 
@@ -45,8 +59,8 @@ SELECT frame, CAST(x // 2 AS INT) AS x, CAST(y // 2 AS INT) AS y, max(v) AS v FR
 
 
 def cnn_detect(spark, sf_dir):
-    """The classifier on the detector's test frames; a packed frame at a time."""
-    return networks.classify(haar.pack(haar.bright_centres(spark, 4), 120, 120), least=0.0)
+    """The classifier on frames of 64 vectors; a packed frame at a time."""
+    return networks.classify(haar.pack(tiled(spark, sf_dir), 64, 64), least=0.0)
 
 
 def draw_outline(spark, sf_dir):
@@ -94,9 +108,26 @@ SELECT f.frame AS frame, win AS "window", CAST(coalesce(sum(v * c.k * sign), 0)
 
 
 def gradient_detect(spark, sf_dir):
-    """The gradient detector on generated frames of 320 by 240, with weights from a rule."""
-    weights = (np.arange(3780) * 7919 % 17 - 8) / 100.0
-    return sliding.detect_gradients(haar.pack(images.synthetic(spark, 4), 320, 240), weights)
+    """The gradient detector on frames of 256 vectors, with weights from a rule."""
+    return sliding.detect_gradients(haar.pack(tiled(spark, sf_dir, 16), 128, 128), GRADIENT_WEIGHTS)
+
+
+def compare_detectors(spark, sf_dir):
+    """Boxes of every detector on frames of 64 vectors, by a lateral join; two that have no weights give their reason."""
+    return compare.detections(haar.pack(tiled(spark, sf_dir), 64, 64)).drop("elapsed_ms")
+
+
+def drawn_boxes(spark, sf_dir):
+    """Frames of 64 vectors as colours, with the outline of a box that each vector's id and label give."""
+    gray = tiled(spark, sf_dir)
+    vec = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label is not null")
+    boxes_ = vec.select(F.expr("vec_id div 64").alias("frame"), (F.col("vec_id") * 7 % 70).alias("x"), (F.col("vec_id") * 5 % 66).alias("y"), (F.col("label") + 6).alias("w"), (F.col("label") + 5).alias("h"))
+    return p.draw_rects(gray.select("frame", "x", "y", *(F.col("v").alias(c) for c in "rgb")), boxes_, 64, 64)
+
+
+DRAWN_SQL = f"""WITH {tiled_sql()}, b AS (SELECT vec_id // 64 AS frame, vec_id * 7 % 70 AS x, vec_id * 5 % 66 AS y, label + 6 AS w, label + 5 AS h FROM embeddings WHERE label IS NOT NULL),
+e AS (SELECT frame, x + i AS x, unnest([y, y + h]) AS y FROM b, range(20) r(i) WHERE i < w UNION SELECT frame, unnest([x, x + w]), y + i FROM b, range(20) r(i) WHERE i < h)
+SELECT l0.frame AS frame, l0.x AS x, l0.y AS y, CASE WHEN e.x IS NULL THEN v ELSE 255 END AS r, CASE WHEN e.x IS NULL THEN v ELSE 64 END AS g, CASE WHEN e.x IS NULL THEN v ELSE 64 END AS b FROM l0 LEFT JOIN e ON e.frame = l0.frame AND e.x = l0.x AND e.y = l0.y"""
 
 
 def manifest_rows(spark, sf_dir):
@@ -124,17 +155,18 @@ round(avg(CASE WHEN (h<=20 OR h>=160) AND s BETWEEN 50 AND 170 AND v BETWEEN 80
 
 
 def crop_cap(spark, sf_dir):
-    """Boxes whose place in the order of frames and ranks is within a job's cap on crops, 2000 (a fixed value); a thousand frames are a job."""
+    """Boxes whose place in the order of frames and ranks is within a job's cap on crops, 2000 (a fixed value); a nation's orders are a job."""
     from pyspark.sql import Window
 
-    block = F.floor(F.col("frame") / 1000).alias("block")
-    numbered = boxes(spark, sf_dir).select("frame", "rank", block).withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy("frame", "rank")))
-    return numbered.where("place <= 2000").select("frame", "rank", "place")
+    o, c = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "customer"))
+    jobs = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("frame"), F.col("c_nationkey").alias("job"))
+    numbered = boxes(spark, sf_dir).join(jobs, "frame").select("job", "frame", "rank").withColumn("place", F.row_number().over(Window.partitionBy("job").orderBy("frame", "rank")))
+    return numbered.where("place <= 2000")  # cut before the shuffle, too
 
 
-CAP_SQL = f"WITH {BOXES_SQL} SELECT frame, rank, CAST(place AS INT) AS place FROM (SELECT frame, rank, row_number() OVER (PARTITION BY frame // 1000 ORDER BY frame, rank) AS place FROM boxes) WHERE place <= 2000"
+CAP_SQL = f"WITH {BOXES_SQL}, n AS (SELECT c_nationkey AS job, frame, rank, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY frame, rank) AS INT) AS place FROM boxes JOIN orders ON o_orderkey = frame JOIN customer ON c_custkey = o_custkey) SELECT * FROM n WHERE place <= 2000"
 
 QUERIES = {
     "synthetic_scan": (synthetic_scan, SYNTHETIC_SQL), "resize_bilinear": (resize_bilinear, BILINEAR_SQL), "conv_layer": (conv_layer, CONV_SQL), "cnn_detect": (cnn_detect, None), "draw_outline": (draw_outline, OUTLINE_SQL),
-    "tilted_rect_sum": (tilted_rect_sum, TILTED_SQL), "diagonal_edges": (diagonal_edges, DIAGONAL_EDGE_SQL), "gradient_detect": (gradient_detect, None), "manifest_rows": (manifest_rows, MANIFEST_SQL), "skin_ratio": (skin_ratio, SKIN_SQL), "crop_cap": (crop_cap, CAP_SQL),
+    "tilted_rect_sum": (tilted_rect_sum, TILTED_SQL), "diagonal_edges": (diagonal_edges, DIAGONAL_EDGE_SQL), "gradient_detect": (gradient_detect, None), "compare_detectors": (compare_detectors, None), "drawn_boxes": (drawn_boxes, DRAWN_SQL), "manifest_rows": (manifest_rows, MANIFEST_SQL), "skin_ratio": (skin_ratio, SKIN_SQL), "crop_cap": (crop_cap, CAP_SQL),
 }

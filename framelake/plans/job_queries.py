@@ -216,7 +216,58 @@ def face_frames(spark, sf_dir):
 
 FACE_FRAMES_SQL = f"WITH {JOBS_SQL}, b AS (SELECT job_id, idx, count(*) AS n_faces, max(score) AS top_score FROM faces GROUP BY job_id, idx) SELECT *, lag(idx) OVER w AS previous, lead(idx) OVER w AS next FROM b WINDOW w AS (PARTITION BY job_id ORDER BY idx)"
 
+def job_export(spark, sf_dir):
+    """Each job as one JSON text: its numbers, and its frames in order with their faces; nulls are written."""
+    face = F.struct(F.col("score").cast("long").alias("score"), F.col("key").alias("key"), media_url(F.col("key")).alias("url"))
+    by_frame = faces(spark, sf_dir).withColumn("key", F.concat_ws("/", F.lit("s3://crops"), "job_id", "idx")).groupBy("job_id", "idx").agg(F.array_sort(F.collect_list(face)).alias("faces"))
+    shown = F.struct(F.col("idx").alias("index"), "annotated_key", media_url(F.col("annotated_key")).alias("annotated_url"), F.coalesce("faces", F.array()).alias("faces"))
+    by_job = frames(spark, sf_dir).join(by_frame, ["job_id", "idx"], "left").groupBy("job_id").agg(F.array_sort(F.collect_list(shown)).alias("frames"), F.sum(F.size(F.coalesce("faces", F.array()))).alias("face_count"))
+    stats = F.struct("frames_processed", "frames_with_face", F.col("detections").alias("total_detections"))
+    made = F.struct("id", "display_name", "status", "created_ms", stats.alias("stats"), F.coalesce("face_count", F.lit(0)).alias("face_count"), F.size(F.coalesce("frames", F.array())).cast("long").alias("frame_count"), F.coalesce("frames", F.array()).alias("frames"))
+    return jobs(spark, sf_dir).join(by_job, F.col("id") == F.col("job_id"), "left").select("id", F.to_json(made, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def media_url(key):
+    """The address under which a key is shown: what follows the scheme, behind the media path; null for null."""
+    return F.concat(F.lit("/media/"), F.regexp_replace(key, "^[a-z0-9]+://", ""))
+
+
+_URL = lambda k: f"'/media/' || regexp_replace({k}, '^[a-z0-9]+://', '')"
+EXPORT_SQL = f"""WITH {JOBS_SQL}, f AS (SELECT job_id, idx, CAST(score AS DOUBLE) AS score, concat_ws('/', 's3://crops', job_id, idx) AS key FROM faces),
+bf AS (SELECT job_id, idx, list({{'score': CAST(trunc(score) AS BIGINT), 'key': key, 'url': {_URL("key")}}} ORDER BY trunc(score), key) AS faces FROM f GROUP BY job_id, idx),
+bj AS (SELECT job_id, list({{'index': fr.idx, 'annotated_key': annotated_key, 'annotated_url': {_URL("annotated_key")}, 'faces': coalesce(faces, [])}} ORDER BY fr.idx, annotated_key) AS frames, CAST(sum(coalesce(len(faces), 0)) AS BIGINT) AS face_count FROM frames fr LEFT JOIN bf USING (job_id, idx) GROUP BY job_id)
+SELECT id, CAST(to_json({{'id': id, 'display_name': display_name, 'status': status, 'created_ms': created_ms, 'stats': {{'frames_processed': frames_processed, 'frames_with_face': frames_with_face, 'total_detections': detections}}, 'face_count': coalesce(face_count, 0), 'frame_count': coalesce(len(bj.frames), 0), 'frames': coalesce(bj.frames, [])}}) AS VARCHAR) AS json FROM jobs LEFT JOIN bj ON job_id = id"""
+
+
+def store_rows(spark, sf_dir):
+    """What a store holds after jobs were put in, frames and faces added twice (the second time with other values), and every third customer's jobs deleted."""
+    from ..sources.store import Store
+    from .tables import new_path
+
+    every = jobs(spark, sf_dir)
+    rows = every.select(F.col("id").alias("job_id"), F.lit("video").alias("kind"), "display_name", "status", "created_ms", "frames_processed", "frames_with_face", F.col("detections").alias("total_detections"), "original_key", "algo")
+    shot = frames(spark, sf_dir).select("job_id", F.col("idx").cast("long").alias("idx"), (F.col("idx") * 33).cast("long").alias("timestamp_ms"), "annotated_key")
+    found = faces(spark, sf_dir).groupBy("job_id", "idx").agg(F.count("*").alias("n"), F.max("score").alias("score"))
+    found = found.select("job_id", F.col("idx").cast("long").alias("frame_idx"), F.lit(0).alias("face_idx"), F.lit("k").alias("key"), F.lit(1).alias("x"), F.lit(1).alias("y"), F.col("n").cast("int").alias("w"), F.lit(9).alias("h"), F.col("score").cast("float").alias("score"))
+    store = Store(spark, new_path(spark, "store"))
+    store.upsert_jobs(rows)
+    store.upsert_jobs(rows.where("status = 'running'").select("job_id", F.lit("done").alias("status")))
+    store.add_frames(shot, found)
+    store.add_frames(shot.withColumn("timestamp_ms", F.lit(-1).cast("long")), found.withColumn("h", F.lit(-1)))
+    store.delete_jobs(every.where("owner % 3 = 0").select(F.col("id").alias("job_id")))
+    per_frame = store.read("frames").groupBy("job_id").agg(F.count("*").alias("n_frames"), F.sum("timestamp_ms").alias("times"))
+    per_face = store.read("faces").groupBy("job_id").agg(F.sum("w").alias("n_faces"), F.max("h").alias("h"))
+    left = store.read("jobs").join(per_frame, "job_id", "full").join(per_face, "job_id", "full")
+    return left.select("job_id", "status", "total_detections", "algo", "n_frames", "times", "n_faces", "h")
+
+
+STORE_SQL = f"""WITH {JOBS_SQL}, j AS (SELECT * FROM jobs WHERE owner % 3 <> 0 OR owner IS NULL),
+f AS (SELECT job_id, count(*) AS n_frames, CAST(sum(idx * 33) AS BIGINT) AS times FROM frames GROUP BY job_id), c AS (SELECT job_id, count(*) AS n_faces FROM faces GROUP BY job_id)
+SELECT j.id AS job_id, CASE WHEN status = 'running' THEN 'done' ELSE status END AS status, detections AS total_detections, algo, n_frames, times, n_faces, CASE WHEN n_faces > 0 THEN 9 END AS h FROM j LEFT JOIN f ON f.job_id = j.id LEFT JOIN c ON c.job_id = j.id
+UNION ALL SELECT coalesce(f.job_id, c.job_id), NULL, NULL, NULL, n_frames, times, n_faces, CASE WHEN n_faces > 0 THEN 9 END FROM f FULL JOIN c ON c.job_id = f.job_id WHERE coalesce(f.job_id, c.job_id) NOT IN (SELECT id FROM jobs)"""
+
 QUERIES = {
+    "job_export": (job_export, EXPORT_SQL), "store_rows": (store_rows, STORE_SQL),
     "deleted_everywhere": (deleted_everywhere, EVERYWHERE_SQL), "tab_counts_in_range": (tab_counts_in_range, RANGE_TAB_SQL), "face_frames": (face_frames, FACE_FRAMES_SQL),
     "algo_stats": (algo_stats, ALGO_SQL), "metrics_totals": (metrics_totals, METRICS_SQL), "job_page": (job_page, PAGE_SQL), "tab_counts": (tab_counts, TAB_SQL), "dashboard_hours": (dashboard_hours, HOURS_SQL), "dashboard_algos": (dashboard_algos, ALGOS_SQL),
     "job_search": (job_search, SEARCH_SQL), "job_search_regex": (job_search_regex, REGEX_SQL), "job_detail": (job_detail, DETAIL_SQL), "upsert_latest": (upsert_latest, UPSERT_SQL), "insert_ignore": (insert_ignore, INSERT_SQL), "batch_delete": (batch_delete, DELETE_SQL),

@@ -64,6 +64,14 @@ CONTRAST_SQL = f"""WITH {PIXELS_SQL}, {_HIST}, e AS (SELECT frame, min(v) FILTER
 SELECT frame, x, y, CASE WHEN hi = lo THEN v ELSE CAST(floor((least(greatest(v,lo),hi)-lo)*255/(hi-lo)) AS INT) END AS v FROM pixels JOIN e USING (frame)"""
 
 
+def contrast_as_published(spark, sf_dir):
+    return p.stretch_as_published(pixels(spark, sf_dir))
+
+
+PUBLISHED_SQL = f"""WITH {PIXELS_SQL}, {_HIST}, e AS (SELECT frame, CASE WHEN any_value(total) // 100 = 0 THEN 0 ELSE min(v) FILTER (cdf >= total // 100) END AS lo, max(v) FILTER (total-cdf+n >= total - total // 100) AS hi FROM cdf GROUP BY frame)
+SELECT frame, x, y, CASE WHEN hi <= lo THEN v ELSE CAST(floor(greatest(0, least(255, CAST(CAST(v-lo AS FLOAT) / CAST(hi-lo AS FLOAT) * CAST(255 AS FLOAT) AS DOUBLE)))) AS INT) END AS v FROM pixels JOIN e USING (frame)"""
+
+
 def downscale_box(spark, sf_dir):
     return p.downscale(pixels(spark, sf_dir), 3, 8, 8)
 
@@ -226,6 +234,7 @@ ANCHOR_SQL = """SELECT vec_id, round(1/(1+exp(-CAST(embedding[5] AS DOUBLE))), 6
 round(exp(CAST(embedding[3] AS DOUBLE))*16, 4) AS bw, round(exp(CAST(embedding[4] AS DOUBLE))*16, 4) AS bh FROM embeddings WHERE round(1/(1+exp(-CAST(embedding[5] AS DOUBLE))), 6) >= 0.5"""
 
 QUERIES = {
+    "contrast_as_published": (contrast_as_published, PUBLISHED_SQL),
     "gray_formulas": (to_gray, GRAY_SQL), "pixel_stats": (pixel_stats, STATS_SQL), "hist_cdf": (hist_cdf, HIST_SQL), "equalize_hist": (equalize_hist, EQUALIZE_SQL), "normalize_contrast": (normalize_contrast, CONTRAST_SQL),
     "downscale_box": (downscale_box, DOWNSCALE_SQL), "resize_area": (resize_area, RESIZE_SQL), "integral_sum_sq": (integral_sum_sq, INTEGRAL_SQL), "diag_prefix": (diag_prefix, DIAGONAL_SQL), "rect_sum_corners": (rect_sum_corners, RECT_SQL),
     "variance_filter": (variance_filter, VARIANCE_SQL), "phash_bits": (phash_bits, PHASH_SQL), "dhash_bits": (dhash_bits, DHASH_SQL), "hamming_pairs": (hamming_pairs, HAMMING_SQL), "similar_components": (similar_components, COMPONENTS_SQL),
