@@ -100,7 +100,36 @@ c AS (SELECT user_id, run, count(*) AS n, min(ms) AS from_ms, max(ms) AS to_ms,
 n AS (SELECT *, lead(from_ms) OVER (PARTITION BY user_id ORDER BY run) AS next_ms FROM c)
 SELECT user_id, run, n, from_ms, to_ms, stands FROM n, m WHERE to_ms + {GAP_MS} <= mark OR next_ms < mark"""
 
+#: Hours of a slice of the replay, slices to a micro-batch (files), and how late a row may be.
+SLICE_HOURS, TOGETHER, REPLAY_LATE_H = 72, 2, 24
+
+
+def stream_replay(spark, sf_dir):
+    """Events that a client is still to be sent, each once: a user's first ``user_id % 20`` are seen already; every 10th event comes twice, every 49th some slices too late.
+
+    Spark holds rows against the watermark of the batch before the last one."""
+    rows = numbered(spark, sf_dir).select("user_id", "seq", "event_id", "ts", "ms")
+    first = rows.agg(F.min("ms").alias("first"), F.max("ms").alias("last"))
+    base = rows.join(F.broadcast(first)).withColumn("slice", F.expr(f"cast((ms - first) div {SLICE_HOURS * 3_600_000} as int)"))
+    last = int(base.agg(F.max("slice")).first()[0])
+    slices = F.least(F.col("slice") + F.when(F.col("event_id") % 49 == 0, 4).otherwise(0), F.lit(last))
+    came = base.withColumn("slice", slices).select("user_id", "seq", "event_id", "ts", "slice")
+    came = came.unionByName(came.where("event_id % 10 = 0"))
+    path = k.arriving_in(came, "slice", last + 1)
+    seen = rows.select("user_id").distinct().select("user_id", (F.col("user_id") % 20 - 1).alias("upto"))
+    live = k.stream_of(spark, path, came.drop("slice").schema, TOGETHER)
+    return s.run_to_table(k.replayed(live, seen, "user_id", f"{REPLAY_LATE_H} hours"), "append").select("user_id", "seq", "event_id")
+
+
+REPLAY_SQL = f"""WITH e AS (SELECT user_id, event_id, ts, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) - 1 AS seq FROM events),
+s AS (SELECT *, (ms - min(ms) OVER ()) // {SLICE_HOURS * 3_600_000} AS own FROM e), l AS (SELECT max(own) AS last FROM s),
+a AS (SELECT user_id, event_id, ts, seq, least(own + CASE WHEN event_id % 49 = 0 THEN 4 ELSE 0 END, last) // {TOGETHER} AS batch FROM s, l WHERE seq > user_id % 20 - 1),
+m AS (SELECT batch, max(ts) AS newest FROM a GROUP BY batch),
+w AS (SELECT a.*, (SELECT max(newest) FROM m WHERE m.batch < a.batch - 1) - INTERVAL {REPLAY_LATE_H} HOUR AS mark FROM a)
+SELECT user_id, seq, event_id FROM w WHERE mark IS NULL OR ts > mark"""
+
 QUERIES = {
+    "stream_replay": (stream_replay, REPLAY_SQL),
     "stream_counts": (stream_counts, COUNTS_SQL), "stream_job_state": (stream_job_state, STATE_SQL), "stream_watchdog": (stream_watchdog, WATCHDOG_SQL),
     "stream_in_order": (stream_in_order, ORDER_SQL), "stream_job_life": (stream_job_life, LIFE_SQL), "stream_clusters": (stream_clusters, CLUSTERS_SQL),
 }

@@ -78,19 +78,43 @@ def decode(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, PACKED)
 
 
+def jvm_images(spark: SparkSession, folder: str, pattern: str = "*.[jJ][pP]*[gG]") -> DataFrame:
+    """PACKED rows of the images of ``folder`` that Java reads (JPEG by default): one channel for gray ones, else three, red first.
+
+    Spark's reader gives blue first; transparency is dropped. A file that is no image gives a row with its problem.
+    """
+    found = spark.read.format("image").option("dropInvalid", False).option("pathGlobFilter", pattern).load(folder).select("image.*")
+    found = found.withColumn("origin", F.regexp_replace("origin", "^file:/+", "file:/"))  # as other readers name a local file
+
+    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples():
+                if r.width <= 0 or r.height <= 0:
+                    rows.append((r.origin, None, None, None, None, "not an image"))
+                    continue
+                image = np.frombuffer(r.data, dtype=np.uint8).reshape(r.height, r.width, r.nChannels)
+                image = image if r.nChannels == 1 else image[..., 2::-1]
+                rows.append((r.origin, r.width, r.height, image.shape[2], image.tobytes(), None))
+            yield pd.DataFrame(rows, columns=["path", "width", "height", "channels", "pixels", "problem"]).astype({"width": "Int32", "height": "Int32", "channels": "Int32"})
+
+    return found.mapInPandas(turn, PACKED)
+
+
 def sequence(spark: SparkSession, folder: str, fps: int = 30) -> DataFrame:
-    """The P5, P6 and PNG files of a folder in the order of their names, numbered from 0, with times.
+    """The P5, P6, PNG and JPEG files of a folder in the order of their names, numbered from 0, with times.
 
     Names alone are numbered: they are sorted by range, counted in each range, and numbered within it from what stands before.
     Files without a byte are not listed by Spark and give no row.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.p[gpn][mg]").load(folder)
-    names = materialise(files.select("path").repartitionByRange("path").select("path", F.spark_partition_id().alias("part")), "names")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "{*.p[gpn][mg],*.[jJ][pP]*[gG]}").load(folder)
+    names = materialise(listed.select("path").repartitionByRange("path").select("path", F.spark_partition_id().alias("part")), "names")
     counts = names.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     place = F.row_number().over(Window.partitionBy("part").orderBy("path"))
     order = names.withColumn("place", place).join(before, "part").select("path", (F.col("before") + F.col("place") - 1).cast("long").alias("frame"))
-    return decode(files).join(order, "path").withColumn("timestamp_ms", F.floor(F.col("frame") * 1000 / fps))
+    return decode(files).unionByName(jvm_images(spark, folder)).join(order, "path").withColumn("timestamp_ms", F.floor(F.col("frame") * 1000 / fps))
 
 
 def to_pgm(frames: DataFrame) -> DataFrame:

@@ -226,6 +226,36 @@ def arriving(rows: DataFrame, arrival: Column, slices: int) -> str:
     return path
 
 
+def arriving_in(rows: DataFrame, slice_col: str, slices: int) -> str:
+    """As :func:`arriving`, where a column says in which slice, from 0, a row comes."""
+    path = new_path(rows.sparkSession, "arriving")
+    held = materialise(rows.repartition(F.col(slice_col)), "slices")
+    for k in range(slices):
+        held.where(F.col(slice_col) == k).drop(slice_col).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def replayed(events: DataFrame, seen: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
+    """What a client that comes back is still to be sent: rows of ``events`` (``key``, ``seq``, ``ts``, others) behind the number that ``seen``
+    (``key``, ``upto``) holds, first the history, then what comes live, each once.
+
+    A key that ``seen`` lacks begins at the start. Repeats of (``key``, ``seq``) within the watermark, ``late`` behind the newest event, are
+    dropped, and so are rows later than it, as it stood one batch ago: :func:`late_rows` counts these, and ``observe`` counts all that came.
+    """
+    left = events.join(seen.select(key, "upto"), key, "left").where(F.col("upto").isNull() | (F.col("seq") > F.col("upto"))).drop("upto")
+    return left.withWatermark("ts", late).observe("came", F.count(F.lit(1)).alias("rows"), F.max("seq").alias("last_seq")).dropDuplicatesWithinWatermark([key, "seq"])
+
+
+def late_rows(query) -> int:
+    """Rows that a finished query dropped because they came after the watermark."""
+    return sum(int(o.numRowsDroppedByWatermark) for p in query.recentProgress for o in p.stateOperators)
+
+
+def came(query) -> int:
+    """Rows that :func:`replayed` was given, as observed batch by batch."""
+    return sum(int(p.observedMetrics["came"]["rows"]) for p in query.recentProgress if "came" in p.observedMetrics)
+
+
 def stream_of(spark: SparkSession, path: str, schema: StructType, files: int = 2) -> DataFrame:
     """The files of ``path`` as a stream, the oldest first, ``files`` to a micro-batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
