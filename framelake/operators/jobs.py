@@ -89,6 +89,32 @@ def admitted(jobs: DataFrame, limit: int, key: str) -> DataFrame:
     return jobs.where(F.col("status").isin(*ACTIVE)).withColumn("at", at).select(key, "id", "at", state.alias("state"))
 
 
+def retry_rule(kind: Column, original_input: Column) -> Column:
+    """``retry``, or why a job can't be run again: it has no input of its own, or it is an image, which is to be sent anew."""
+    return F.when(original_input.isNull(), "no original input").when(kind == "image", "image retry requires a new upload").otherwise("retry")
+
+
+def config_status(use_network: Column, weights: Column, weights_there: Column, cascade_there: Column) -> Column:
+    """``mode``, ``weights_status`` and ``cascade_status`` of a configuration: the network counts if it is switched on or has a weight file named."""
+    wanted = F.coalesce(use_network, F.lit(False)) | weights.isNotNull()
+    status = F.when(~wanted, "n/a").when(weights.isNull(), "template").when(weights_there, "available").otherwise("missing")
+    return F.struct(F.when(wanted, "cnn").otherwise("haar").alias("mode"), status.alias("weights_status"), F.when(cascade_there, "available").otherwise("missing").alias("cascade_status"))
+
+
+def batch_operation(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What a batch of requests (``id``, ``op``) makes of the jobs: their rows with ``archived`` and ``removed``, and ``exported``.
+
+    ``op`` is delete (also where it is null), archive or export; others change nothing. A job that is asked for more than once is dealt
+    with by all that was asked; a deleted one is cancelled first if it is active. Requests for ids that are not there count for nothing.
+    """
+    op = F.coalesce("op", F.lit("delete"))
+    asked = wanted.where("id is not null").groupBy("id").agg(*(F.max(op == name).alias(f"_{name}") for name in ("delete", "archive", "export")))
+    flag = lambda name: F.coalesce(f"_{name}", F.lit(False))
+    status = F.when(flag("delete") & F.col("status").isin(*ACTIVE), "cancelled").otherwise(F.col("status"))
+    out = jobs.join(asked, "id", "left").withColumn("status", status)
+    return out.select(*jobs.columns, flag("archive").alias("archived"), flag("delete").alias("removed"), flag("export").alias("exported"))
+
+
 def final_states(events: DataFrame, ends: dict[str, str]) -> DataFrame:
     """``job_id``, ``status``, ``at_ms``, ``last_ms`` of every job of ``events`` (``job_id``, ``ms``, ``seq``, ``type``).
 

@@ -9,10 +9,11 @@ from ..functions.text import percent_encoded
 from ..operators import faces as f
 from ..operators import sliding
 from ..sources import records as r
+from ..sources import sinks as s
 from .box_queries import BOXES_SQL, boxes
 from .job_queries import JOBS_SQL, jobs
 from .pixel_queries import PIXELS_SQL, RGB_SQL, pixels, rgb
-from .tables import materialise
+from .tables import materialise, new_path
 
 FACES_SQL = PIXELS_SQL.replace("pixels AS (", "pixels AS MATERIALIZED (") + """, faces AS MATERIALIZED (SELECT 2 * (frame // 4) + n AS frame, CAST(x + 8 * (frame % 2) AS INT) AS x, CAST(y + 8 * (frame // 2 % 2) AS INT) AS y,
 CAST(CASE WHEN n = 1 AND (x + y) % 7 = 0 THEN least(255, v + 3) ELSE v END AS INT) AS v FROM pixels, range(2) k(n))"""
@@ -140,6 +141,17 @@ MANIFEST_SQL = f"""WITH {BOXES_SQL}, d AS (SELECT frame, string_agg('{{"x": ' ||
 SELECT frame AS frame_index, '{{"frame_index": ' || frame || ', "timestamp_ms": ' || frame * 33 || ', "image": "f\\"' || frame || '\\\\.png", "width": 280, "height": 160, "detect_ms": ' || printf('%.3f', frame % 16 / 4.0) || ', "detections": [' || CASE WHEN frame % 10 = 0 THEN '' ELSE t END || ']}}' AS line FROM d"""
 
 
+def manifest_file(spark, sf_dir):
+    """The lines of the manifest that was written, by their place: parts in the order of their names."""
+    path = new_path(spark, "manifest")
+    found = records(spark, sf_dir)
+    s.write_manifest(found, path, F.max("timestamp_ms"))
+    lines = s.read_manifest(spark, path).select("file", F.posexplode(F.split(F.regexp_replace("text", "\n$", ""), "\n")).alias("no", "line"))
+    counts = lines.groupBy("file").agg(F.count("*").alias("n"))  # as many rows as files
+    before = counts.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return lines.join(F.broadcast(before), "file").select((F.col("before") + F.col("no")).cast("long").alias("place"), "line")
+
+
 def manifest_statistics(spark, sf_dir):
     return r.run_statistics(records(spark, sf_dir), F.max("timestamp_ms"))
 
@@ -148,6 +160,13 @@ STATISTICS_SQL = f"""WITH {BOXES_SQL}, d AS (SELECT frame, CASE WHEN frame % 10
 SELECT count(*) AS frames_processed, count(*) FILTER (n > 0) AS frames_with_face, CAST(sum(n) AS BIGINT) AS total_detections, max(frame * 33) AS elapsed_ms, round(count(*) * 1000.0 / max(frame * 33), 2)::DOUBLE AS fps, round(sum(frame % 16 / 4.0) / count(*), 3)::DOUBLE AS detect_ms_avg FROM d"""
 
 
+MANIFEST_FILE_SQL = f"""WITH l AS MATERIALIZED ({MANIFEST_SQL}), s AS ({STATISTICS_SQL}), f AS (SELECT 1 AS part, frame_index AS no, '    ' || line || CASE WHEN frame_index = (SELECT max(frame_index) FROM l) THEN '' ELSE ',' END AS line FROM l),
+h AS (SELECT unnest([{{'no': 0, 'line': '{{'}}, {{'no': 1, 'line': '  "version": "framelake-0.1",'}}, {{'no': 2, 'line': '  "stats": {{'}}, {{'no': 3, 'line': '    "frames_processed": ' || frames_processed || ','}}, {{'no': 4, 'line': '    "frames_with_face": ' || frames_with_face || ','}},
+{{'no': 5, 'line': '    "total_detections": ' || total_detections || ','}}, {{'no': 6, 'line': '    "elapsed_ms": ' || elapsed_ms || ','}}, {{'no': 7, 'line': '    "fps": ' || printf('%.2f', fps) || ','}}, {{'no': 8, 'line': '    "detect_ms_avg": ' || printf('%.3f', detect_ms_avg)}}, {{'no': 9, 'line': '  }},'}}, {{'no': 10, 'line': '  "frames": ['}}]) AS r FROM s),
+e AS (SELECT 0 AS part, r.no AS no, r.line AS line FROM h UNION ALL SELECT * FROM f UNION ALL SELECT 2, 0, '  ]' UNION ALL SELECT 2, 1, '}}')
+SELECT row_number() OVER (ORDER BY part, no) - 1 AS place, line FROM e"""
+
+
 def faces_csv(spark, sf_dir):
     """The lines of a job's face export; every seventh url has a comma and a quote."""
     url = F.concat(F.lit("/media/"), F.col("frame").cast("string"), F.when(F.col("frame") % 7 == 0, ',"a"').otherwise("/a"), F.col("rank").cast("string"))
@@ -249,6 +268,6 @@ SELECT frame, scale, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, x, y, x2 - x
 QUERIES = {
     "anchor_tiles": (anchor_tiles, ANCHOR_TILES_SQL), "anchor_detect": (anchor_detect, None),
     "long_hashes": (long_hashes, LONG_HASH_SQL), "face_clusters": (face_clusters, CLUSTERS_SQL), "top_faces": (top_faces, TOP_FACES_SQL), "hog_blocks": (hog_blocks, HOG_BLOCKS_SQL), "eye_pairs": (eye_pairs, EYES_SQL),
-    "face_grid": (face_grid, GRID_SQL), "manifest_records": (manifest_records, MANIFEST_SQL), "manifest_statistics": (manifest_statistics, STATISTICS_SQL), "faces_csv": (faces_csv, CSV_SQL), "score_filter": (score_filter, SCORE_SQL),
+    "face_grid": (face_grid, GRID_SQL), "manifest_records": (manifest_records, MANIFEST_SQL), "manifest_file": (manifest_file, MANIFEST_FILE_SQL), "manifest_statistics": (manifest_statistics, STATISTICS_SQL), "faces_csv": (faces_csv, CSV_SQL), "score_filter": (score_filter, SCORE_SQL),
     "union_results": (union_results, UNION_SQL), "algo_compare": (algo_compare, COMPARE_SQL), "gray_planes": (gray_planes, PLANES_SQL), "colour_planes": (colour_planes, COLOUR_SQL), "url_parts": (url_parts, URL_SQL),
 }

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..operators import compare, haar, networks, sliding
 from ..operators import pixels as p
-from ..sources import scans
+from ..sources import images, scans, sinks
 from .box_queries import BOXES_SQL, boxes
 from .haar_queries import tiled, tiled_sql
+from .tables import new_path
 from .pixel_queries import DOMINANCE_SQL, PIXELS_SQL, RGB_SQL, pixels, rgb
 
 
@@ -130,6 +131,25 @@ e AS (SELECT frame, x + i AS x, unnest([y, y + h]) AS y FROM b, range(20) r(i) W
 SELECT l0.frame AS frame, l0.x AS x, l0.y AS y, CASE WHEN e.x IS NULL THEN v ELSE 255 END AS r, CASE WHEN e.x IS NULL THEN v ELSE 64 END AS g, CASE WHEN e.x IS NULL THEN v ELSE 64 END AS b FROM l0 LEFT JOIN e ON e.frame = l0.frame AND e.x = l0.x AND e.y = l0.y"""
 
 
+def annotated_files(spark, sf_dir):
+    """The pixels of :func:`drawn_boxes` read back from PNG files: frames are packed, outlined, written, one file each, listed and decoded."""
+    vec = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label is not null")
+    boxes_ = vec.select(F.expr("vec_id div 64").alias("frame"), (F.col("vec_id") * 7 % 70).alias("x"), (F.col("vec_id") * 5 % 66).alias("y"), (F.col("label") + 6).alias("w"), (F.col("label") + 5).alias("h"))
+    packed = haar.pack(tiled(spark, sf_dir), 64, 64).select("frame", "width", "height", F.lit(1).alias("channels"), F.col("gray").alias("pixels"))
+    path = new_path(spark, "annotated")
+    sinks.write_files(sinks.annotated(packed, boxes_), path)
+    back = images.sequence(spark, path).select(F.regexp_extract("path", r"frame_(\d+)\.png$", 1).cast("long").alias("frame"), "width", "height", "pixels")
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                at = np.arange(r.width * r.height)
+                rgb_ = np.frombuffer(r.pixels, dtype=np.uint8).reshape(-1, 3).astype(np.int32)
+                yield pd.DataFrame({"frame": r.frame, "x": (at % r.width).astype(np.int32), "y": (at // r.width).astype(np.int32), "r": rgb_[:, 0], "g": rgb_[:, 1], "b": rgb_[:, 2]})
+
+    return back.mapInPandas(spread, "frame long, x int, y int, r int, g int, b int")
+
+
 def manifest_rows(spark, sf_dir):
     """A record for each frame, as the manifest's writer puts it: boxes in rank order, confidence to four places."""
     box = F.concat(F.lit("["), F.concat_ws(",", "x", "y", "w", "h", F.format_string("%.4f", F.col("score").cast("double"))), F.lit("]"))
@@ -168,5 +188,5 @@ CAP_SQL = f"WITH {BOXES_SQL}, n AS (SELECT c_nationkey AS job, frame, rank, CAST
 
 QUERIES = {
     "synthetic_scan": (synthetic_scan, SYNTHETIC_SQL), "resize_bilinear": (resize_bilinear, BILINEAR_SQL), "conv_layer": (conv_layer, CONV_SQL), "cnn_detect": (cnn_detect, None), "draw_outline": (draw_outline, OUTLINE_SQL),
-    "tilted_rect_sum": (tilted_rect_sum, TILTED_SQL), "diagonal_edges": (diagonal_edges, DIAGONAL_EDGE_SQL), "gradient_detect": (gradient_detect, None), "compare_detectors": (compare_detectors, None), "drawn_boxes": (drawn_boxes, DRAWN_SQL), "manifest_rows": (manifest_rows, MANIFEST_SQL), "skin_ratio": (skin_ratio, SKIN_SQL), "crop_cap": (crop_cap, CAP_SQL),
+    "tilted_rect_sum": (tilted_rect_sum, TILTED_SQL), "diagonal_edges": (diagonal_edges, DIAGONAL_EDGE_SQL), "gradient_detect": (gradient_detect, None), "compare_detectors": (compare_detectors, None), "drawn_boxes": (drawn_boxes, DRAWN_SQL), "annotated_files": (annotated_files, DRAWN_SQL), "manifest_rows": (manifest_rows, MANIFEST_SQL), "skin_ratio": (skin_ratio, SKIN_SQL), "crop_cap": (crop_cap, CAP_SQL),
 }

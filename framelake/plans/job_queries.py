@@ -266,7 +266,38 @@ f AS (SELECT job_id, count(*) AS n_frames, CAST(sum(idx * 33) AS BIGINT) AS time
 SELECT j.id AS job_id, CASE WHEN status = 'running' THEN 'done' ELSE status END AS status, detections AS total_detections, algo, n_frames, times, n_faces, CASE WHEN n_faces > 0 THEN 9 END AS h FROM j LEFT JOIN f ON f.job_id = j.id LEFT JOIN c ON c.job_id = j.id
 UNION ALL SELECT coalesce(f.job_id, c.job_id), NULL, NULL, NULL, n_frames, times, n_faces, CASE WHEN n_faces > 0 THEN 9 END FROM f FULL JOIN c ON c.job_id = f.job_id WHERE coalesce(f.job_id, c.job_id) NOT IN (SELECT id FROM jobs)"""
 
+def job_rules(spark, sf_dir):
+    """Whether each job can be run again; a kind by the id, every eighth without an input."""
+    kind = F.element_at(F.array(*map(F.lit, ("image", "video", "stream"))), (F.col("id") % 3 + 1).cast("int"))
+    return jobs(spark, sf_dir).select("id", kind.alias("kind"), j.retry_rule(kind, F.when(F.col("id") % 8 != 0, F.col("original_key"))).alias("rule"))
+
+
+RULES_SQL = f"WITH {JOBS_SQL}, k AS (SELECT id, ['image', 'video', 'stream'][id % 3 + 1] AS kind FROM jobs) SELECT id, kind, CASE WHEN id % 8 = 0 THEN 'no original input' WHEN kind = 'image' THEN 'image retry requires a new upload' ELSE 'retry' END AS rule FROM k"
+
+
+def batch_operations(spark, sf_dir):
+    """Jobs after a batch of requests: the lines of an order ask for it to be deleted, archived or exported, by their flag."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 40")
+    op = F.when(F.col("l_returnflag") == "A", "archive").when(F.col("l_returnflag") == "R", "export").when(F.col("l_linestatus") == "O", F.lit(None)).otherwise("other")
+    return j.batch_operation(jobs(spark, sf_dir).select("id", "status"), lines.select(F.col("l_orderkey").alias("id"), op.alias("op")))
+
+
+OPERATIONS_SQL = f"""WITH {JOBS_SQL}, w AS (SELECT l_orderkey AS id, bool_or(l_returnflag = 'N' AND l_linestatus = 'O') AS d, bool_or(l_returnflag = 'A') AS a, bool_or(l_returnflag = 'R') AS e FROM lineitem WHERE l_quantity > 40 GROUP BY 1)
+SELECT jobs.id AS id, CASE WHEN coalesce(d, false) AND status IN ('queued', 'running') THEN 'cancelled' ELSE status END AS status, coalesce(a, false) AS archived, coalesce(d, false) AS removed, coalesce(e, false) AS exported FROM jobs LEFT JOIN w USING (id)"""
+
+
+def config_status(spark, sf_dir):
+    """Mode and file states of a configuration for each part: size and brand say what is set and what is there."""
+    t = spark.read.parquet(f"{sf_dir}/part.parquet")
+    found = j.config_status(F.col("p_size") % 2 == 0, F.when(F.col("p_size") % 3 == 0, F.col("p_brand")), F.col("p_size") % 4 < 2, F.col("p_size") % 5 > 0)
+    return t.select("p_partkey", found.alias("c")).select("p_partkey", "c.*")
+
+
+CONFIG_SQL = """SELECT p_partkey, CASE WHEN p_size % 2 = 0 OR p_size % 3 = 0 THEN 'cnn' ELSE 'haar' END AS mode, CASE WHEN p_size % 2 <> 0 AND p_size % 3 <> 0 THEN 'n/a' WHEN p_size % 3 <> 0 THEN 'template' WHEN p_size % 4 < 2 THEN 'available' ELSE 'missing' END AS weights_status,
+CASE WHEN p_size % 5 > 0 THEN 'available' ELSE 'missing' END AS cascade_status FROM part"""
+
 QUERIES = {
+    "job_rules": (job_rules, RULES_SQL), "batch_operations": (batch_operations, OPERATIONS_SQL), "config_status": (config_status, CONFIG_SQL),
     "job_export": (job_export, EXPORT_SQL), "store_rows": (store_rows, STORE_SQL),
     "deleted_everywhere": (deleted_everywhere, EVERYWHERE_SQL), "tab_counts_in_range": (tab_counts_in_range, RANGE_TAB_SQL), "face_frames": (face_frames, FACE_FRAMES_SQL),
     "algo_stats": (algo_stats, ALGO_SQL), "metrics_totals": (metrics_totals, METRICS_SQL), "job_page": (job_page, PAGE_SQL), "tab_counts": (tab_counts, TAB_SQL), "dashboard_hours": (dashboard_hours, HOURS_SQL), "dashboard_algos": (dashboard_algos, ALGOS_SQL),
