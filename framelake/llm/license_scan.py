@@ -42,6 +42,21 @@ NOTICES = (
     Notice("licensed under cc by", "cc-by", 2),
     Notice("creative commons attribution", "cc-by", 3),
     Notice("released into the public domain", "public-domain", 3),
+    Notice("dedicated to the public domain", "public-domain", 3),
+    Notice("lesser general public license", "lgpl", 3),
+    Notice("affero general public license", "agpl", 3),
+    Notice("eclipse public license", "epl", 2),
+    Notice("common development and distribution license", "cddl", 4),
+    Notice("boost software license", "bsl", 2),
+    Notice("permission to use copy modify and or distribute this software", "isc", 5),
+    Notice("server side public license", "sspl", 2),
+    Notice("sil open font license", "ofl", 2),
+    Notice("creative commons zero", "cc0", 2),
+    Notice("attribution sharealike", "cc-by-sa", 2),
+    Notice("attribution noncommercial", "cc-by-nc", 2),
+    Notice("no part of this publication may be reproduced", "reserved", 4),
+    Notice("unauthorized copying of this file", "proprietary", 3),
+    Notice("proprietary and confidential", "proprietary", 3),
 )
 
 SCHEMA_TAIL = (
