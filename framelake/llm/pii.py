@@ -28,7 +28,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 KINDS = tuple(PATTERNS)
 #: Kind of the seeds that the method adds, what such a token consists of, and the kinds of patterns.
-SECRET, SECRET_FORM = "secret", r"^(?=.{0,40}[0-9])(?=.{0,40}[A-Fa-f])[0-9A-Fa-f]{32,}$"
+SECRET, SECRET_FORM = "secret", r"^(?=[A-Fa-f]*+[0-9])(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{32,}$"
 SEEDS = (*KINDS, SECRET)
 #: Spans found by patterns of a base kind carry its name with this ending.
 LIKE = "_like"
