@@ -40,7 +40,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("byte-level BPE", encode)]
 
-#: Alignment, subset sums and BPE have no SQL; tests compare run() with a brute-force version.
+#: Alignment, subset sums and BPE have no SQL; a test compares run() with plain versions of the stages, mixing aside, which has a brute-force test of its own.
 ORACLE_SQL = None
 
 
