@@ -123,6 +123,13 @@ def to_pgm(frames: DataFrame) -> DataFrame:
     return frames.select("frame", F.concat(header, F.col("gray")).alias("content"))
 
 
+def to_ppm(frames: DataFrame) -> DataFrame:
+    """``frame`` and ``content``: packed frames (``frame``, ``width``, ``height``, ``channels``, ``pixels``) as P6 files, those of one channel as P5."""
+    size = F.concat_ws(" ", F.col("width").cast("string"), F.col("height").cast("string"))
+    header = F.encode(F.concat(F.when(F.col("channels") == 3, "P6\n").otherwise("P5\n"), size, F.lit("\n255\n")), "US-ASCII")
+    return frames.select("frame", F.concat(header, F.col("pixels")).alias("content"))
+
+
 def to_png(frames: DataFrame) -> DataFrame:
     """``frame`` and ``content``: packed gray frames as PNG files."""
 

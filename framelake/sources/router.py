@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import images
 from .scans import frames_of
+from .web import web_images
 
 #: Fixed endings of video files.
 VIDEO = (".mp4", ".mov", ".avi", ".mkv", ".webm")
@@ -29,7 +30,8 @@ def source_kind(address: Column) -> Column:
 def open_source(spark: SparkSession, address: str, fps: int = 30) -> DataFrame:
     """The frames of an address: generated ones as pixels, as many as it says, image sequences of any folder that Spark reads as packed frames.
 
-    Videos and web addresses have no reader in Spark and are refused with a reason.
+    A web address of one image is fetched; one with a place like ``{:05d}`` is for :func:`framelake.sources.web.web_sequence`, which is told how many
+    there are. Videos have no reader in Spark and are refused with a reason, as are streams.
     """
     web = address.startswith(("http://", "https://"))
     kind = spark.range(1).select(source_kind(F.lit(address))).first()[0]
@@ -37,4 +39,6 @@ def open_source(spark: SparkSession, address: str, fps: int = 30) -> DataFrame:
         return images.synthetic(spark, frames_of(address))
     if kind == "sequence" and not web:
         return images.sequence(spark, address, fps)
+    if kind == "image":
+        return web_images(spark.createDataFrame([(address,)], "address string")).select(F.lit(0).cast("long").alias("frame"), F.lit(0).cast("long").alias("timestamp_ms"), "*")
     raise NotImplementedError(f"{kind} at {'a web address' if web else 'a stream or video file'}: fetch it as an image sequence first")
