@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from ..functions.text import percent_encoded
 from ..operators import faces as f
 from ..operators import sliding
@@ -265,7 +266,47 @@ b AS (SELECT *, anchor * exp(o2 * stride) AS bw, anchor * exp(o3 * stride) AS bh
 d AS (SELECT frame, scale, tx, ty, CAST(floor(bx) AS INT) AS x, CAST(floor(byy) AS INT) AS y, CAST(floor(bx + greatest(bw, 1)) AS INT) AS x2, CAST(floor(byy + greatest(bh, 1)) AS INT) AS y2, 1 / (1 + exp(-o4)) AS score FROM c)
 SELECT frame, scale, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty, x, y, x2 - x AS w, y2 - y AS h, round(score, 8) AS score FROM d WHERE score >= 0.49 AND x2 <= 16 AND y2 <= 16 AND x2 > x AND y2 > y"""
 
+def url_checksums(spark, sf_dir):
+    """The Adler checksum of every page's address."""
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", bits.adler32(F.encode("url", "UTF-8")).alias("adler"))
+
+
+CHECKSUM_SQL = """WITH h AS (SELECT page_id, hex(encode(url)) AS h FROM pages), b AS (SELECT page_id, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS bs FROM h),
+s AS (SELECT page_id, (1 + coalesce(list_sum(bs), 0)) % 65521 AS low, (len(bs) + coalesce(list_sum(list_transform(bs, lambda v, i: v * (len(bs) - i + 1))), 0)) % 65521 AS high FROM b) SELECT page_id, CAST(high * 65536 + low AS BIGINT) AS adler FROM s"""
+
+
+def noise_frames(spark, sf_dir):
+    """Frames of 8 by 8 pixels of generated noise, the vector's id and label for a seed."""
+    vec = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("frame"), F.posexplode(bits.noise(F.col("vec_id") * 10 + F.coalesce("label", F.lit(0)), 64)).alias("i", "v"))
+    return vec.select("frame", (F.col("i") % 8).alias("x"), F.expr("cast(i div 8 as int)").alias("y"), "v")
+
+
+NOISE_SQL = """WITH RECURSIVE g(frame, i, s) AS (SELECT vec_id, -1, vec_id * 10 + coalesce(label, 0) FROM embeddings UNION ALL SELECT frame, i + 1, (s * 1664525 + 1013904223) % 4294967296 FROM g WHERE i < 63)
+SELECT frame, CAST(i % 8 AS INT) AS x, CAST(i // 8 AS INT) AS y, CAST(s >> 24 AS INT) AS v FROM g WHERE i >= 0"""
+
+
+def request_times(spark, sf_dir):
+    """The time of every event as signed requests have it."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", bits.request_time(F.col("ts").cast("timestamp")).alias("stamp"))
+
+
+REQUEST_SQL = "SELECT event_id, strftime(ts, '%Y%m%dT%H%M%SZ') AS stamp FROM events"
+
+
+def jsonl_records(spark, sf_dir):
+    """Records written as JSON lines and read back: their boxes and scores counted."""
+    path = new_path(spark, "jsonl")
+    r.write_jsonl(records(spark, sf_dir), path)
+    back = r.scan_jsonl(spark, path).where("_corrupt_record is null")
+    total = lambda c: F.aggregate("detections", F.lit(0).cast("long"), lambda a, d: a + d[c]).alias(f"sum_{c}")
+    return back.select("frame_index", "timestamp_ms", "image_file", "detect_ms", F.size("detections").alias("n"), total("x"), total("w"))
+
+
+JSONL_SQL = f"""WITH {BOXES_SQL} SELECT frame AS frame_index, frame * 33 AS timestamp_ms, 'f"' || frame || '\\.png' AS image_file, frame % 16 / 4.0::DOUBLE AS detect_ms, CAST(CASE WHEN frame % 10 = 0 THEN 0 ELSE count(*) END AS INT) AS n,
+CAST(CASE WHEN frame % 10 = 0 THEN 0 ELSE sum(x) END AS BIGINT) AS sum_x, CAST(CASE WHEN frame % 10 = 0 THEN 0 ELSE sum(w) END AS BIGINT) AS sum_w FROM boxes GROUP BY frame"""
+
 QUERIES = {
+    "url_checksums": (url_checksums, CHECKSUM_SQL), "noise_frames": (noise_frames, NOISE_SQL), "request_times": (request_times, REQUEST_SQL), "jsonl_records": (jsonl_records, JSONL_SQL),
     "anchor_tiles": (anchor_tiles, ANCHOR_TILES_SQL), "anchor_detect": (anchor_detect, None),
     "long_hashes": (long_hashes, LONG_HASH_SQL), "face_clusters": (face_clusters, CLUSTERS_SQL), "top_faces": (top_faces, TOP_FACES_SQL), "hog_blocks": (hog_blocks, HOG_BLOCKS_SQL), "eye_pairs": (eye_pairs, EYES_SQL),
     "face_grid": (face_grid, GRID_SQL), "manifest_records": (manifest_records, MANIFEST_SQL), "manifest_file": (manifest_file, MANIFEST_FILE_SQL), "manifest_statistics": (manifest_statistics, STATISTICS_SQL), "faces_csv": (faces_csv, CSV_SQL), "score_filter": (score_filter, SCORE_SQL),

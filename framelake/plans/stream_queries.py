@@ -10,15 +10,26 @@ from ..streaming import keyed_state as k
 from .event_queries import DISTANCE, GAP_MS
 
 
+#: Micro-batches' worth of files, and by how much a row may come after its time.
+SLICES, DELAY = 8, 3_000_000
+
+
+def shuffled_stream(spark, sf_dir):
+    """``events`` as a stream of several micro-batches whose rows come in no order."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return k.stream_of(spark, k.arriving(rows, F.xxhash64("event_id"), SLICES), rows.schema)
+
+
 def stream_counts(spark, sf_dir):
-    return s.last_update(s.run_to_table(s.counters(s.event_stream(spark, sf_dir)), "update"), "user_id")
+    """Counters by job, carried on from micro-batch to micro-batch."""
+    return s.last_update(s.run_to_table(s.counters(shuffled_stream(spark, sf_dir)), "update"), "user_id")
 
 
 COUNTS_SQL = "SELECT user_id, count(*) AS processed, count(*) FILTER (event_type = 'purchase') AS with_face, count(*) FILTER (value > 0) AS boxes FROM events GROUP BY user_id"
 
 
 def stream_job_state(spark, sf_dir):
-    return s.last_update(s.run_to_table(s.job_states(s.event_stream(spark, sf_dir)), "update"), "user_id")
+    return s.last_update(s.run_to_table(s.job_states(shuffled_stream(spark, sf_dir)), "update"), "user_id")
 
 
 STATE_SQL = "SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'done' ELSE 'running' END AS status, count(*) AS seen FROM events GROUP BY user_id"
@@ -35,10 +46,6 @@ def stream_watchdog(spark, sf_dir):
 WATCHDOG_SQL = f"""WITH j AS (SELECT user_id, bool_or(event_id % 300 = 0) AS done, max(epoch_ms(ts)) AS last, count(*) AS seen FROM events GROUP BY user_id), n AS (SELECT max(epoch_ms(ts)) - {LATE} AS mark FROM events)
 SELECT user_id, CASE WHEN done THEN 'done' WHEN last + {SILENT} < mark THEN 'stalled' ELSE 'running' END AS status, seen FROM j, n"""
 
-#: Micro-batches' worth of files, and by how much a row may come after its time.
-SLICES, DELAY = 8, 3_000_000
-
-
 def numbered(spark, sf_dir):
     """``events`` with ``ms`` and ``seq``, the place within the user, from 0."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
