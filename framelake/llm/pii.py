@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import small_enough
-from .common import hint, let, materialise, text_or_empty
+from ..plans.tables import BROADCAST_BYTES, hint_measured, text_bytes
+from .common import let, materialise, text_or_empty
 
 #: Kinds in their order. Possessive forms and \\G keep matching linear; they find what the plain patterns find.
 PATTERNS = {
@@ -155,7 +155,7 @@ def anchors(words: DataFrame, texts: DataFrame, text_col: str, least: float = AN
     The words of all texts are counted, within tasks first; while ``words`` are few enough to be broadcast, only these.
     """
     every = texts.select(F.explode(F.split(F.lower(text_or_empty(text_col)), r"\s+")).alias("word"))
-    if small_enough(words, 48):
+    if text_bytes(words, "word") <= BROADCAST_BYTES:
         every = every.join(F.broadcast(words.select("word")), "word", "left_semi")
     places_ = every.groupBy("word").agg(F.count("*").alias("places"))
     return words.join(places_, "word").where(F.col("beside") >= least * F.col("places")).select("word")
@@ -231,7 +231,7 @@ def pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: fl
     rows = scanned(df, id_col, text_col)
     occurrences = rows.select("rid", F.explode("tokens").alias("t")).select("rid", "t.*")
     trusted = materialise(trusted_patterns(occurrences, df, text_col, least), "trusted").select(F.col("kind").alias("as"), "context", "score")
-    unknown = occurrences.where(F.col("kind").isNull()).select("rid", "start", "end", F.explode("contexts").alias("context")).join(hint(trusted, 160), "context")
+    unknown = occurrences.where(F.col("kind").isNull()).select("rid", "start", "end", F.explode("contexts").alias("context")).join(hint_measured(trusted, "context"), "context")
     name = F.when(F.col("best.as") == SECRET, F.lit(SECRET)).otherwise(F.concat(F.col("best.as"), F.lit(LIKE)))
     marked = unknown.groupBy("rid", "start", "end").agg(F.max(F.struct("score", "as")).alias("best")).select("rid", "start", "end", name.alias("kind"))
     marked = marked.union(occurrences.where(F.col("kind") == SECRET).select("rid", "start", "end", "kind"))
