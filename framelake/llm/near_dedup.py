@@ -2,8 +2,8 @@
 
 A sketch keeps the few smallest of a text's two-word runs (of a short text's words), each labelled with how often it has
 stood before, in the order of the text; equal sketches therefore point to texts that are close in edit distance, not only in vocabulary. Texts
-with an equal sketch meet in a bucket; each is aligned with hubs of its buckets, their most central texts. Links make components,
-components classes.
+with an equal sketch meet in a bucket; each is aligned with hubs of its buckets, their most central texts, then with all others
+of its buckets that it is not connected with. Links make components, components classes.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ RUN, ORDERED, SKETCHES, SIMILARITY = 2, 3, 48, 0.8
 #: Texts of so many words at most have sketches of single words. Those of SIMILARITY of the next length or more have sketches
 #: of runs, so that two texts of similar lengths have one kind in common.
 SHORT = 24
-#: Members of a bucket that all its members are compared with.
+#: Members of a bucket that all its members are compared with first.
 HUBS = 12
-#: Neighbours that a member of a larger bucket is compared with, in each of the bucket's orders by the next sketches.
+#: Neighbours that a member of a larger bucket is compared with next, in each of the bucket's orders by the next sketches.
 BESIDE = 4
+#: Members of a block of a larger bucket, and its words, about.
+BLOCK, BLOCK_WORDS = 256, 1 << 16
 #: Hash values that are ranked at once.
 AT_ONCE = 2_000_000
 #: Bins of a text's words by hash; what two texts' bins differ by bounds their edits from below.
@@ -236,15 +238,77 @@ def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = rows.iloc[-BESIDE:]
 
 
+def links_between(blocks: pd.DataFrame) -> pd.DataFrame:
+    """Of two blocks of a bucket, pairs that are similar and join their components, which may hold others of the blocks by then.
+
+    Lengths, then bins rule out most pairs before they are aligned. A pair with several buckets in common is left to the first.
+    """
+    left, right = blocks[blocks["left"]], blocks[~blocks["left"]]
+    if left.empty or right.empty:
+        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+    bucket, bins = blocks["bucket"].iloc[0], np.stack(right["bins"].to_numpy())
+    n, rid, part, rest = (right[c].to_numpy() for c in ("n", "rid", "rid_part", "rest"))
+    texts, met = right["text"].to_numpy(), [frozenset(x.tolist()) for x in right["buckets"]]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in root:
+            x = root[x]
+        return x
+
+    out = []
+    for own in left.itertuples():
+        longer = np.maximum(n, own.n)
+        most = np.floor((1 - SIMILARITY) * longer + 1e-9)
+        at = np.flatnonzero((longer - np.minimum(n, own.n) <= most) & (part != own.rid_part) & (~rest | (rid > own.rid)))
+        at = at[longer[at] - np.minimum(bins[at], own.bins).sum(axis=1) <= most[at]]
+        words = words_of(own.text) if len(at) else []
+        for i in at.tolist():
+            x, y = find(own.rid_part), find(int(part[i]))
+            if x != y and min(met[i].intersection(own.buckets.tolist())) == bucket and similar(words, words_of(texts[i])):
+                root[x] = y
+                out.append((own.rid, int(rid[i])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def apart(crowd: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a`` and ``b``: similar texts of a bucket of ``crowd`` (``bucket``, ``rid``, ``rid_part``, written), enough of them to
+    join all components that a bucket's similar texts lie in.
+
+    Members outside a bucket's largest component meet all of its members, so the work is in proportion to the pairs that are
+    still apart. Both sides are dealt by a hash into blocks of about BLOCK members and BLOCK_WORDS words at most, and two blocks
+    are a group of their own: a large bucket is spread over many tasks, and pairs are made and aligned there, not as rows.
+    """
+    counts = crowd.join(nodes.select("rid", "n"), "rid").groupBy("bucket", "rid_part").agg(F.count("*").alias("members"), F.sum("n").alias("words"))
+    most = F.max(F.struct("members", "rid_part", "words")).alias("most")
+    most = counts.groupBy("bucket").agg(most, F.sum("members").alias("members"), F.sum("words").alias("words")).where("members > most.members")
+    blocks = lambda members, words: F.ceil(F.greatest(members / BLOCK, words / BLOCK_WORDS))
+    lefts = blocks(F.col("members") - F.col("most.members"), F.col("words") - F.col("most.words")).alias("lefts")
+    most = materialise(most.select("bucket", F.col("most.rid_part").alias("most_part"), lefts, blocks(F.col("members"), F.col("words")).alias("rights")), "mixed")
+    mixed = crowd.join(hint(most, 40), "bucket").withColumn("rest", F.col("rid_part") != F.col("most_part"))
+    mixed = materialise(mixed.select("bucket", "rid", "rid_part", "rest", "lefts", "rights"), "apart")
+    needed = materialise(mixed.groupBy("rid").agg(F.collect_set("bucket").alias("buckets")), "needed")
+    of = needed.join(nodes.select("rid", "n", "bins"), "rid").join(texts, "rid")
+    block = lambda of: F.pmod(F.xxhash64("rid"), of)
+    every = lambda of, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(of) - 1), f)
+    pair = lambda left, i, j: F.struct(F.lit(left).alias("left"), i.alias("i"), j.alias("j"))
+    as_right = every("lefts", lambda i: pair(False, i, block(F.col("rights"))))
+    as_left = F.when(F.col("rest"), every("rights", lambda j: pair(True, block(F.col("lefts")), j)))
+    dealt = mixed.join(of, "rid").select("bucket", "rid", "rid_part", "rest", "n", "bins", "buckets", "text", F.inline(F.concat(as_right, F.coalesce(as_left, F.array()))))
+    links = materialise(dealt.groupBy("bucket", "i", "j").applyInPandas(links_between, "a long, b long"), "links")
+    discard(most, mixed, needed)
+    return links
+
+
 def linked(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """``node`` and ``component`` of the texts of ``nodes`` (``rid``, ``n``, ``sketch``, ``bins``) that are similar to another.
 
     A text meets the HUBS most central members of each of its buckets, those whose own buckets hold the most texts, so
-    buckets of up to HUBS + 1 texts are compared whole, and the work is in proportion to the texts and their sketches, however large
-    a bucket is. Hubs of all buckets of a text are gathered first and ranked by the sketches in common: each text is aligned with its
+    buckets of up to HUBS + 1 texts are compared whole. Hubs of all buckets of a text are gathered first and ranked by the sketches in common: each text is aligned with its
     best hub, then with those of its other hubs that it is not connected with. Members of a larger bucket are then put in
     the order of their next two sketches, so that those most alike stand together, and compared with the BESIDE next ones if they are still apart.
-    A bucket's order is cut by range, like any sort; rows that two tasks part are neighbours in other buckets.
+    A bucket's order is cut by range, like any sort. At last every pair of a larger bucket that is still apart is compared (:func:`apart`):
+    hubs and neighbours only leave fewer of them, so no link between texts with an equal sketch is lost.
     """
     spread_out = nodes.select("rid", "n", F.explode("sketch").alias("bucket"))
     sizes = materialise(spread_out.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
@@ -270,11 +334,14 @@ def linked(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     large = sizes.where(F.col("members") > HUBS + 1).select("bucket")
     next_to = lambda i, k: F.get("sketch", (i + k) % SKETCHES + SKETCHES * F.floor(i / SKETCHES).cast("int")).alias(f"next{k}")
     each = F.transform(F.sequence(F.lit(0), F.size("sketch") - 1), lambda i: F.struct(F.get("sketch", i).alias("bucket"), next_to(i, 1), next_to(i, 2)))
-    crowd = placed(nodes.select("rid", "n", F.inline(each)).join(hint(materialise(large, "large"), 16), "bucket", "left_semi"), parts, "rid")
-    in_order = crowd.repartitionByRange("bucket", "next1", "next2", "rid").sortWithinPartitions("bucket", "next1", "next2", "rid")
+    crowd = materialise(nodes.select("rid", "n", F.inline(each)).join(hint(materialise(large, "large"), 16), "bucket", "left_semi"), "crowd")
+    in_order = placed(crowd, parts, "rid").repartitionByRange("bucket", "next1", "next2", "rid").sortWithinPartitions("bucket", "next1", "next2", "rid")
     more = aligned(ordered(in_order.select("bucket", "rid", "rid_part", "n").mapInPandas(neighbours, "rid long, hub long")), nodes, texts)
-    last = materialise(connected_components(links.union(more)), "components")
-    discard(sizes, parts, links, more)
+    joined = materialise(connected_components(links.union(more)), "components")
+    rest = materialise(placed(crowd.select("bucket", "rid"), joined, "rid"), "crowd")
+    others = apart(rest, nodes, texts)
+    last = materialise(connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(others)), "components")
+    discard(sizes, parts, links, more, crowd, joined, rest, others)
     return last
 
 

@@ -86,3 +86,20 @@ def test_columns_with_odd_names(spark):
     for made in (exact_dedup.exact_dedup(docs), near_dedup.near_dedup(docs), mixing.mixed(docs), quality.quality_filter(docs, labels)):
         assert made.columns == docs.columns and made.collect() is not None
     assert {r["a.b"] for r in exact_dedup.exact_dedup(docs).collect()} == {"x", None}
+
+
+def test_a_large_bucket_loses_no_link(spark, monkeypatch):
+    """40 pairs of similar texts and 20 other texts meet in one bucket only, and stand apart in its order."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    rng = random.Random(6)
+    texts = [[f"w{rng.randrange(9000)}" for _ in range(30)] for _ in range(60)]
+    texts += [[*t[:k], f"x{k}", *t[k + 1 :]] for k, t in zip(range(30), texts, strict=False)] + [t[1:] for t in texts[30:40]]
+    rows = []
+    for rid, words in enumerate(texts):
+        bins = [0] * near_dedup.BINS
+        for w in words:
+            bins[sum(w.encode()) * 37 % near_dedup.BINS] += 1
+        rows.append((rid, len(words), bins, [5, *(rng.getrandbits(62) for _ in range(near_dedup.SKETCHES - 1))], " ".join(words)))
+    df = spark.createDataFrame(rows, "rid long, n long, bins array<int>, sketch array<long>, text string")
+    got = {r.node: r.component for r in near_dedup.linked(df.select("rid", "n", "bins", "sketch"), df.select("rid", "text")).collect()}
+    assert got == {end: i for i in range(40) for end in (i, 60 + i)}
