@@ -48,7 +48,6 @@ ASIDE_WORDS = frozenset(
 MAIN = frozenset(("article", "main"))
 #: Elements whose class name counts by itself outside an article.
 HOLDERS = frozenset("div section ul ol table details".split())
-SPACES = re.compile(r"[\s]+")
 
 
 class Part(NamedTuple):
@@ -122,7 +121,7 @@ def parsed(page: str) -> Page:
     def text(a: int, b: int) -> None:
         if a < b:
             run = page[a:b]
-            token = token_of(now.path, SPACES.sub(" ", run).strip()) if run.strip() else 0
+            token = token_of(now.path, " ".join(run.split())) if run.strip() else 0
             out.append(Part(token, block, now.element, now.main, now.aside, now.hinted, now.link, run))
 
     def tag(token: int, text: str | None = None) -> None:
@@ -249,7 +248,7 @@ def blocks_of(page: Page, template: Template) -> str:
 
     slots = [x for x in blocks if not fixed(x)] if template.tokens else blocks
     out = ["".join(y.text for y in x) for x in slots or blocks]  # else a host that repeats a whole page
-    paragraphs = (SPACES.sub(" ", html.unescape(x)).strip() for x in out)
+    paragraphs = (" ".join(html.unescape(x).split()) for x in out)
     return "\n\n".join(p for p in paragraphs if p)
 
 

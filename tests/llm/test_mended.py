@@ -103,3 +103,8 @@ def test_a_large_bucket_loses_no_link(spark, monkeypatch):
     df = spark.createDataFrame(rows, "rid long, n long, bins array<int>, sketch array<long>, text string")
     got = {r.node: r.component for r in near_dedup.linked(df.select("rid", "n", "bins", "sketch"), df.select("rid", "text")).collect()}
     assert got == {end: i for i in range(40) for end in (i, 60 + i)}
+
+
+def test_every_white_space_is_one_space():
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    assert html_extract.blocks_of(html_extract.parsed("<p>" + "".join(f"a{s} {s}" for s in spaces) + "</p>"), html_extract.NONE) == " ".join("a" * len(spaces))
