@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,32 +101,43 @@ class WordTokenizer:
                 for p, x, y in zip(group, [0, *ends], ends, strict=False):
                     self.known[p] = ids[x:y]
 
+    def plain_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts of plain characters only, without capitals: each run without white space is cut and looked up once."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        runs = lists.flatten().dictionary_encode()
+        cuts = [[r] if r.isalpha() else self.cut.findall(r) for r in runs.dictionary.to_pylist()]
+        self.learn(list({p for x in cuts for p in x} - self.known.keys()))
+        get = self.known.__getitem__
+        found = [get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for x in cuts]
+        ids, sizes, at = np.frombuffer(b"".join(found), dtype=np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4, runs.indices.to_numpy()
+        n = sizes[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        out = ids[np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[lists.offsets.to_numpy()].tolist()
+        return [out[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.piecewise:
             return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        plain, other, pieces = [], [], []
-        for text in texts:
+        if len(self.known) > KEEP:
+            self.known = {}
+        plain, other = {}, {}
+        for i, text in enumerate(texts):
             if any(s in text for s in self.special):
-                pieces.append([text])
-                other.append(pieces[-1])
+                other[i] = [text]
             elif self.plain.fullmatch(text):
-                pieces.append(self.cut.findall(text.lower()))
-                plain.append(pieces[-1])
+                plain[i] = text.lower()
             else:
-                pieces.append(self.runs.findall(text))
-                other.append(pieces[-1])
-        if len(self.known) > KEEP:
-            self.known = {}
-        self.learn(list(set().union(*plain) - self.known.keys()))
-        rest = list(set().union(*other) - self.known.keys())
+                other[i] = self.runs.findall(text)
+        out = dict(zip(plain, self.plain_ids(list(plain.values())), strict=True))
+        rest = list(set().union(*other.values()) - self.known.keys())
         for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[p] = np.array(e.ids, dtype=np.uint32).tobytes()
-        get = self.known.__getitem__
-        out = [np.frombuffer(b"".join(map(get, x)), dtype=np.uint32) for x in pieces]
+        out |= {i: np.frombuffer(b"".join(map(self.known.__getitem__, x)), dtype=np.uint32) for i, x in other.items()}
         for p in rest:
             if len(p) > 1000:
                 del self.known[p]
-        return out
+        return [out[i] for i in range(len(texts))]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from framelake.llm import exact_dedup, html_extract, license_scan, mixing, near_dedup, quality
+from framelake.llm import exact_dedup, html_extract, license_scan, mixing, near_dedup, packing, quality
 
 
 def edits(x, y):
@@ -108,3 +108,16 @@ def test_a_large_bucket_loses_no_link(spark, monkeypatch):
 def test_every_white_space_is_one_space():
     spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
     assert html_extract.blocks_of(html_extract.parsed("<p>" + "".join(f"a{s} {s}" for s in spaces) + "</p>"), html_extract.NONE) == " ".join("a" * len(spaces))
+
+
+def test_each_run_of_a_batch_is_cut_once():
+    import public_tokenizers
+
+    own, calls = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json")), []
+    cut, own.cut = own.cut, type("Cut", (), {"findall": lambda _, x: calls.append(x) or cut.findall(x)})()
+    rng = random.Random(5)
+    texts = ["", " ", "a  b\t\x0b\x0c\rc ", "12ab34...!?x", "ÀÉ×÷ß  x", "ÿÖ9ö", "x\x1cy a\x85b", "It's 'a", "<|endoftext|> a", " end, end, end,\nEND,"]
+    texts += ["".join(rng.choice("abXY09 .,-\n\tÀé") for _ in range(rng.randrange(60))) for _ in range(500)]
+    want = [e.ids for e in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in own.encode(texts)] == want
+    assert len(calls) == len(set(calls)) and "end," in calls and not any(" " in x for x in calls)
