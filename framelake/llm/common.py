@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.tables import discard, hint, materialise
+from ..plans.tables import counted, discard, hint, materialise, rows_of
 
-__all__ = ["bound_batches", "discard", "documents", "embeddings", "hint", "let", "materialise", "text_or_empty", "whole_row", "with_row_number", "word_list"]
+__all__ = ["bound_batches", "counted", "discard", "documents", "embeddings", "hint", "let", "materialise", "rows_of", "text_or_empty", "whole_row", "with_row_number", "word_list"]
 
 #: Bytes of a batch for Python.
 BATCH_BYTES = 8 << 20

@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
-from .common import bound_batches, discard, hint, materialise, text_or_empty, whole_row
+from ..operators.components import connected_components, merged
+from .common import bound_batches, counted, discard, hint, materialise, rows_of, text_or_empty, whole_row
 
 #: Words of a run, runs of a sketch, sketches of a text, and the edit similarity of a link.
 RUN, ORDERED, SKETCHES, SIMILARITY = 2, 3, 48, 0.8
@@ -27,10 +27,8 @@ RUN, ORDERED, SKETCHES, SIMILARITY = 2, 3, 48, 0.8
 SHORT = 24
 #: Members of a bucket that all its members are compared with first.
 HUBS = 12
-#: Neighbours that a member of a larger bucket is compared with next, in each of the bucket's orders by the next sketches.
-BESIDE = 4
 #: Members of a block of a larger bucket, and its words, about.
-BLOCK, BLOCK_WORDS = 256, 1 << 16
+BLOCK, BLOCK_WORDS = 256, 1 << 18
 #: Hash values that are ranked at once.
 AT_ONCE = 2_000_000
 #: Bins of a text's words by hash; what two texts' bins differ by bounds their edits from below.
@@ -170,8 +168,10 @@ def sketched(numbered: DataFrame) -> DataFrame:
 
 def aligned(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The ``pairs`` (``a``, ``b``) whose texts (``rid``, ``text``) are similar; those whose bins differ too much are not read."""
-    pairs = materialise(pairs, "pairs")
-    wanted = materialise(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct(), "needed")
+    pairs = counted(pairs, "pairs")
+    if not rows_of(pairs):
+        return pairs
+    wanted = counted(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct(), "needed")
     needed = hint(wanted, 24)
     bins = nodes.join(needed, "rid", "left_semi").select("rid", F.struct("n", "bins").alias("of"))
     texts = texts.join(needed, "rid", "left_semi")
@@ -197,7 +197,7 @@ def aligned(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
             yield batch.loc[close, ["a", "b"]]
 
     both = with_ends(pairs, texts, "text", "x", "y").select("a", "b", "x", "y")
-    links = materialise(both.mapInPandas(verify, "a long, b long"), "links")
+    links = counted(both.mapInPandas(verify, "a long, b long"), "links")
     discard(pairs, wanted)
     return links
 
@@ -216,7 +216,7 @@ def placed(pairs: DataFrame, parts: DataFrame, *names: str) -> DataFrame:
     """``pairs`` with the component of each of the columns ``names``; a text without links is one of its own."""
     for name in names:
         part = parts.select(F.col("node").alias(name), F.col("component").alias(f"{name}_part"))
-        pairs = pairs.join(hint(part, 24), name, "left").withColumn(f"{name}_part", F.coalesce(f"{name}_part", name))
+        pairs = pairs.join(hint(part, 24, parts), name, "left").withColumn(f"{name}_part", F.coalesce(f"{name}_part", name))
     return pairs
 
 
@@ -224,31 +224,35 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct()
 
 
-def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of rows at most BESIDE apart, in the order given, of one bucket, of different components and of fitting lengths."""
-    held = None
-    for batch in batches:
-        rows = batch if held is None else pd.concat((held, batch))
-        bucket, rid, part, n = (rows[c].to_numpy() for c in ("bucket", "rid", "rid_part", "n"))
-        fresh = 0 if held is None else len(held)
-        for k in range(1, BESIDE + 1):
-            longer, less = np.maximum(n[k:], n[:-k]), np.minimum(n[k:], n[:-k])
-            ok = (bucket[k:] == bucket[:-k]) & (part[k:] != part[:-k]) & (longer - less <= np.floor((1 - SIMILARITY) * longer + 1e-9)) & (np.arange(k, len(rows)) >= fresh)
-            yield pd.DataFrame({"rid": rid[:-k][ok], "hub": rid[k:][ok]})
-        held = rows.iloc[-BESIDE:]
-
-
-def links_between(blocks: pd.DataFrame) -> pd.DataFrame:
-    """Of two blocks of a bucket, pairs that are similar and join their components, which may hold others of the blocks by then.
+def possible(blocks: pd.DataFrame) -> pd.DataFrame:
+    """Of two blocks of a bucket, the members of pairs of different components that lengths and bins leave possible.
 
-    Lengths, then bins rule out most pairs before they are aligned. A pair with several buckets in common is left to the first.
+    A row on the left has the rows of its pairs in ``others``. A pair with several buckets in common is left to the first.
     """
     left, right = blocks[blocks["left"]], blocks[~blocks["left"]]
-    if left.empty or right.empty:
-        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-    bucket, bins = blocks["bucket"].iloc[0], np.stack(right["bins"].to_numpy())
     n, rid, part, rest = (right[c].to_numpy() for c in ("n", "rid", "rid_part", "rest"))
-    texts, met = right["text"].to_numpy(), [frozenset(x.tolist()) for x in right["buckets"]]
+    bins, met = np.stack(right["bins"].to_numpy()) if len(right) else None, [frozenset(x.tolist()) for x in right["buckets"]]
+    out, wanted = [], np.zeros(len(right), dtype=bool)
+    for own in left.itertuples():
+        longer = np.maximum(n, own.n)
+        most = np.floor((1 - SIMILARITY) * longer + 1e-9)
+        at = np.flatnonzero((longer - np.minimum(n, own.n) <= most) & (part != own.rid_part) & (~rest | (rid > own.rid)))
+        if len(at):
+            at = at[longer[at] - np.minimum(bins[at], own.bins).sum(axis=1) <= most[at]]
+            buckets = own.buckets.tolist()
+            at = [i for i in at.tolist() if min(met[i].intersection(buckets)) == own.bucket]
+            wanted[at] = True
+            out.append(rid[at].tolist())
+        else:
+            out.append([])
+    left, right = left.assign(others=out), right.assign(others=None)[wanted]
+    return pd.concat((left[left["others"].str.len() > 0], right))[["bucket", "i", "j", "left", "rid", "rid_part", "others"]]
+
+
+def links_between(blocks: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of :func:`possible` that are similar and join their components, which may hold others of the blocks by then."""
+    right = blocks[~blocks["left"]].set_index("rid")
+    words, part = {rid: words_of(text) for rid, text in right["text"].items()}, right["rid_part"].to_dict()
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -257,46 +261,49 @@ def links_between(blocks: pd.DataFrame) -> pd.DataFrame:
         return x
 
     out = []
-    for own in left.itertuples():
-        longer = np.maximum(n, own.n)
-        most = np.floor((1 - SIMILARITY) * longer + 1e-9)
-        at = np.flatnonzero((longer - np.minimum(n, own.n) <= most) & (part != own.rid_part) & (~rest | (rid > own.rid)))
-        at = at[longer[at] - np.minimum(bins[at], own.bins).sum(axis=1) <= most[at]]
-        words = words_of(own.text) if len(at) else []
-        for i in at.tolist():
-            x, y = find(own.rid_part), find(int(part[i]))
-            if x != y and min(met[i].intersection(own.buckets.tolist())) == bucket and similar(words, words_of(texts[i])):
+    for own in blocks[blocks["left"]].itertuples():
+        text = words_of(own.text)
+        for other in own.others.tolist():
+            x, y = find(own.rid_part), find(part[other])
+            if x != y and similar(text, words[other]):
                 root[x] = y
-                out.append((own.rid, int(rid[i])))
+                out.append((own.rid, other))
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
 def apart(crowd: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a`` and ``b``: similar texts of a bucket of ``crowd`` (``bucket``, ``rid``, ``rid_part``, written), enough of them to
+    """``a`` and ``b``: similar texts of a bucket of ``crowd`` (``bucket``, ``rid``, ``n``, ``rid_part``, written), enough of them to
     join all components that a bucket's similar texts lie in.
 
     Members outside a bucket's largest component meet all of its members, so the work is in proportion to the pairs that are
     still apart. Both sides are dealt by a hash into blocks of about BLOCK members and BLOCK_WORDS words at most, and two blocks
-    are a group of their own: a large bucket is spread over many tasks, and pairs are made and aligned there, not as rows.
+    are a group of their own: a large bucket is spread over many tasks. Lengths and bins are moved there first; texts follow only
+    where these leave a pair possible. Pairs are made and aligned inside groups, not as rows.
     """
-    counts = crowd.join(nodes.select("rid", "n"), "rid").groupBy("bucket", "rid_part").agg(F.count("*").alias("members"), F.sum("n").alias("words"))
+    counts = crowd.groupBy("bucket", "rid_part").agg(F.count("*").alias("members"), F.sum("n").alias("words"))
     most = F.max(F.struct("members", "rid_part", "words")).alias("most")
     most = counts.groupBy("bucket").agg(most, F.sum("members").alias("members"), F.sum("words").alias("words")).where("members > most.members")
     blocks = lambda members, words: F.ceil(F.greatest(members / BLOCK, words / BLOCK_WORDS))
     lefts = blocks(F.col("members") - F.col("most.members"), F.col("words") - F.col("most.words")).alias("lefts")
-    most = materialise(most.select("bucket", F.col("most.rid_part").alias("most_part"), lefts, blocks(F.col("members"), F.col("words")).alias("rights")), "mixed")
+    most = counted(most.select("bucket", F.col("most.rid_part").alias("most_part"), lefts, blocks(F.col("members"), F.col("words")).alias("rights")), "mixed")
     mixed = crowd.join(hint(most, 40), "bucket").withColumn("rest", F.col("rid_part") != F.col("most_part"))
-    mixed = materialise(mixed.select("bucket", "rid", "rid_part", "rest", "lefts", "rights"), "apart")
-    needed = materialise(mixed.groupBy("rid").agg(F.collect_set("bucket").alias("buckets")), "needed")
-    of = needed.join(nodes.select("rid", "n", "bins"), "rid").join(texts, "rid")
+    mixed = counted(mixed.select("bucket", "rid", "rid_part", "rest", "lefts", "rights"), "apart")
+    if not rows_of(mixed):
+        return mixed.select(F.col("rid").alias("a"), F.col("rid").alias("b"))
+    needed = counted(mixed.groupBy("rid").agg(F.collect_set("bucket").alias("buckets")), "needed")
+    of = needed.join(nodes.select("rid", "n", "bins"), "rid")
     block = lambda of: F.pmod(F.xxhash64("rid"), of)
     every = lambda of, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(of) - 1), f)
     pair = lambda left, i, j: F.struct(F.lit(left).alias("left"), i.alias("i"), j.alias("j"))
     as_right = every("lefts", lambda i: pair(False, i, block(F.col("rights"))))
     as_left = F.when(F.col("rest"), every("rights", lambda j: pair(True, block(F.col("lefts")), j)))
-    dealt = mixed.join(of, "rid").select("bucket", "rid", "rid_part", "rest", "n", "bins", "buckets", "text", F.inline(F.concat(as_right, F.coalesce(as_left, F.array()))))
-    links = materialise(dealt.groupBy("bucket", "i", "j").applyInPandas(links_between, "a long, b long"), "links")
-    discard(most, mixed, needed)
+    dealt = mixed.join(of, "rid").select("bucket", "rid", "rid_part", "rest", "n", "bins", "buckets", F.inline(F.concat(as_right, F.coalesce(as_left, F.array()))))
+    schema = "bucket long, i long, j long, left boolean, rid long, rid_part long, others array<long>"
+    members = counted(dealt.groupBy("bucket", "i", "j").applyInPandas(possible, schema), "possible")
+    wanted = counted(members.select("rid").distinct(), "wanted")
+    members_texts = members.join(texts.join(hint(wanted, 16), "rid", "left_semi"), "rid")
+    links = counted(members_texts.groupBy("bucket", "i", "j").applyInPandas(links_between, "a long, b long"), "links")
+    discard(most, mixed, needed, members, wanted)
     return links
 
 
@@ -305,44 +312,37 @@ def linked(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
     A text meets the HUBS most central members of each of its buckets, those whose own buckets hold the most texts, so
     buckets of up to HUBS + 1 texts are compared whole. Hubs of all buckets of a text are gathered first and ranked by the sketches in common: each text is aligned with its
-    best hub, then with those of its other hubs that it is not connected with. Members of a larger bucket are then put in
-    the order of their next two sketches, so that those most alike stand together, and compared with the BESIDE next ones if they are still apart.
-    A bucket's order is cut by range, like any sort. At last every pair of a larger bucket that is still apart is compared (:func:`apart`):
-    hubs and neighbours only leave fewer of them, so no link between texts with an equal sketch is lost.
+    best hub, then with those of its other hubs that it is not connected with. At last every pair of a larger bucket that is still apart is
+    compared (:func:`apart`): hubs only leave fewer of them, so no link between texts with an equal sketch is lost.
     """
     spread_out = nodes.select("rid", "n", F.explode("sketch").alias("bucket"))
-    sizes = materialise(spread_out.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
-    met = materialise(spread_out.join(hint(sizes, 24), "bucket"), "met")
-    weights = materialise(met.groupBy("rid").agg(F.sum("members").alias("weight")), "weights")
-    members = materialise(met.join(hint(weights, 24), "rid").select("bucket", "rid", "n", "weight"), "members")
+    sizes = counted(spread_out.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
+    met = counted(spread_out.join(hint(sizes, 24), "bucket"), "met")
+    weights = counted(met.groupBy("rid").agg(F.sum("members").alias("weight")), "weights")
+    members = counted(met.join(hint(weights, 24), "rid").select("bucket", "rid", "n", "weight"), "members")
     central = Window.partitionBy("bucket").orderBy(F.desc("weight"), "rid")
     hubs = members.withColumn("place", F.row_number().over(central)).where(F.col("place") <= HUBS)  # cut before the shuffle, too
-    hubs = materialise(hubs.groupBy("bucket").agg(F.collect_list(F.struct("rid", "n")).alias("hubs")), "hubs")
+    hubs = counted(hubs.groupBy("bucket").agg(F.collect_list(F.struct("rid", "n")).alias("hubs")), "hubs")
     longer = lambda h: F.greatest(F.col("n"), h["n"])
     fits = lambda h: (h["rid"] != F.col("rid")) & (longer(h) - F.least(F.col("n"), h["n"]) <= F.floor((1 - SIMILARITY) * longer(h) + 1e-9))
     is_hub = F.exists("hubs", lambda h: h["rid"] == F.col("rid"))
     both_ways = members.join(hint(hubs, 16 + 24 * HUBS), "bucket").withColumn("is_hub", is_hub)  # two hubs meet once: the later one has the earlier
     near = both_ways.select("rid", F.transform(F.filter("hubs", lambda h: fits(h) & (~F.col("is_hub") | (h["rid"] < F.col("rid")))), lambda h: h["rid"]).alias("hubs")).where(F.size("hubs") > 0)
-    near = materialise(near.groupBy("rid").agg(F.collect_list("hubs").alias("hubs")).mapInPandas(ranked, "rid long, hubs array<long>"), "ranked")
+    near = counted(near.groupBy("rid").agg(F.collect_list("hubs").alias("hubs")).mapInPandas(ranked, "rid long, hubs array<long>"), "ranked")
     discard(met, weights, members, hubs)
     links = aligned(ordered(near.select("rid", F.get("hubs", F.lit(0)).alias("hub"))), nodes, texts)
-    parts = materialise(connected_components(links), "components")
+    parts = counted(connected_components(links), "components")
     rest = placed(ordered(near.select("rid", F.explode(F.slice("hubs", 2, SKETCHES * 2 * HUBS)).alias("hub"))), parts, "a", "b")
-    links, first = materialise(links.union(aligned(rest.where("a_part != b_part").select("a", "b"), nodes, texts)), "links"), (near, parts)
-    discard(*first)
-    parts = materialise(connected_components(links), "components")
+    more = aligned(rest.where("a_part != b_part").select("a", "b"), nodes, texts)
+    parts = merged(parts, more)
+    discard(near, links, more)
     large = sizes.where(F.col("members") > HUBS + 1).select("bucket")
-    next_to = lambda i, k: F.get("sketch", (i + k) % SKETCHES + SKETCHES * F.floor(i / SKETCHES).cast("int")).alias(f"next{k}")
-    each = F.transform(F.sequence(F.lit(0), F.size("sketch") - 1), lambda i: F.struct(F.get("sketch", i).alias("bucket"), next_to(i, 1), next_to(i, 2)))
-    crowd = materialise(nodes.select("rid", "n", F.inline(each)).join(hint(materialise(large, "large"), 16), "bucket", "left_semi"), "crowd")
-    in_order = placed(crowd, parts, "rid").repartitionByRange("bucket", "next1", "next2", "rid").sortWithinPartitions("bucket", "next1", "next2", "rid")
-    more = aligned(ordered(in_order.select("bucket", "rid", "rid_part", "n").mapInPandas(neighbours, "rid long, hub long")), nodes, texts)
-    joined = materialise(connected_components(links.union(more)), "components")
-    rest = materialise(placed(crowd.select("bucket", "rid"), joined, "rid"), "crowd")
+    crowd = spread_out.join(hint(counted(large, "large"), 16), "bucket", "left_semi")
+    rest = counted(placed(crowd.select("bucket", "rid", "n"), parts, "rid"), "crowd")
     others = apart(rest, nodes, texts)
-    last = materialise(connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(others)), "components")
-    discard(sizes, parts, links, more, crowd, joined, rest, others)
-    return last
+    parts = merged(parts, others)
+    discard(sizes, rest, others)
+    return parts
 
 
 def near_classes(numbered: DataFrame) -> DataFrame:
@@ -355,16 +355,16 @@ def near_classes(numbered: DataFrame) -> DataFrame:
     bound_batches(numbered.sparkSession)
     rows = materialise(sketched(numbered), "sketches")
     firsts = rows.groupBy("same").agg(F.min(F.struct("id", "rid")).alias("first"), F.count("*").alias("copies"))
-    firsts = materialise(firsts.select("same", F.col("first.rid").alias("rid"), F.col("first.id").alias("id"), "copies"), "firsts")
+    firsts = counted(firsts.select("same", F.col("first.rid").alias("rid"), F.col("first.id").alias("id"), "copies"), "firsts")
     copied = firsts.where("copies > 1").select("same", F.col("rid").alias("first"))
-    others = materialise(rows.select("rid", "same").join(hint(copied, 48), "same").where("rid != first").select("rid"), "copies")
+    others = counted(rows.select("rid", "same").join(hint(copied, 48), "same").where("rid != first").select("rid"), "copies")
     nodes = materialise(rows.join(hint(others, 16), "rid", "left_anti").select("rid", "n", "bins", "sketch"), "nodes")
     linked_parts = linked(nodes, numbered.select("rid", "text"))
     parts = linked_parts.withColumnRenamed("node", "rid")
-    member = firsts.join(hint(parts, 24), "rid", "left")
+    member = firsts.join(hint(parts, 24, linked_parts), "rid", "left")
     member = materialise(member.where("copies > 1 or component is not null").select("same", "rid", "id", F.coalesce("component", "rid").alias("component")), "members")
     stands = member.groupBy("component").agg(F.min(F.struct("id", "rid")).alias("first"))
-    member = materialise(member.join(stands, "component").select("same", F.col("first.rid").alias("class_rid"), F.col("first.id").alias("class_id")), "classes")
+    member = counted(member.join(stands, "component").select("same", F.col("first.rid").alias("class_rid"), F.col("first.id").alias("class_id")), "classes")
     discard(nodes, others, linked_parts)
     out = rows.select("rid", "id", "same").join(hint(member, 96), "same", "left")
     return out.select("rid", "id", F.coalesce("class_rid", "rid").alias("class_rid"), F.when(F.col("class_rid").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
@@ -385,5 +385,5 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``df`` that :func:`near_duplicates` keeps, with all their columns."""
     whole = materialise(df.select(F.monotonically_increasing_id().alias("rid"), whole_row(df).alias("row")), "numbered")
     numbered = whole.select("rid", F.col("row")[id_col].alias("id"), F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")).alias("text"))
-    dropped = materialise(near_classes(numbered).where("rid != class_rid").select("rid"), "dropped")
+    dropped = counted(near_classes(numbered).where("rid != class_rid").select("rid"), "dropped")
     return whole.join(hint(dropped, 16), "rid", "left_anti").select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import discard, materialise
+from ..plans.tables import counted, discard, hint, rows_of
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,17 +26,36 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", most_
     """``node`` and ``component`` (the smallest node it is connected with) for every node of ``edges``, two columns of
     longs. Rounds of two grouped minima and joins; the edges of each round are written, so lineage stays short, and those of the round before are removed. The number
     of rounds grows with the logarithm of the nodes; RuntimeError after ``most_rounds``. Null ends, loops and repeated
-    edges are ignored; an empty table gives an empty result.
+    edges are ignored; an empty table gives an empty result. Rows and hashes of a round are counted while it is written.
     """
-    now = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u != v").distinct()
-    now, before = materialise(now, "edges"), None
+    u, v = F.col(src).cast("long"), F.col(dst).cast("long")
+    state = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    now = counted(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges", state)
     for _ in range(most_rounds):
-        last, now = now, materialise(_star(_star(now, True), False), "stars")
+        if not rows_of(now):
+            break
+        last, now = now, counted(_star(_star(now, True), False), "stars", state)
         discard(last)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        if now._seen == last._seen:
             break
-        before = state
     else:
         raise RuntimeError(f"no fixed point after {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``parts`` (``node``, ``component``) after more ``links`` (``a``, ``b``), both written; ``parts`` is removed if there are any.
+
+    Only the graph of the components that a link joins goes through :func:`connected_components`.
+    """
+    if not rows_of(links):
+        return parts
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part")), end, "left")
+    joined = counted(connected_components(ends.select(*(F.coalesce(f"{end}_part", end).alias(end) for end in ("a", "b")))), "merged")
+    new = joined.join(parts.select("node"), "node", "left_anti")
+    to = hint(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), 24, joined)
+    out = counted(parts.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")).union(new), "components")
+    discard(parts, joined)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest table that is broadcast.
@@ -40,6 +40,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str, *more: Column) -> DataFrame:
+    """As :func:`materialise`; what is written is counted on the way, so that no other job has to: ``_seen`` has its rows, then the aggregates ``more``."""
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count(F.lit(1)).alias("c0"), *(c.alias(f"c{i}") for i, c in enumerate(more, 1))), name)
+    out._seen = tuple(seen.get[f"c{i}"] for i in range(len(more) + 1))
+    return out
+
+
+def rows_of(df: DataFrame) -> int:
+    return df._seen[0] if hasattr(df, "_seen") else df.count()
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that :func:`materialise` wrote and that nothing will read again: what was made of them must be written, too."""
     for df in tables:
@@ -62,9 +74,9 @@ def hint_measured(df: DataFrame, *texts: str) -> DataFrame:
 
 def small_enough(df: DataFrame, row_bytes: int) -> bool:
     """Whether ``df``, a table written before, may be broadcast: its rows are counted, it takes BROADCAST_BYTES at most."""
-    return df.count() * row_bytes <= BROADCAST_BYTES
+    return rows_of(df) * row_bytes <= BROADCAST_BYTES
 
 
-def hint(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` marked for broadcast if its size allows that; else Spark shuffles both sides and splits hot keys."""
-    return F.broadcast(df) if small_enough(df, row_bytes) else df
+def hint(df: DataFrame, row_bytes: int, rows: DataFrame | None = None) -> DataFrame:
+    """``df`` marked for broadcast if its size allows that; else Spark shuffles both sides and splits hot keys. ``rows``: a table of as many rows that was counted."""
+    return F.broadcast(df) if small_enough(df if rows is None else rows, row_bytes) else df

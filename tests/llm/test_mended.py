@@ -110,6 +110,43 @@ def test_every_white_space_is_one_space():
     assert html_extract.blocks_of(html_extract.parsed("<p>" + "".join(f"a{s} {s}" for s in spaces) + "</p>"), html_extract.NONE) == " ".join("a" * len(spaces))
 
 
+def test_texts_go_only_where_a_pair_is_possible(spark, monkeypatch):
+    """300 different texts in one bucket, and one pair: two members get their texts, whatever the bucket's size."""
+    rng, seen, plain = random.Random(8), {}, near_dedup.counted
+
+    def counted(df, name, *more):
+        seen[name] = plain(df, name, *more)
+        return seen[name]
+
+    monkeypatch.setattr(near_dedup, "counted", counted)
+    monkeypatch.setattr(near_dedup, "BLOCK", 1000)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(40)] for _ in range(300)]
+    texts.append(["new", *texts[7][1:]])
+    bins = [[0] * near_dedup.BINS for _ in texts]
+    for b, words in zip(bins, texts, strict=True):
+        for w in words:
+            b[int(w[1:]) % near_dedup.BINS if w != "new" else 0] += 1
+    rows = [(rid, 40, b, 5, rid, " ".join(words)) for rid, (b, words) in enumerate(zip(bins, texts, strict=True))]
+    df = spark.createDataFrame(rows, "rid long, n long, bins array<int>, bucket long, rid_part long, text string")
+    got = near_dedup.apart(df.select("bucket", "rid", "n", "rid_part"), df.select("rid", "n", "bins"), df.select("rid", "text")).collect()
+    assert [{r.a, r.b} for r in got] == [{7, 300}]
+    assert seen["possible"]._seen[0] == seen["wanted"]._seen[0] == 2
+
+
+def test_more_links_join_components(spark):
+    from framelake.operators.components import connected_components, merged
+    from framelake.plans.tables import counted
+
+    rng = random.Random(9)
+    some, more = ([(rng.randrange(300), rng.randrange(300)) for _ in range(k)] for k in (90, 60))
+    frame = lambda x: counted(spark.createDataFrame(x, "a long, b long"), "links")
+    parts = counted(connected_components(frame(some)), "parts")
+    assert merged(parts, frame([])) is parts
+    got = {r.node: r.component for r in merged(parts, frame(more)).collect()}
+    want = {r.node: r.component for r in connected_components(frame(some + more)).collect()}
+    assert got == want and len(want) > 100
+
+
 def test_each_run_of_a_batch_is_cut_once():
     import public_tokenizers
 
