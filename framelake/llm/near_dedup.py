@@ -27,8 +27,10 @@ RUN, ORDERED, SKETCHES, SIMILARITY = 2, 3, 48, 0.8
 SHORT = 24
 #: Members of a bucket that all its members are compared with first.
 HUBS = 12
-#: Members of a block of a larger bucket, and its words, about.
-BLOCK, BLOCK_WORDS = 256, 1 << 18
+#: Members of a block of a larger bucket, about, and the most blocks of one side: a member is sent to so many groups at most for each side.
+BLOCK, SPLITS = 1024, 16
+#: Words of each side's texts that are aligned at once, about.
+AT_ONCE_WORDS = 1 << 18
 #: Hash values that are ranked at once.
 AT_ONCE = 2_000_000
 #: Bins of a text's words by hash; what two texts' bins differ by bounds their edits from below.
@@ -227,12 +229,13 @@ def ordered(pairs: DataFrame) -> DataFrame:
 def possible(blocks: pd.DataFrame) -> pd.DataFrame:
     """Of two blocks of a bucket, the members of pairs of different components that lengths and bins leave possible.
 
-    A row on the left has the rows of its pairs in ``others``. A pair with several buckets in common is left to the first.
+    A row on the left has the rows of its pairs in ``others``. A pair with several buckets in common is left to the first. The members
+    of pairs are cut into runs of about AT_ONCE_WORDS words on either side; two runs are a part (``k``), and a member stands in each part that has a pair of it.
     """
     left, right = blocks[blocks["left"]], blocks[~blocks["left"]]
     n, rid, part, rest = (right[c].to_numpy() for c in ("n", "rid", "rid_part", "rest"))
     bins, met = np.stack(right["bins"].to_numpy()) if len(right) else None, [frozenset(x.tolist()) for x in right["buckets"]]
-    out, wanted = [], np.zeros(len(right), dtype=bool)
+    pairs, wanted = [], np.zeros(len(right), dtype=bool)
     for own in left.itertuples():
         longer = np.maximum(n, own.n)
         most = np.floor((1 - SIMILARITY) * longer + 1e-9)
@@ -240,17 +243,25 @@ def possible(blocks: pd.DataFrame) -> pd.DataFrame:
         if len(at):
             at = at[longer[at] - np.minimum(bins[at], own.bins).sum(axis=1) <= most[at]]
             buckets = own.buckets.tolist()
-            at = [i for i in at.tolist() if min(met[i].intersection(buckets)) == own.bucket]
+            at = np.array([i for i in at.tolist() if min(met[i].intersection(buckets)) == own.bucket], dtype=np.int64)
+        if len(at):
+            pairs.append((own, at))
             wanted[at] = True
-            out.append(rid[at].tolist())
-        else:
-            out.append([])
-    left, right = left.assign(others=out), right.assign(others=None)[wanted]
-    return pd.concat((left[left["others"].str.len() > 0], right))[["bucket", "i", "j", "left", "rid", "rid_part", "others"]]
+    run = np.cumsum(n * wanted) // AT_ONCE_WORDS
+    of_left = np.cumsum([own.n for own, _ in pairs]) // AT_ONCE_WORDS
+    lefts, rights = [], set()
+    for (own, at), a in zip(pairs, of_left.tolist(), strict=True):
+        for some in np.split(at, np.flatnonzero(np.diff(run[at])) + 1):
+            k = int(a * (run[-1] + 1) + run[some[0]])
+            lefts.append((k, True, own.rid, own.rid_part, rid[some]))
+            rights.update((k, i) for i in some.tolist())
+    rights = [(k, False, rid[i], part[i], None) for k, i in sorted(rights)]
+    out = pd.DataFrame(lefts + rights, columns=["k", "left", "rid", "rid_part", "others"])
+    return out.assign(**{c: blocks[c].iloc[0] for c in ("bucket", "i", "j")})[["bucket", "i", "j", "k", "left", "rid", "rid_part", "others"]]
 
 
 def links_between(blocks: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of :func:`possible` that are similar and join their components, which may hold others of the blocks by then."""
+    """The pairs of a part of :func:`possible` that are similar and join their components, which may hold others of the part by then."""
     right = blocks[~blocks["left"]].set_index("rid")
     words, part = {rid: words_of(text) for rid, text in right["text"].items()}, right["rid_part"].to_dict()
     root: dict[int, int] = {}
@@ -272,20 +283,19 @@ def links_between(blocks: pd.DataFrame) -> pd.DataFrame:
 
 
 def apart(crowd: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a`` and ``b``: similar texts of a bucket of ``crowd`` (``bucket``, ``rid``, ``n``, ``rid_part``, written), enough of them to
+    """``a`` and ``b``: similar texts of a bucket of ``crowd`` (``bucket``, ``rid``, ``rid_part``, written), enough of them to
     join all components that a bucket's similar texts lie in.
 
     Members outside a bucket's largest component meet all of its members, so the work is in proportion to the pairs that are
-    still apart. Both sides are dealt by a hash into blocks of about BLOCK members and BLOCK_WORDS words at most, and two blocks
-    are a group of their own: a large bucket is spread over many tasks. Lengths and bins are moved there first; texts follow only
-    where these leave a pair possible. Pairs are made and aligned inside groups, not as rows.
+    still apart. Both sides are dealt by a hash into blocks of about BLOCK members, SPLITS blocks at most, and two blocks
+    are a group of their own: a large bucket is spread over many tasks, and the rows moved grow with its members, not with their pairs. Lengths and bins are moved there first; texts follow only
+    where these leave a pair possible, in parts of a bounded size. Pairs are made and aligned inside groups, not as rows.
     """
-    counts = crowd.groupBy("bucket", "rid_part").agg(F.count("*").alias("members"), F.sum("n").alias("words"))
-    most = F.max(F.struct("members", "rid_part", "words")).alias("most")
-    most = counts.groupBy("bucket").agg(most, F.sum("members").alias("members"), F.sum("words").alias("words")).where("members > most.members")
-    blocks = lambda members, words: F.ceil(F.greatest(members / BLOCK, words / BLOCK_WORDS))
-    lefts = blocks(F.col("members") - F.col("most.members"), F.col("words") - F.col("most.words")).alias("lefts")
-    most = counted(most.select("bucket", F.col("most.rid_part").alias("most_part"), lefts, blocks(F.col("members"), F.col("words")).alias("rights")), "mixed")
+    counts = crowd.groupBy("bucket", "rid_part").agg(F.count("*").alias("members"))
+    most = counts.groupBy("bucket").agg(F.max(F.struct("members", "rid_part")).alias("most"), F.sum("members").alias("members")).where("members > most.members")
+    blocks = lambda members: F.least(F.ceil(members / BLOCK), F.lit(SPLITS).cast("long"))
+    lefts, rights = blocks(F.col("members") - F.col("most.members")).alias("lefts"), blocks(F.col("members")).alias("rights")
+    most = counted(most.select("bucket", F.col("most.rid_part").alias("most_part"), lefts, rights), "mixed")
     mixed = crowd.join(hint(most, 40), "bucket").withColumn("rest", F.col("rid_part") != F.col("most_part"))
     mixed = counted(mixed.select("bucket", "rid", "rid_part", "rest", "lefts", "rights"), "apart")
     if not rows_of(mixed):
@@ -298,11 +308,11 @@ def apart(crowd: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     as_right = every("lefts", lambda i: pair(False, i, block(F.col("rights"))))
     as_left = F.when(F.col("rest"), every("rights", lambda j: pair(True, block(F.col("lefts")), j)))
     dealt = mixed.join(of, "rid").select("bucket", "rid", "rid_part", "rest", "n", "bins", "buckets", F.inline(F.concat(as_right, F.coalesce(as_left, F.array()))))
-    schema = "bucket long, i long, j long, left boolean, rid long, rid_part long, others array<long>"
+    schema = "bucket long, i long, j long, k long, left boolean, rid long, rid_part long, others array<long>"
     members = counted(dealt.groupBy("bucket", "i", "j").applyInPandas(possible, schema), "possible")
     wanted = counted(members.select("rid").distinct(), "wanted")
     members_texts = members.join(texts.join(hint(wanted, 16), "rid", "left_semi"), "rid")
-    links = counted(members_texts.groupBy("bucket", "i", "j").applyInPandas(links_between, "a long, b long"), "links")
+    links = counted(members_texts.groupBy("bucket", "i", "j", "k").applyInPandas(links_between, "a long, b long"), "links")
     discard(most, mixed, needed, members, wanted)
     return links
 
@@ -338,7 +348,7 @@ def linked(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     discard(near, links, more)
     large = sizes.where(F.col("members") > HUBS + 1).select("bucket")
     crowd = spread_out.join(hint(counted(large, "large"), 16), "bucket", "left_semi")
-    rest = counted(placed(crowd.select("bucket", "rid", "n"), parts, "rid"), "crowd")
+    rest = counted(placed(crowd.select("bucket", "rid"), parts, "rid"), "crowd")
     others = apart(rest, nodes, texts)
     parts = merged(parts, others)
     discard(sizes, rest, others)

@@ -133,6 +133,57 @@ def test_texts_go_only_where_a_pair_is_possible(spark, monkeypatch):
     assert seen["possible"]._seen[0] == seen["wanted"]._seen[0] == 2
 
 
+def test_rows_of_a_bucket_grow_with_its_members(spark, monkeypatch, tmp_path):
+    """All members are apart: twice as many send twice as many rows, not four times as many, and no pair is lost."""
+    plain = near_dedup.possible
+
+    def watched(blocks):
+        (tmp_path / f"{len(blocks[blocks['left']])}-{blocks['bucket'].iloc[0]}-{blocks['i'].iloc[0]}-{blocks['j'].iloc[0]}").write_text(str(len(blocks)))
+        return plain(blocks)
+
+    monkeypatch.setattr(near_dedup, "possible", watched)
+    monkeypatch.setattr(near_dedup, "BLOCK", 10)
+    rng, sent = random.Random(12), {}
+    for members in (300, 600):
+        texts = [[f"w{rng.randrange(10**6)}" for _ in range(20)] for _ in range(members - 50)]
+        texts += [["new", *t[1:]] for t in texts[:50]]
+        rows = []
+        for rid, words in enumerate(texts):
+            bins = [0] * near_dedup.BINS
+            for w in words:
+                bins[int(w[1:]) % near_dedup.BINS if w != "new" else 0] += 1
+            rows.append((rid, 20, bins, members, rid, " ".join(words)))
+        df = spark.createDataFrame(rows, "rid long, n long, bins array<int>, bucket long, rid_part long, text string")
+        got = near_dedup.apart(df.select("bucket", "rid", "n", "rid_part"), df.select("rid", "n", "bins"), df.select("rid", "text")).collect()
+        assert sorted(sorted((r.a, r.b)) for r in got) == [[i, members - 50 + i] for i in range(50)]
+        sent[members] = sum(int(p.read_text()) for p in tmp_path.glob(f"*-{members}-*"))
+    assert 0 < sent[600] <= 2.1 * sent[300] and sent[600] <= 2 * 16 * 600
+
+
+def test_texts_are_aligned_in_parts(monkeypatch):
+    """Parts of few words hold every possible pair once, with both of its members."""
+    import numpy as np
+    import pandas as pd
+
+    rng = random.Random(13)
+    n = [rng.randrange(8, 12) for _ in range(40)]
+    bins = [np.bincount(np.arange(k) % 9, minlength=near_dedup.BINS).astype(np.int32) for k in n]
+    rows = [(5, 0, 0, left, rid, rid, True, n[rid], bins[rid], np.array([5])) for left in (True, False) for rid in range(40)]
+    blocks = pd.DataFrame(rows, columns=["bucket", "i", "j", "left", "rid", "rid_part", "rest", "n", "bins", "buckets"])
+    pairs = lambda x: sorted((r.rid, o) for r in x[x["left"]].itertuples() for o in r.others.tolist())
+    whole = near_dedup.possible(blocks)
+    assert set(whole["k"]) == {0} and len(pairs(whole)) > 300
+    monkeypatch.setattr(near_dedup, "AT_ONCE_WORDS", 60)
+    cut = near_dedup.possible(blocks)
+    assert pairs(cut) == pairs(whole) and cut["k"].nunique() > 10
+    for _, x in cut.groupby("k"):
+        right = x[~x["left"]]["rid"].tolist()
+        assert len(right) == len(set(right)) and {o for _, o in pairs(x)} == set(right)
+        assert all(sum(n[i] for i in side["rid"].unique()) <= 60 + max(n) for _, side in x.groupby("left"))
+    assert len(cut) <= 2 * 40 * 7 + 80
+    assert near_dedup.possible(blocks[blocks["left"]]).empty
+
+
 def test_more_links_join_components(spark):
     from framelake.operators.components import connected_components, merged
     from framelake.plans.tables import counted
