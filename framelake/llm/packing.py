@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -70,7 +71,8 @@ class WordTokenizer:
         import json
         import re
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
+        from tokenizers import pre_tokenizers as splitters
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
@@ -89,12 +91,16 @@ class WordTokenizer:
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        #: For pieces of the plain kind, which the normaliser leaves as they are and white space and digits divide as the splitter does.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = splitters.Sequence([splitters.WhitespaceSplit(), splitters.Digits(individual_digits=True), splitters.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces of the plain kind, many to a text: a run of letters or signs is one word of it, digits are one each."""
         for a in range(0, len(pieces), 10_000):
             some = [pieces[i : i + 250] for i in range(a, min(a + 10_000, len(pieces)), 250)]
-            for group, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(x) for x in some], add_special_tokens=False), strict=True):
+            for group, e in zip(some, self.bare.encode_batch_fast([" ".join(x) for x in some], add_special_tokens=False), strict=True):
                 words = np.cumsum([len(p) if "0" <= p[0] <= "9" else 1 for p in group])
                 found = np.array(e.ids, dtype=np.uint32)
                 ids, ends = found.tobytes(), (4 * (np.flatnonzero(self.ends_word[found])[words - 1] + 1)).tolist()
@@ -102,13 +108,17 @@ class WordTokenizer:
                     self.known[p] = ids[x:y]
 
     def plain_ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts of plain characters only, without capitals: each run without white space is cut and looked up once."""
+        """Ids of texts of plain characters only, without capitals: each run without white space is looked up once, and cut if it is not a known piece."""
         lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         runs = lists.flatten().dictionary_encode()
-        cuts = [[r] if r.isalpha() else self.cut.findall(r) for r in runs.dictionary.to_pylist()]
-        self.learn(list({p for x in cuts for p in x} - self.known.keys()))
+        own = runs.dictionary.to_pylist()
+        found = list(map(self.known.get, own))
+        unknown = [i for i, x in enumerate(found) if x is None]
+        cuts = [(r,) if (r := own[i]).isalpha() else self.cut.findall(r) for i in unknown]
+        self.learn(list(set(chain.from_iterable(cuts)) - self.known.keys()))
         get = self.known.__getitem__
-        found = [get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for x in cuts]
+        for i, x in zip(unknown, cuts, strict=True):
+            found[i] = get(x[0]) if len(x) == 1 else b"".join(map(get, x))
         ids, sizes, at = np.frombuffer(b"".join(found), dtype=np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4, runs.indices.to_numpy()
         n = sizes[at]
         ends = np.concatenate(([0], np.cumsum(n)))

@@ -209,3 +209,24 @@ def test_each_run_of_a_batch_is_cut_once():
     want = [e.ids for e in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     assert [x.tolist() for x in own.encode(texts)] == want
     assert len(calls) == len(set(calls)) and "end," in calls and not any(" " in x for x in calls)
+
+
+def test_a_known_piece_is_not_cut_again():
+    import public_tokenizers
+
+    own, calls = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json")), []
+    cut, own.cut = own.cut, type("Cut", (), {"findall": lambda _, x: calls.append(x) or cut.findall(x)})()
+    first, again = ["... 7 end ... x,"], ["x, ... 7 end 78 ...", "... it"]
+    want = [[e.ids for e in own.tokenizer.encode_batch_fast(x, add_special_tokens=False)] for x in (first, again)]
+    assert [[x.tolist() for x in own.encode(texts)] for texts in (first, again)] == want
+    assert sorted(calls) == ["...", "7", "78", "x,", "x,"]
+
+
+def test_plain_pieces_skip_the_normaliser():
+    import public_tokenizers
+
+    own, rng = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json")), random.Random(14)
+    texts = ["".join(rng.choice("abcxyzABÀÉØöÿéß0189.,;-_<|>[]{}~^`  \n\t") for _ in range(rng.randrange(80))) for _ in range(3000)]
+    want = [e.ids for e in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    own.tokenizer = type("None", (), {"encode_batch_fast": lambda _, x, **more: x and 1 / 0 or []})()
+    assert [x.tolist() for x in own.encode(texts)] == want
