@@ -32,7 +32,9 @@ BLOCK, SPLITS = 1024, 16
 #: Words of each side's texts that are aligned at once, about.
 AT_ONCE_WORDS = 1 << 18
 #: Hash values that are ranked at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 1 << 18
+#: Characters of texts whose words a worker holds at once, about: of a batch for Python, lists of words take more than ten times as much as its texts.
+AT_ONCE_CHARS = 1 << 19
 #: Bins of a text's words by hash; what two texts' bins differ by bounds their edits from below.
 BINS = 192
 
@@ -145,12 +147,21 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
+def in_parts(batches: Iterator[pd.DataFrame], *texts: str) -> Iterator[pd.DataFrame]:
+    """The rows of ``batches`` in their order, cut wherever another AT_ONCE_CHARS characters of ``texts`` are reached; a text is never cut."""
+    for batch in batches:
+        part = sum(batch[c].map(len).to_numpy(dtype=np.int64) for c in texts).cumsum() // AT_ONCE_CHARS
+        ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+        for a, b in zip([0, *ends], ends, strict=False):
+            yield batch.iloc[a:b]
+
+
 def sketched(numbered: DataFrame) -> DataFrame:
     """``rid``, ``id``, ``n`` (words), ``same`` (a digest of the words) and ``sketch`` of the rows of (``rid``, ``id``, ``text``)."""
     kind = numbered.schema["id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in in_parts(batches, "text"):
             texts = [words_of(text) for text in batch["text"]]
             length = [len(x) for x in texts]
             flat = pd.util.hash_array(np.array([w for x in texts for w in x], dtype=object)) if sum(length) else np.empty(0, dtype=np.uint64)
@@ -191,7 +202,7 @@ def aligned(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[str]] = {}
-        for batch in batches:
+        for batch in in_parts(batches, "x", "y"):
             for text in batch["y"].unique():
                 held[text] = words_of(text)
             close = [similar(words_of(x), held[y]) for x, y in zip(batch["x"], batch["y"], strict=True)]

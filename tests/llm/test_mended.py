@@ -184,6 +184,31 @@ def test_texts_are_aligned_in_parts(monkeypatch):
     assert near_dedup.possible(blocks[blocks["left"]]).empty
 
 
+def test_a_batch_is_sketched_in_parts(spark, monkeypatch):
+    """A worker's memory follows a part of a batch, not the batch; rows and their order stay, a text of any length is whole, a batch may be empty."""
+    import tracemalloc
+
+    import pandas as pd
+
+    df, made = spark.createDataFrame([(0, 0, "a")], "rid long, id long, text string"), []
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, f, schema: made.append(f) or self)
+    near_dedup.sketched(df)
+    rng = random.Random(14)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(2000)] + [" ".join(f"v{i}" for i in range(20_000)), ""]
+    batch = pd.DataFrame({"rid": range(len(texts)), "id": [str(i) for i in range(len(texts))], "text": texts})
+    tracemalloc.start()
+    try:
+        n, rids = [], []
+        for out in made[0](iter([batch, batch[:0]])):
+            n += out["n"].tolist()
+            rids += out["rid"].tolist()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rids == list(range(2002)) and n == [300] * 2000 + [20_000, 0]
+    assert peak < 32 << 20, peak
+
+
 def test_more_links_join_components(spark):
     from framelake.operators.components import connected_components, merged
     from framelake.plans.tables import counted
