@@ -64,3 +64,8 @@ def percent_encoded(text: Column, keep: str = "") -> Column:
     for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), *((f"%{ord(c):02X}", c) for c in keep)):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
+
+
+def base64_line(content: Column) -> Column:
+    """Base64 as one line of any length; Spark's own may start a new line after every 76 characters."""
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
-from ..functions.text import percent_encoded
+from ..functions.text import base64_line, percent_encoded
 from ..operators import faces as f
 from ..operators import sliding
 from ..sources import records as r
@@ -229,7 +229,7 @@ def url_parts(spark, sf_dir):
     """Scheme, host and path of every page's address, and the address percent-encoded; digests of its name."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     part = lambda k: F.regexp_extract("url", r"^([a-z]+)://([^/?#]*)([^?#]*)", k)
-    return pages.select("page_id", part(1).alias("scheme"), part(2).alias("host"), part(3).alias("path"), percent_encoded(F.col("url")).alias("encoded"), percent_encoded(part(3), keep="/").alias("encoded_path"), F.sha2("url", 256).alias("sha256"), F.base64(F.encode("url", "UTF-8")).alias("base64"), F.lower(F.hex(F.encode("url", "UTF-8"))).alias("hex"))
+    return pages.select("page_id", part(1).alias("scheme"), part(2).alias("host"), part(3).alias("path"), percent_encoded(F.col("url")).alias("encoded"), percent_encoded(part(3), keep="/").alias("encoded_path"), F.sha2("url", 256).alias("sha256"), base64_line(F.encode("url", "UTF-8")).alias("base64"), F.lower(F.hex(F.encode("url", "UTF-8"))).alias("hex"))
 
 
 URL_SQL = r"""SELECT page_id, regexp_extract(url, '^([a-z]+)://([^/?#]*)([^?#]*)', 1) AS scheme, regexp_extract(url, '^([a-z]+)://([^/?#]*)([^?#]*)', 2) AS host, regexp_extract(url, '^([a-z]+)://([^/?#]*)([^?#]*)', 3) AS path,

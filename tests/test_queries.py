@@ -39,3 +39,12 @@ def test_every_box_is_cropped(spark):
     made = registry.queries()
     got = made["crop_all_boxes"](spark, DATA)
     assert got.count() == made["box_helpers"](spark, DATA).count() and got.where("rank > 3").count() > 0
+
+
+def test_long_addresses_match_sql(spark, tmp_path):
+    urls = ["http://h/" + "x" * n for n in (0, 48, 49, 50, 105, 106, 400)] + ["https://\u00fc.de/\u00e4*+~ \r\n?\U0001f600" * 9, "", None]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
+    con.sql(f"COPY pages TO '{tmp_path}/pages.parquet' (FORMAT parquet)")
+    assert rows(registry.queries()["url_parts"](spark, str(tmp_path)).toPandas()) == rows(con.sql(registry.oracle_sql()["url_parts"]).df())
