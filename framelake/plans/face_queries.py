@@ -145,12 +145,8 @@ SELECT frame AS frame_index, '{{"frame_index": ' || frame || ', "timestamp_ms":
 def manifest_file(spark, sf_dir):
     """The lines of the manifest that was written, by their place: parts in the order of their names."""
     path = new_path(spark, "manifest")
-    found = records(spark, sf_dir)
-    s.write_manifest(found, path, F.max("timestamp_ms"))
-    lines = s.read_manifest(spark, path).select("file", F.posexplode(F.split(F.regexp_replace("text", "\n$", ""), "\n")).alias("no", "line"))
-    counts = lines.groupBy("file").agg(F.count("*").alias("n"))  # as many rows as files
-    before = counts.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return lines.join(F.broadcast(before), "file").select((F.col("before") + F.col("no")).cast("long").alias("place"), "line")
+    s.write_manifest(records(spark, sf_dir), path, F.max("timestamp_ms"))
+    return s.manifest_places(spark, path)
 
 
 def manifest_statistics(spark, sf_dir):

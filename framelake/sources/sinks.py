@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -148,3 +148,13 @@ def write_manifest(records: DataFrame, path: str, elapsed_ms: Column, version: s
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """``file`` and ``text`` of the parts of a manifest."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+
+
+def manifest_places(spark: SparkSession, path: str) -> DataFrame:
+    """``place`` (from 0) and ``line`` of the parts of a manifest, put together in the order of their names. Parts are read line by line, so they may have any size."""
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())  # one task reads a piece of a file, from its start on
+    read = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_name").alias("file"), at.alias("at"), F.col("value").alias("line"))
+    counts = read.groupBy("file").agg(F.count("*").alias("n"))  # as many rows as files
+    before = counts.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    no = F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1
+    return read.select("file", no.alias("no"), "line").join(F.broadcast(before), "file").select((F.col("before") + F.col("no")).alias("place"), "line")

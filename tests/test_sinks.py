@@ -42,3 +42,31 @@ def test_manifest_parts_are_one_json(spark, tmp_path, count):
     assert made["stats"]["frames_processed"] == count and made["stats"]["total_detections"] == sum(i % 3 for i in range(count))
     assert [f["frame_index"] for f in made["frames"]] == list(range(count))
     assert all(f["image"] == f'f"{i}\\.png' and len(f["detections"]) == i % 3 for i, f in enumerate(made["frames"]))
+
+
+def test_the_manifest_is_read_by_lines(spark, monkeypatch):
+    from framelake import registry
+
+    def whole(*_):
+        raise AssertionError("a part as one text")
+
+    monkeypatch.setattr(sinks, "read_manifest", whole)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")  # pieces of parts, several to a task
+    try:
+        got = {r.place: r.line for r in registry.queries()["manifest_file"](spark, "/root/testdata/sf0.001").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    made = json.loads("\n".join(got[n] for n in range(len(got))))
+    assert made["stats"]["frames_processed"] == len(made["frames"]) > 1000 and [f["frame_index"] for f in made["frames"]] == sorted(f["frame_index"] for f in made["frames"])
+
+
+def test_places_count_through_pieces_of_parts(spark, tmp_path):
+    lines = [[f"{k}:{n}" + "\r" * (n % 5 == 0) + "x" * (n % 70) if n % 7 else "" for n in range(size)] for k, size in enumerate((3, 5000, 1))]
+    for k, part in enumerate(lines):
+        (tmp_path / f"part-{k}.txt").write_bytes("".join(f"{x}\n" for x in part).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        got = {r.place: r.line for r in sinks.manifest_places(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [got[n] for n in range(len(got))] == [x for part in lines for x in part]
