@@ -79,7 +79,7 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[s
         first = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
     else:
         first = new.dropDuplicates(keys)
-    return old.unionByName(first.join(old.select(*keys), keys, "left_anti"))
+    return old.unionByName(first.join(old.select(*keys).hint("merge"), keys, "left_anti"))
 
 
 def admitted(jobs: DataFrame, limit: int, key: str) -> DataFrame:

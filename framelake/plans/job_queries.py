@@ -15,11 +15,12 @@ frames AS (SELECT DISTINCT l_orderkey AS job_id, l_linenumber AS idx, CASE WHEN
 faces AS (SELECT l_orderkey AS job_id, l_linenumber AS idx, l_extendedprice AS score FROM lineitem WHERE l_quantity > 25)"""
 
 
-def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jobs(spark: SparkSession, sf_dir: str, merge: bool = False) -> DataFrame:
+    """``merge``: customers are never broadcast, whatever Spark guesses of their size."""
     o, c = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("orders", "customer"))
     key = F.col("o_orderkey")
     status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", F.when(key % 7 == 0, "queued").otherwise("running")).otherwise(F.when(key % 2 == 0, "cancelled").otherwise("error"))
-    return o.join(c, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+    return o.join(c.hint("merge") if merge else c, F.col("c_custkey") == F.col("o_custkey"), "left").select(
         key.alias("id"), F.col("c_name").alias("display_name"), status.alias("status"), F.when(key % 11 == 0, "").otherwise(F.lower(F.substring("o_orderpriority", 3, 99))).alias("algo"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("created_ms"),
         F.floor("o_totalprice").alias("elapsed_ms"), (F.col("o_custkey") % 50).alias("detections"), (F.col("o_custkey") % 300).alias("frames_processed"), (F.col("o_custkey") % 90).alias("frames_with_face"), F.concat(F.lit("s3://in/"), key.cast("string")).alias("original_key"), F.col("o_custkey").alias("owner"),
     )
@@ -244,7 +245,7 @@ def store_rows(spark, sf_dir):
     from ..sources.store import Store
     from .tables import new_path
 
-    every = jobs(spark, sf_dir)
+    every = jobs(spark, sf_dir, merge=True)
     rows = every.select(F.col("id").alias("job_id"), F.lit("video").alias("kind"), "display_name", "status", "created_ms", "frames_processed", "frames_with_face", F.col("detections").alias("total_detections"), "original_key", "algo")
     shot = frames(spark, sf_dir).select("job_id", F.col("idx").cast("long").alias("idx"), (F.col("idx") * 33).cast("long").alias("timestamp_ms"), "annotated_key")
     found = faces(spark, sf_dir).groupBy("job_id", "idx").agg(F.count("*").alias("n"), F.max("score").alias("score"))

@@ -77,6 +77,11 @@ def small_enough(df: DataFrame, row_bytes: int) -> bool:
     return rows_of(df) * row_bytes <= BROADCAST_BYTES
 
 
+def sized(df: DataFrame, row_bytes: int, rows: DataFrame | None = None) -> DataFrame:
+    """As :func:`hint`, but what is too large is marked for a merge join: Spark guesses by bytes on disk, which are far too few for rows that compress well."""
+    return F.broadcast(df) if small_enough(df if rows is None else rows, row_bytes) else df.hint("merge")
+
+
 def hint(df: DataFrame, row_bytes: int, rows: DataFrame | None = None) -> DataFrame:
     """``df`` marked for broadcast if its size allows that; else Spark shuffles both sides and splits hot keys. ``rows``: a table of as many rows that was counted."""
     return F.broadcast(df) if small_enough(df if rows is None else rows, row_bytes) else df

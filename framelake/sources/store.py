@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.jobs import insert_ignore
-from ..plans.tables import materialise
+from ..plans.tables import materialise, sized
 
 #: Tables with their columns and keys.
 TABLES = {
@@ -91,12 +91,15 @@ class Store:
         tables, written = {k: dict(v) for k, v in state.get("tables", {}).items()}, 0
         for table, (rows, merge) in changes.items():
             rows = materialise(rows.withColumn("_bucket", self._bucket()), f"store_{table}")
-            touched = sorted(r[0] for r in rows.select("_bucket").distinct().collect())  # as many as there are buckets at most
+            counts = dict(map(tuple, rows.groupBy("_bucket").count().collect()))  # as many as there are buckets at most
+            touched = sorted(counts)
             if not touched:
                 continue
             own = tables.setdefault(table, {})
             old = self._read(table, [own[b] for b in touched if b in own])
-            merged = merge(old, rows.drop("_bucket")).withColumn("_bucket", self._bucket())
+            new = rows.drop("_bucket")
+            new._seen = (sum(counts.values()),)
+            merged = merge(old, new).withColumn("_bucket", self._bucket())
             folder = f"data/{table}/{uuid.uuid4().hex}"
             merged.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
             left = {s.getPath().getName().partition("=")[2] for s in self.system.listStatus(self.files.Path(f"{self.path}/{folder}")) if s.isDirectory()}
@@ -145,10 +148,10 @@ class Store:
         """
         new = self._shaped("frames", frames)
         known = self.read("frames").select("job_id", "idx")
-        held = self.read("pending").unionByName(new).dropDuplicates(["job_id", "idx"]).join(known, ["job_id", "idx"], "left_anti")
+        held = self.read("pending").unionByName(new).dropDuplicates(["job_id", "idx"]).join(known.hint("merge"), ["job_id", "idx"], "left_anti")
         by_job = Window.partitionBy("job_id")
         held = held.withColumn("place", F.row_number().over(by_job.orderBy("idx"))).withColumn("many", F.count("*").over(by_job))
-        held = held.join(finished.select("job_id", F.lit(True).alias("over")).distinct(), "job_id", "left")
+        held = held.join(finished.select("job_id", F.lit(True).alias("over")).distinct().hint("merge"), "job_id", "left")
         held = materialise(held.withColumn("out", F.coalesce("over", F.lit(False)) | (F.col("place") <= F.floor(F.col("many") / BATCH) * BATCH)).drop("place", "many", "over"), "held")
         out, wait = held.where("out").drop("out"), held.where("not out").drop("out")
         return self._rewrite({"frames": (out, self._insert("frames", out, ["timestamp_ms", "annotated_key", "original_key"])), "pending": (held.drop("out"), lambda old, rows: wait)})
@@ -159,14 +162,14 @@ class Store:
 
         def merge(old: DataFrame, new: DataFrame) -> DataFrame:
             found = new.select("job_id", *(F.col(c).alias(f"new_{c}") for c in names))
-            return old.join(found, "job_id", "left").select(*(F.coalesce(f"new_{c}", c).alias(c) if c in names else F.col(c) for c in old.columns))
+            return old.join(sized(found, 64, new), "job_id", "left").select(*(F.coalesce(f"new_{c}", c).alias(c) if c in names else F.col(c) for c in old.columns))
 
         return self._rewrite({"jobs": (self._shaped("jobs", counts), merge)})
 
     def delete_jobs(self, ids: DataFrame) -> int:
         """Remove the jobs of ``ids`` (``job_id``) with their frames and faces, in one version."""
-        gone = ids.select(F.col("job_id").cast("long").alias("job_id")).where("job_id is not null").distinct()
-        without = lambda old, new: old.join(new.select("job_id"), "job_id", "left_anti").select(*old.columns)
+        gone = materialise(ids.select(F.col("job_id").cast("long").alias("job_id")).where("job_id is not null").distinct(), "gone")
+        without = lambda old, new: old.join(sized(new.select("job_id"), 64, new), "job_id", "left_anti").select(*old.columns)
         return self._rewrite({table: (self._shaped(table, gone), without) for table in TABLES})
 
     def remove_old(self) -> int:

@@ -111,3 +111,34 @@ def test_a_stream_of_frames_goes_on_where_it_stopped(spark, tmp_path):
     seen = [f for b in batches for f in b]
     assert 0 < first and len([b for b in batches if b]) > 1 and sorted(set(seen)) == list(range(150))
     assert len(seen) - len(set(seen)) <= first  # a batch that was cut off by the stop may be read again
+
+
+@pytest.mark.parametrize("most", [0, 32 << 20])
+def test_joins_of_a_store_go_by_counted_rows(spark, tmp_path, monkeypatch, most):
+    from framelake.plans import tables
+
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", most)
+    s = store.Store(spark, f"file://{tmp_path}/s", buckets=2)
+    s.upsert_jobs(spark.createDataFrame([(j, "queued", j) for j in range(40)], JOB))
+    s.add_frames(frames(spark, range(40), 2))
+    plans, rewrite = [], s._rewrite
+
+    def watched(changes):
+        def seen(merge):
+            def run(old, new):
+                plans.append(merge(old, new))
+                return plans[-1]
+
+            return run
+
+        return rewrite({table: (rows, seen(merge)) for table, (rows, merge) in changes.items()})
+
+    monkeypatch.setattr(s, "_rewrite", watched)
+    s.add_frames(frames(spark, range(40), 3))
+    assert len(plans) == 1 and "BroadcastHashJoin" not in plans[0]._jdf.queryExecution().executedPlan().toString()
+    s.update_counts(spark.createDataFrame([(j, 3, 2, 4) for j in range(0, 40, 2)], "job_id long, frames_processed long, frames_with_face long, total_detections long"))
+    s.delete_jobs(spark.createDataFrame([(j,) for j in range(0, 40, 4)], "job_id long"))
+    assert len(plans) == 2 + len(store.TABLES)
+    for merged in plans[1:]:
+        assert ("BroadcastHashJoin" in merged._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+    assert s.read("jobs").count() == 30 and s.read("frames").count() == 90 and s.read("jobs").where("frames_processed = 3").count() == 10
